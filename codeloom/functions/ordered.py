@@ -39,17 +39,18 @@ def forward_fill(df: DataFrame, keys: list[str], order: str, value: Column, out:
             .drop(_RANGE, "__value", "__local", "__carry"))
 
 
-def lead_value(df: DataFrame, keys: list[str], order: str, value: Column, out: str,
-               width: int = ROWS_PER_RANGE) -> DataFrame:
-    """``value`` of the following row of the key, NULL on the last row."""
+def shift_value(df: DataFrame, keys: list[str], order: str, value: Column, out: str, back: bool = False,
+                width: int = ROWS_PER_RANGE) -> DataFrame:
+    """``value`` of the following row of the key (of the preceding one with ``back``)."""
+    move, edge = (F.lag, F.max_by) if back else (F.lead, F.min_by)
     rows = _ranged(df, order, width).withColumn("__value", value)
     inside = Window.partitionBy(*keys, _RANGE).orderBy(order)
-    local = (rows.withColumn("__next", F.lead("__value").over(inside))
-             .withColumn("__inner", F.lead(F.lit(True)).over(inside)))
-    firsts = rows.groupBy(*keys, _RANGE).agg(F.min_by("__value", order).alias("__first"))
+    local = (rows.withColumn("__next", move("__value").over(inside))
+             .withColumn("__inner", move(F.lit(True)).over(inside)))
+    borders = rows.groupBy(*keys, _RANGE).agg(edge(F.struct(F.col("__value").alias("v")), order).alias("__border"))
     over_ranges = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(_RANGE)
-    firsts = firsts.select(*keys, _RANGE, F.lead("__first").over(over_ranges).alias("__carry"))
-    return (local.join(firsts, [*keys, _RANGE], "left")
+    borders = borders.select(*keys, _RANGE, move("__border").over(over_ranges)["v"].alias("__carry"))
+    return (local.join(borders, [*keys, _RANGE], "left")
             .withColumn(out, F.when(F.col("__inner"), F.col("__next")).otherwise(F.col("__carry")))
             .drop(_RANGE, "__value", "__next", "__inner", "__carry"))
 

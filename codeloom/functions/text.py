@@ -13,6 +13,7 @@ from codeloom import rules
 from codeloom.functions.paths import any_of
 
 WHITE = " \t\n\r\x0b\x0c"
+WORD_BREAK = r"[^\p{L}\p{M}\p{N}_]+"
 _BREAK = "\x00"
 
 
@@ -60,7 +61,7 @@ def mostly_letters(phrase: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of letters, digits and underscores, as a search by whole word sees them."""
-    return F.filter(F.split(text, "[^A-Za-z0-9_]+"), lambda t: t != "")
+    return F.filter(F.split(text, WORD_BREAK), lambda t: t != "")
 
 
 def bigrams(tokens: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import rules
-from codeloom.functions.ordered import lead_value
+from codeloom.functions.ordered import shift_value
 
 BYTES_PER_BIN = 4096
 
@@ -78,7 +78,7 @@ def file_edges(files: DataFrame) -> DataFrame:
 
 def sequential_edges(chunks: DataFrame, keys=("path",), order: str = "chunk_ord") -> DataFrame:
     """Each chunk to the next of its file; one hot file is split by ranges of the ordinal."""
-    rows = lead_value(chunks, list(keys), order, F.col("chunk_id"), "next_id").filter(F.col("next_id").isNotNull())
+    rows = shift_value(chunks, list(keys), order, F.col("chunk_id"), "next_id").filter(F.col("next_id").isNotNull())
     path = F.concat_ws("/", *keys)
     return _edge(rows, chunk_key(path, F.col("chunk_id")), chunk_key(path, F.col("next_id")), rules.CHUNK_TO_CHUNK)
 

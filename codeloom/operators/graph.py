@@ -200,11 +200,22 @@ def modularity(edges: DataFrame, membership: DataFrame, adjacent_only: bool = Fa
     return per.agg(F.coalesce(F.sum(share), F.lit(0.0)).alias("modularity"))
 
 
+def _quality(links: DataFrame, strength: DataFrame, state: DataFrame, m2: float) -> float:
+    """Modularity of a state on symmetric links that may hold loops (lifted levels)."""
+    a = state.select(F.col("node").alias("src"), F.col("community").alias("ca"))
+    b = state.select(F.col("node").alias("dst"), F.col("community").alias("cb"))
+    inside = (links.join(a, "src").join(b, "dst").filter(F.col("ca") == F.col("cb"))
+              .agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w")))
+    totals = state.join(strength, "node").groupBy("community").agg(F.sum("k").alias("k"))
+    null_model = totals.agg(F.sum(F.pow(F.col("k") / m2, 2)).alias("e"))
+    return inside.select(F.col("w") / m2 - null_model.scalar()).first()[0]
+
+
 def _move_round(links: DataFrame, strength: DataFrame, state: DataFrame, m2: float, turn: int) -> DataFrame:
     """One parallel local-moving round: half of the nodes may move to their best neighbour community."""
     sigma = (state.join(strength, "node").groupBy("community").agg(F.sum("k").alias("sigma")))
     theirs = state.select(F.col("node").alias("dst"), F.col("community").alias("target"))
-    reach = (links.join(theirs, "dst").groupBy("src", "target").agg(F.sum("weight").alias("k_in"))
+    reach = (links.filter(F.col("src") != F.col("dst")).join(theirs, "dst").groupBy("src", "target").agg(F.sum("weight").alias("k_in"))
              .withColumnRenamed("src", "node"))
     own = state.join(strength, "node").join(sigma, "community").select(
         "node", "community", "k", (F.col("sigma") - F.col("k")).alias("own_rest"))
@@ -229,12 +240,11 @@ def _local_moving(links: DataFrame, rounds: int) -> tuple[DataFrame, float]:
     state = cut_lineage(strength.select("node", F.col("node").alias("community")))
     if m2 <= 1e-9:
         return state, 0.0
-    once = links.filter(F.col("src") < F.col("dst"))
     best, best_q, still = state, -2.0, 0
     for turn in range(rounds):
         moved = cut_lineage(_move_round(links, strength, state, m2, turn))
         state = moved.select("node", "community")
-        q = modularity(once, state).first()[0]
+        q = _quality(links, strength, state, m2)
         if q > best_q + 1e-12:
             best, best_q, still = state, q, 0
         else:
