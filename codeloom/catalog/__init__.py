@@ -1 +1,17 @@
+"""Registered queries, grouped by subject."""
 
+from codeloom.catalog import registry
+
+
+def _load() -> None:
+    from codeloom.catalog import files  # noqa: F401
+
+
+def queries():
+    _load()
+    return dict(registry.QUERIES)
+
+
+def oracle_sql():
+    _load()
+    return dict(registry.ORACLES)

@@ -27,8 +27,8 @@ def ltrim(col: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines of a text; one final line break does not open another line."""
-    parts = F.split(text, "\r?\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    body = F.split(F.regexp_replace(text, "\r?\n\\z", ""), "\r?\n", -1)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(body)
 
 
 def occurrences(text: Column, char: str) -> Column:

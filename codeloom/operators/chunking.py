@@ -33,7 +33,9 @@ def whole(df: DataFrame, text: str = "content", keys=("path",)) -> DataFrame:
 
 def by_lines(df: DataFrame, n: int, text: str = "content", keys=("path",)) -> DataFrame:
     """Chunks of ``n`` lines."""
-    rows = tx.lines(F.col(text))
+    # the line array is a column of its own: inside the lambda it would be split again per chunk
+    df = df.select(*keys, tx.lines(F.col(text)).alias("__rows"))
+    rows = F.col("__rows")
     count = F.ceil(F.size(rows) / n).cast("int")
     starts = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
     parts = F.transform(starts, lambda i: F.array_join(F.slice(rows, i * n + 1, F.lit(n)), "\n"))
@@ -58,10 +60,12 @@ def by_heading(df: DataFrame, text: str = "content", keys=("path",), extract_ord
     array, so the work is linear in the text.
     """
     number = F.lit(0) if extract_ord is None else extract_ord
-    rows = F.split(F.col(text), "\n", -1)
-    last = F.size(rows)
+    keys = list(keys)
+    df = df.select(*keys, number.alias("__number"), F.split(F.col(text), "\n", -1).alias("__rows"))
+    rows, number = F.col("__rows"), F.col("__number")
     opens = F.filter(F.transform(rows, lambda l, i: F.when(tx.ltrim(l).startswith("#"), i)), lambda i: i.isNotNull())
-    starts = F.array_distinct(F.concat(F.array(F.lit(0)), opens))
+    df = df.withColumn("__starts", F.array_distinct(F.concat(F.array(F.lit(0)), opens)))
+    starts, last = F.col("__starts"), F.size(rows)
 
     def section(start: Column, i: Column) -> Column:
         is_last = i == F.size(starts) - 1
@@ -70,7 +74,7 @@ def by_heading(df: DataFrame, text: str = "content", keys=("path",), extract_ord
         body = F.concat(F.array_join(F.slice(rows, start + 1, stop - start), "\n"), F.lit("\n"))
         return F.struct(F.concat(F.lit("h-"), number, F.lit("-"), name).alias("id"), body.alias("text"))
 
-    return _rows(df, F.transform(starts, section), list(keys))
+    return _rows(df, F.transform(starts, section), keys)
 
 
 def documentation_chunks(planned: DataFrame, all_extractions: bool = False) -> DataFrame:
