@@ -76,78 +76,60 @@ def _starts(lines: DataFrame) -> DataFrame:
     return lines.withColumn("kind", F.when(live, kind)).withColumn("name", F.when(live, tx.trim(name)))
 
 
-def _with_parents(rows: DataFrame) -> DataFrame:
-    """Innermost enclosing container of every line.
+def _add_lead(rows: DataFrame) -> DataFrame:
+    """Doc and attribute lines directly above each line, blank lines skipped.
 
-    Each line looks up every depth above its own; per depth the last container
-    opened before it is the candidate, the deepest candidate wins. A container
-    at depth d is left when a line returns to depth d, which clears the slot.
+    Lines between two stoppers and the second stopper share a number, so the
+    lead of a definition is the rest of its own group.
     """
-    levels = F.when(F.col("depth") > 0, F.sequence(F.lit(0), (F.col("depth") - 1).cast("int"))).otherwise(
-        F.array().cast("array<int>"))
-    own = F.array(F.col("depth").cast("int"))
-    # lines that only look up need their own row per level; lines at a depth set the slot of that depth
-    wide = rows.select("path", "line_no", "kind", "name", "impl_target", "opened", "closed", "depth", "depth_after",
-                       F.explode(F.array_distinct(F.concat(levels, own))).alias("level"))
-    at_level = F.col("level") == F.col("depth")
-    container = F.col("kind").isin(CONTAINERS)
-    slot = F.when(at_level & container,
-                  F.struct(F.coalesce("impl_target", "name").alias("name"), F.col("kind").alias("kind"),
-                           F.col("line_no").alias("row")))
-    slot = F.when(at_level & ~F.coalesce(container, F.lit(False)) & (F.col("opened") > 0),
-                  F.struct(F.lit(None).cast("string").alias("name"), F.lit("other").alias("kind"),
-                           F.col("line_no").alias("row"))).otherwise(slot)
-    before = (Window.partitionBy("path", "level").orderBy("line_no")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    seen = wide.withColumn("slot", F.last(slot, ignorenulls=True).over(before)).filter(
-        (F.col("level") < F.col("depth")) & F.col("slot.kind").isin(CONTAINERS))
-    return seen.groupBy("path", "line_no").agg(
-        F.max_by(F.struct("slot.name", "slot.kind", "level"), "level").alias("parent"))
+    earlier = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("stops", F.coalesce(F.count_if(F.col("line_class") == "stop").over(earlier), F.lit(0)))
+    group = (Window.partitionBy("path", "stops").orderBy("line_no")
+             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    pick = lambda wanted: F.collect_list(F.when(F.col("line_class") == wanted, F.col("trimmed"))).over(group)
+    return rows.withColumn("doc_lines", pick("doc")).withColumn("attributes", pick("attr"))
 
 
-def _header_texts(rows: DataFrame) -> DataFrame:
+def _add_header(rows: DataFrame) -> DataFrame:
     """Text of each definition from its first line to the first ``{`` or ``;``."""
-    order = Window.partitionBy("path").orderBy("line_no")
-    seq = F.sum(F.col("kind").isNotNull().cast("int")).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ended = F.max(F.col("code").rlike("[{;]")).over(
-        Window.partitionBy("path", "seq").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1))
-    part = rows.withColumn("seq", seq).filter(F.col("seq") > 0).withColumn("ended", ended)
-    return (part.filter(~F.coalesce(F.col("ended"), F.lit(False)))
-            .groupBy("path", "seq")
-            .agg(F.min("line_no").alias("line_no"),
-                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "trimmed"))),
-                                          lambda r: r["trimmed"]), " ").alias("header"))
-            .drop("seq"))
-
-
-def _docs(rows: DataFrame) -> DataFrame:
-    """Doc and attribute lines directly above each line, blank lines skipped."""
-    after = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    stop = F.min(F.when(F.col("line_class") == "stop", F.col("line_no"))).over(after)
-    lead = (rows.withColumn("stop", stop)
-            .filter(F.col("line_class").isin("doc", "attr") & F.col("stop").isNotNull()))
-    listed = F.array_sort(F.collect_list(F.struct("line_no", "line_class", "trimmed")))
-    pick = lambda wanted: F.transform(F.filter(F.col("lead"), lambda r: r["line_class"] == wanted),
-                                      lambda r: r["trimmed"])
-    return (lead.groupBy("path", F.col("stop").alias("line_no")).agg(listed.alias("lead"))
-            .select("path", "line_no", F.nullif(F.array_join(pick("doc"), "\n"), F.lit("")).alias("docs"),
-                    pick("attr").alias("attributes")))
-
-
-def _ends(rows: DataFrame) -> DataFrame:
-    """Row and byte where a definition that opens on a line is closed again."""
-    closes = F.col("code").rlike("[};]|,\\s*$")
-    wide = rows.select("path", "line_no", "depth", "depth_after", "offset", "line", "code", "kind", "header_done",
-                       F.explode(F.array_distinct(F.array("depth", "depth_after"))).alias("level"))
-    end_here = F.when((F.col("depth_after") == F.col("level")) & closes,
-                      F.struct(F.col("line_no").alias("row"),
-                               (F.col("offset") + F.octet_length(F.rtrim(F.col("line")))).alias("byte")))
-    following = (Window.partitionBy("path", "level").orderBy("line_no")
-                 .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return (wide.withColumn("stop", F.first(end_here, ignorenulls=True).over(following))
-            .filter(F.col("level") == F.col("depth"))
-            .select("path", "line_no", F.col("stop.row").alias("end_row"), F.col("stop.byte").alias("end")))
+    upto = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("seq", F.count_if(F.col("kind").isNotNull()).over(upto))
+    group = Window.partitionBy("path", "seq")
+    ordered = group.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = F.min(F.when(F.col("code").rlike("[{;]"), F.col("line_no"))).over(group)
+    rows = rows.withColumn("header_last", F.coalesce(last, F.col("line_no")))
+    part = F.when(F.col("line_no") <= F.col("header_last"), F.col("trimmed"))
+    return rows.withColumn("header", F.array_join(F.collect_list(part).over(ordered), " "))
+
+
+def _add_nesting(rows: DataFrame) -> DataFrame:
+    """End of each definition and the innermost container around each line.
+
+    A line takes part in every depth up to its own and in the depth it leaves
+    behind. Per file and depth, in line order: the end is the first later line
+    that returns to the depth and closes something; the container is the last
+    one opened there. The deepest container wins. All windows keep the file's
+    partitioning, so none of them shuffles again.
+    """
+    depths = F.sequence(F.lit(0), F.greatest(F.col("depth"), F.lit(0)).cast("int"))
+    wide = rows.withColumn("level", F.explode(F.array_distinct(
+        F.concat(depths, F.array(F.greatest(F.col("depth_after"), F.lit(0)).cast("int"))))))
+    here = F.col("level") == F.col("depth")
+    is_container = F.coalesce(F.col("kind").isin(CONTAINERS), F.lit(False))
+    opened = F.when(here & (is_container | (F.col("opened") > 0)), F.struct(
+        "level", F.coalesce("impl_target", "name").alias("name"),
+        F.when(is_container, F.col("kind")).otherwise("other").alias("kind")))
+    closes = F.col("code").rlike(r"[};]|,\s*$")
+    closed = F.when((F.col("depth_after") == F.col("level")) & closes, F.struct(
+        F.col("line_no").alias("row"), (F.col("offset") + F.octet_length(F.rtrim(F.col("line")))).alias("byte")))
+    in_order = Window.partitionBy("path", "level").orderBy("line_no")
+    wide = (wide.withColumn("around", F.last(opened, ignorenulls=True).over(
+                in_order.rowsBetween(Window.unboundedPreceding, -1)))
+            .withColumn("stop", F.first(closed, ignorenulls=True).over(
+                in_order.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+    enclosing = F.when((F.col("level") < F.col("depth")) & F.col("around.kind").isin(CONTAINERS), F.col("around"))
+    return (wide.withColumn("parent", F.max(enclosing).over(Window.partitionBy("path", "line_no")))
+            .filter(here | ((F.col("depth") < 0) & (F.col("level") == 0))))
 
 
 def _parameters(header: Column) -> Column:
@@ -166,7 +148,6 @@ def definitions(files: DataFrame) -> DataFrame:
     sources = files.filter(F.col("path").endswith(".rs")).select("path", "content")
     rows = _starts(_depth_table(sources))
     is_impl = F.col("kind") == "impl"
-    rows = rows.withColumn("header_done", F.col("code").rlike("[{;]"))
     bare_impl = F.regexp_replace(F.col("trimmed"), r"^(?:unsafe\s+)?impl\s*(?:<[^{]*?>)?\s+", "")
     bare_impl = F.regexp_replace(bare_impl, r"\s*(?:where\b.*|\{.*)$", "")
     target = tx.trim(F.regexp_replace(bare_impl, r"^.*\bfor\s+", ""))
@@ -174,8 +155,7 @@ def definitions(files: DataFrame) -> DataFrame:
     rows = (rows.withColumn("impl_target", F.when(is_impl, target))
             .withColumn("trait_impl", F.when(is_impl, trait)))
 
-    parents = _with_parents(rows)
-    rows = rows.join(parents, ["path", "line_no"], "left")
+    rows = _add_nesting(_add_header(_add_lead(rows)))
     member_of = lambda kind: (F.col("parent.kind") == kind) & (F.col("parent.level") == F.col("depth") - 1)
     live = F.col("line_class") == "stop"
     is_field = F.col("kind").isNull() & live & member_of("struct") & F.col("trimmed").rlike("^" + FIELD_RULE)
@@ -187,11 +167,8 @@ def definitions(files: DataFrame) -> DataFrame:
             .when(is_impl, F.concat_ws(" for ", "trait_impl", "impl_target")).otherwise(F.col("name")))
     rows = rows.withColumn("kind2", kind).withColumn("name", name).withColumn("kind", F.col("kind2")).drop("kind2")
 
-    found = (rows.filter(F.col("kind").isNotNull())
-             .join(_header_texts(rows), ["path", "line_no"], "left")
-             .join(_docs(rows), ["path", "line_no"], "left")
-             .join(_ends(rows), ["path", "line_no"], "left"))
-    header = F.coalesce(F.col("header"), F.col("trimmed"))
+    found = rows.filter(F.col("kind").isNotNull())
+    header = F.when(F.col("kind").isin("field", "variant"), F.col("trimmed")).otherwise(F.col("header"))
     # a trait's function without a body is a signature, not a definition
     found = found.filter(~((F.col("kind") == "function") & tx.trim(header).endswith(";")))
     return found.select(
@@ -199,11 +176,12 @@ def definitions(files: DataFrame) -> DataFrame:
         (F.col("offset") + F.octet_length("line") - F.octet_length(tx.ltrim(F.col("line")))).alias("start"),
         F.when(F.col("kind").isin("field", "variant"),
                F.col("offset") + F.octet_length(F.regexp_replace(F.col("line"), r",?\s*$", "")))
-        .otherwise(F.col("end")).alias("end"),
+        .otherwise(F.col("stop.byte")).alias("end"),
         F.col("line_no").cast("bigint").alias("start_row"),
-        F.when(F.col("kind").isin("field", "variant"), F.col("line_no")).otherwise(F.col("end_row"))
+        F.when(F.col("kind").isin("field", "variant"), F.col("line_no")).otherwise(F.col("stop.row"))
         .cast("bigint").alias("end_row"),
-        F.col("parent.name").alias("parent"), "docs",
+        F.col("parent.name").alias("parent"),
+        F.nullif(F.array_join("doc_lines", "\n"), F.lit("")).alias("docs"),
         F.when(~F.col("kind").isin("impl", "variant", "macro", "associated_type"),
                F.nullif(F.regexp_extract("trimmed", r"^(pub(?:\([^)]*\))?)\s", 1), F.lit(""))).alias("visibility"),
         F.when(F.col("kind") == "function", _parameters(header)).alias("parameters"),
@@ -218,7 +196,7 @@ def definitions(files: DataFrame) -> DataFrame:
         F.when(F.col("kind").isin("field", "const", "static"),
                F.nullif(tx.trim(F.regexp_extract("trimmed", r":\s*([^=;]*?)\s*(?:[,;=].*)?$", 1)), F.lit("")))
         .alias("field_type"),
-        F.coalesce(F.col("attributes"), F.array().cast("array<string>")).alias("attributes"),
+        "attributes",
         ((F.col("kind") == "static") & F.col("trimmed").rlike(r"\bstatic\s+mut\b")).alias("is_mutable"),
         F.when(F.col("kind").isin("function", "trait", "impl"),
                F.filter(F.split(F.regexp_extract(header, r"^" + VIS + r"(.*?)\b(?:fn|trait|impl)\b", 1), r"\s+"),
@@ -232,36 +210,28 @@ def definition_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     Containers with members give way to them; a file without definitions is one
     chunk. The file text is joined once per file and cut inside the row.
     """
-    top = F.col("parent").isNull()
-    member_kinds = F.col("kind").isin("function", "const", "type_alias", "associated_type")
-    blocks = symbols.filter(F.col("kind").isin("impl", "trait")).select(
-        "path", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.col("kind").alias("b_kind"),
-        F.col("name").alias("b_name"), F.col("trait_impl").alias("b_trait"))
-    # the block a member sits in: the last one opened at or before it, in file order
-    marks = symbols.join(blocks.select("path", F.col("b_start").alias("start"), "b_end", "b_kind", "b_name"),
-                         ["path", "start"], "left")
-    order = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    block = F.last(F.when(F.col("b_end").isNotNull(), F.struct("start", F.col("b_end").alias("end"),
-                                                              F.col("b_kind").alias("kind"),
-                                                              F.col("b_name").alias("name"))), ignorenulls=True)
-    marked = marks.withColumn("block", block.over(order))
-    inside = F.col("block").isNotNull() & (F.col("end") <= F.col("block.end"))
     is_block = F.col("kind").isin("impl", "trait")
-    member = marked.filter(inside & member_kinds & ~is_block)
-    label = F.concat(F.col("block.kind"), F.lit(" "), F.col("block.name"))
-    span = lambda head: F.concat(head, F.lit(":"), F.col("start"), F.lit("-"), F.col("end"))
-    members = member.select("path", "start", "end", span(F.concat(label, F.lit("::"), F.col("name"))).alias("chunk_id"))
-    filled = member.select("path", F.col("block.start").alias("start")).distinct()
-    empty = (symbols.filter(is_block).join(filled, ["path", "start"], "left_anti")
-             .select("path", "start", "end", span(F.concat("kind", F.lit(" "), "name")).alias("chunk_id")))
+    upto = Window.partitionBy("path").orderBy("start", F.desc("end")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    block = F.last(F.when(is_block, F.struct("start", "end", "kind", "name")), ignorenulls=True).over(upto)
+    rows = symbols.select("path", "kind", "name", "parent", "start", "end").withColumn("block", block)
+    inside = F.coalesce(F.col("end") <= F.col("block.end"), F.lit(False)) & ~is_block
+    is_member = inside & F.col("kind").isin("function", "const", "type_alias", "associated_type")
+    rows = rows.withColumn("inside", inside).withColumn("is_member", is_member)
+    rows = rows.withColumn("n_members", F.count_if("is_member").over(Window.partitionBy("path", "block.start")))
+    top_kind = F.col("kind").isin("function", "mod", "struct", "enum", "const", "static", "type_alias", "macro", "use")
+    plain = F.col("parent").isNull() & ~F.col("inside") & top_kind
     prefix = (F.when(F.col("kind") == "function", "fn").when(F.col("kind") == "macro", "macro_definition")
               .when(F.col("kind") == "use", "use_declaration").when(F.col("kind") == "type_alias", "type")
               .otherwise(F.col("kind")))
     shown = F.when(F.col("kind") == "use", F.lit("use_declaration")).otherwise(F.col("name"))
-    plain = (marked.filter(top & ~inside & F.col("kind").isin(
-        "function", "mod", "struct", "enum", "const", "static", "type_alias", "macro", "use"))
-        .select("path", "start", "end", span(F.concat(prefix, F.lit("::"), shown)).alias("chunk_id")))
-    spans = members.unionByName(empty).unionByName(plain)
+    label = (F.when(F.col("is_member"), F.concat("block.kind", F.lit(" "), "block.name", F.lit("::"), "name"))
+             .when(is_block, F.concat("kind", F.lit(" "), "name"))
+             .otherwise(F.concat(prefix, F.lit("::"), shown)))
+    kept = rows.filter(F.col("is_member") | (is_block & (F.col("n_members") == 0)) | plain)
+    spans = kept.select("path", "start", "end",
+                        F.concat(label, F.lit(":"), "start", F.lit("-"), "end").alias("chunk_id"))
+    # spans of one file
     listed = spans.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "chunk_id"))).alias("spans"))
     texts = files.filter(F.col("path").endswith(".rs")).select("path", "content").join(listed, "path", "left")
     full = F.array(F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"),

@@ -47,9 +47,10 @@ def most_connected(edges: DataFrame, symbols: DataFrame, n: int | None = 10) ->
         F.coalesce("file", F.lit("unknown")).alias("file"))
 
 
-def complexity_bombs(file_summaries: DataFrame, function_docs: DataFrame, n: int | None = 10) -> DataFrame:
-    """Files above 3.0 and functions rated High."""
-    files = file_summaries.filter(F.col("complexity_score") > MEDIUM_FILE).select(
+def complexity_bombs(file_summaries: DataFrame, function_docs: DataFrame, n: int | None = 10,
+                     medium: float = MEDIUM_FILE) -> DataFrame:
+    """Files above ``medium`` (3.0) and functions rated High."""
+    files = file_summaries.filter(F.col("complexity_score") > medium).select(
         F.concat(F.lit("file:"), "path").alias("symbol"), "path",
         F.col("complexity_score").cast("double").alias("complexity_score"),
         F.when(F.col("complexity_score") > HIGH_FILE, "High").otherwise("Medium").alias("complexity_estimate"),
