@@ -4,7 +4,7 @@ from codeloom.catalog import registry
 
 
 def _load() -> None:
-    from codeloom.catalog import code, files  # noqa: F401
+    from codeloom.catalog import code, files, vectors  # noqa: F401
 
 
 def queries():
