@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom import rules
-from codeloom.catalog.derived import DOC_SQL, SYMBOL_SQL, code_files, doc_files, symbol_table
-from codeloom.catalog.derived import CODE_SQL
+from codeloom.catalog.derived import CODE_SQL, SYMBOL_SQL, code_files, symbol_table
 from codeloom.catalog.registry import query
 from codeloom.catalog.vectors import sql_embedding
-from codeloom.functions import paths
 from codeloom.functions import text as tx
 from codeloom.functions import vectors as vx
-from codeloom.operators import blocks, chunking, communities, embedding, mentions, search
+from codeloom.operators import blocks, communities, embedding, mentions, search
+from codeloom.session import cut_lineage
 
 _WORD = "[^\\p{L}\\p{M}\\p{N}_]+"
 _IDENT = "regexp_replace({c}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
@@ -246,8 +245,8 @@ def mention_counts(t):
 _TWO_WORDS = f"""n2 AS (SELECT DISTINCT w[1] || ' ' || w[2] AS name FROM (SELECT list_filter(string_split_regex(text, '{_WORD}'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 1 AND w[1] <> w[2])"""
 
 
-@query("phrase_mentions", f"""WITH {_TWO_WORDS} SELECT name, count(*) AS n_docs FROM n2 JOIN documents ON contains(text, name)
- AND regexp_matches(text, '(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_])' || name || '($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])') GROUP BY name""")
+@query("phrase_mentions", f"""WITH {_TWO_WORDS}, tx AS (SELECT doc_id, ' ' || regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]', ' | ', 'g') || ' ' AS text FROM documents)
+SELECT name, count(*) AS n_docs FROM n2 JOIN tx ON contains(text, ' ' || name || ' ') GROUP BY name""")
 def phrase_mentions(t):
     """Names of two words, found by their longest word and then verified."""
     w = tx.words(F.col("text"))
@@ -397,7 +396,8 @@ h AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, ch
 
 def _ask_inputs(t):
     q = embedding.hashing_embedding(t.benchmark, "text", ["item_id"], hash_name="md5").withColumnRenamed("item_id", "question_id")
-    d = embedding.hashing_embedding(t.documents, "text", ["doc_id"], hash_name="md5")
+    # vectors are a table of their own: every step below reads it instead of embedding again
+    d = cut_lineage(embedding.hashing_embedding(t.documents, "text", ["doc_id"], hash_name="md5"))
     chunks = d.join(t.documents.select("doc_id", "source", "text"), "doc_id").select(
         F.col("doc_id").alias("chunk_key"), F.col("source").alias("file"), "text", "embedding")
     return q, chunks
