@@ -73,5 +73,5 @@ def spread(df: DataFrame) -> DataFrame:
     A small file is one split, hence one task. The planner's size estimate
     decides: an input above 64 MB has splits enough and is never shuffled here.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT_BYTES else df
