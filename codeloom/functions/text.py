@@ -43,10 +43,10 @@ def identifier_tokens(text: Column) -> Column:
 
 
 def is_label_token(tok: Column) -> Column:
-    digits = F.length(F.regexp_replace(tok, "[^0-9]", ""))
-    letters = F.length(F.regexp_replace(tok, "[^A-Za-z]", ""))
+    """At least three characters, no stop word or verb, not more digits than letters."""
+    letters = F.length(F.translate(tok, "0123456789", ""))
     banned = rules.LABEL_STOPWORDS + rules.LABEL_VERBS
-    return (F.length(tok) >= 3) & ~F.lower(tok).isin(banned) & (letters > 0) & (digits <= letters)
+    return (F.length(tok) >= 3) & (2 * letters >= F.length(tok)) & ~F.lower(tok).isin(banned)
 
 
 def label_tokens(text: Column) -> Column:
