@@ -96,7 +96,7 @@ def _add_header(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("seq", F.count_if(F.col("kind").isNotNull()).over(upto))
     group = Window.partitionBy("path", "seq")
     ordered = group.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    last = F.min(F.when(F.col("code").rlike("[{;]"), F.col("line_no"))).over(group)
+    last = F.min(F.when(F.col("code").rlike(r"\{|;\s*$"), F.col("line_no"))).over(group)
     rows = rows.withColumn("header_last", F.coalesce(last, F.col("line_no")))
     part = F.when(F.col("line_no") <= F.col("header_last"), F.col("trimmed"))
     return rows.withColumn("header", F.array_join(F.collect_list(part).over(ordered), " "))
@@ -119,7 +119,7 @@ def _add_nesting(rows: DataFrame) -> DataFrame:
     opened = F.when(here & (is_container | (F.col("opened") > 0)), F.struct(
         "level", F.coalesce("impl_target", "name").alias("name"),
         F.when(is_container, F.col("kind")).otherwise("other").alias("kind")))
-    closes = F.col("code").rlike(r"[};]|,\s*$")
+    closes = F.col("code").rlike(r"\}|;\s*$")
     closed = F.when((F.col("depth_after") == F.col("level")) & closes, F.struct(
         F.col("line_no").alias("row"), (F.col("offset") + F.octet_length(F.rtrim(F.col("line")))).alias("byte")))
     in_order = Window.partitionBy("path", "level").orderBy("line_no")
@@ -132,10 +132,27 @@ def _add_nesting(rows: DataFrame) -> DataFrame:
             .filter(here | ((F.col("depth") < 0) & (F.col("level") == 0))))
 
 
+def _count(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(F.translate(text, chars, ""))
+
+
+def _top_level_parts(text: Column) -> Column:
+    """Split at commas that no bracket encloses: pieces join up while a bracket is open."""
+    def step(acc: Column, piece: Column) -> Column:
+        plain = F.replace(piece, F.lit("->"), F.lit(""))
+        grown = F.concat(F.slice(acc["parts"], F.lit(1), F.size(acc["parts"]) - 1),
+                         F.array(F.concat(F.element_at(acc["parts"], -1), F.lit(","), piece)))
+        return F.struct(
+            F.when(acc["depth"] > 0, grown).otherwise(F.concat(acc["parts"], F.array(piece))).alias("parts"),
+            (acc["depth"] + _count(plain, "<([{") - _count(plain, ">)]}")).alias("depth"))
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("depth"))
+    return F.aggregate(F.split(text, ","), start, step, lambda acc: acc["parts"])
+
+
 def _parameters(header: Column) -> Column:
-    # split only at commas that are not inside brackets
     inner = F.regexp_extract(header, r"fn\s+\w+\s*(?:<[^(]*>)?\s*\((.*?)\)\s*(?:->|where\b|\{|;|$)", 1)
-    parts = F.filter(F.transform(F.split(inner, r",(?![^<(\[]*[>)\]])"), tx.trim), lambda p: p != "")
+    parts = F.filter(F.transform(_top_level_parts(inner), tx.trim), lambda p: p != "")
     one = lambda p: F.when(
         p.rlike(r"(^|[\s&])self$"), F.struct(p.alias("name"), p.alias("type"))).otherwise(
         F.struct(tx.trim(F.regexp_extract(p, r"^([^:]*):", 1)).alias("name"),

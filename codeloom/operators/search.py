@@ -118,6 +118,9 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, table: DataFrame,
     chunks: chunk_key, file, text, embedding. Returns the ranked symbols, the
     distinct files and up to three code examples per question.
     """
+    # one row per name, as an answer names a symbol once
+    table = table.groupBy("name").agg(F.max_by(F.struct("kind", "file", "summary"), F.struct("file", "kind")).alias("r")).select(
+        "name", "r.*")
     hits = chunk_hits(questions, chunks, limit * 2)
     ranked = rank_symbols(hits, chunks, table, limit)
     info = table.select(F.col("name").alias("symbol"), "kind", "file", "summary")
