@@ -13,12 +13,14 @@ THRESHOLD = 0.3
 EPS, MIN_POINTS = 0.68, 3
 
 _D = "CAST(embedding AS DOUBLE[])"
-SQL_PAIRS = f"""v AS (SELECT vec_id, label, {_D} AS e FROM embeddings),
-pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {THRESHOLD})"""
+# copies of a vector hang on the smallest id, distinct vectors are paired
+SQL_PAIRS = f"""v AS (SELECT min(vec_id) AS vec_id, embedding, {_D} AS e FROM embeddings GROUP BY embedding),
+pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {THRESHOLD}
+UNION ALL SELECT v.vec_id, c.vec_id, list_dot_product(v.e, v.e) FROM v JOIN embeddings c ON c.embedding = v.embedding AND c.vec_id <> v.vec_id)"""
 
 
 def pairs(t, threshold=THRESHOLD):
-    return similarity.similar_pairs(t.embeddings, threshold)
+    return similarity.similarity_links(t.embeddings, threshold)
 
 
 @query("sim_pairs", f"WITH {SQL_PAIRS} SELECT src, dst, round(score, 6) AS score FROM pairs")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import vectors as vx
+from codeloom.session import cut_lineage
 
 MAX_PIVOTS = 1024
 CELL_ROWS = 50_000
@@ -239,6 +240,23 @@ def similar_pairs(df: DataFrame, threshold: float, vec_id: str = "vec_id", vecto
     return _tile_join(left, right, kernel, schema)
 
 
+def similarity_links(df: DataFrame, threshold: float, vec_id: str = "vec_id", vector: str = "embedding",
+                     cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Links (src, dst, score) of a table that may hold many exact copies.
+
+    Distinct vectors are paired exactly; every further copy hangs on its
+    representative by one link. The links connect the same rows as all pairs
+    would, and a group of n copies gives n - 1 rows instead of n (n - 1) / 2.
+    """
+    reps = cut_lineage(distinct_vectors(df, vec_id, vector))
+    pairs = similar_pairs(reps, threshold, vec_id="id", cell_rows=cell_rows)
+    unit = vx.dot(F.col("embedding"), F.col("embedding"))
+    copies = (df.select(F.col(vec_id).alias("dst"), F.col(vector).alias("embedding"))
+              .join(reps.select("embedding", F.col("id").alias("src")), "embedding").filter(F.col("src") != F.col("dst"))
+              .select("src", "dst", F.round(unit, SCORE_DIGITS).alias("score")).filter(F.col("score") >= threshold))
+    return pairs.unionByName(copies)
+
+
 def _top_tiles(queries: DataFrame, base: DataFrame, cells: Cells, k: int, floor: float | None,
                mode: str, theta: float | None, metric: str) -> DataFrame:
     """Up to k candidates per query and tile; queries (id, vec, cells)."""

@@ -43,7 +43,7 @@ def build_pack(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD, with_c
     if with_communities:
         keyed = vectors.join(chunks.select("path", "chunk_ord", "chunk_id"), ["path", "chunk_ord"]).select(
             edges.chunk_key(F.col("path"), F.col("chunk_id")).alias("vec_id"), "path", "chunk_ord", "embedding")
-        pairs = cut_lineage(similarity.similar_pairs(keyed, threshold))
+        pairs = cut_lineage(similarity.similarity_links(keyed, threshold))
         graph_edges = graph_edges.unionByName(edges.similarity_edges(pairs))
         found = graph.louvain(pairs.withColumnRenamed("score", "weight"))
         # chunks without a similar partner are communities of their own

@@ -31,6 +31,15 @@ def test_similar_pairs_equal_brute_force(vectors, cell_rows):
     assert len(got) == len(set(got)) and set(got) == set(zip(i.tolist(), j.tolist()))
 
 
+def test_links_connect_what_all_pairs_connect(vectors):
+    x, df = vectors
+    every = graph.connected_components(similarity.similar_pairs(df, 0.8)).collect()
+    links = similarity.similarity_links(df, 0.8)
+    assert {tuple(r) for r in graph.connected_components(links).collect()} == {tuple(r) for r in every}
+    copies = len(x) // 3
+    assert links.filter("src = 0").filter(F.col("dst") < copies).count() == copies - 1
+
+
 @pytest.mark.parametrize("cell_rows", [50_000, 40])
 def test_top_k_equals_brute_force(vectors, cell_rows):
     x, df = vectors
