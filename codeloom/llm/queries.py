@@ -7,14 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, exact_dedup, sharding, url_filters, warc
+from codeloom.llm import chat, exact_dedup, packing, quality_model, quality_rules, sharding, tokens, url_filters, warc
 from codeloom.llm.common import documents, prepare
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_model.score(docs, quality_model.train(docs, labels))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary_path()
+    decoded = tokens.decode_documents(tokens.encode_documents(documents(spark, sf_dir), path), path)
+    return decoded.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 SHARD_WEIGHTS = [1.0] * 8
 
 
@@ -22,6 +43,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), SHARD_WEIGHTS, grown=[*SHARD_WEIGHTS, 1.0])
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(documents(spark, sf_dir))
+
+
 URL_RULES = [url_filters.Rule("block", "net"), url_filters.Rule("allow", "example.net", "/en/"),
              url_filters.Rule("block", "example.com", "/de/"), url_filters.Rule("allow", "org", "/fr/")]
 
@@ -30,6 +55,10 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), vocabulary_path()).drop("ids")
+
+
 PROBE = "\\### Assistant: </turn> ok"
 
 
@@ -47,7 +76,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op5_sharding, op7_url_filters, op9_chat_format, op10_warc)}
+    return {f.__name__: f for f in (op1_quality_model, op3_exact_dedup, op4_bpe, op5_sharding, op6_quality_rules, op7_url_filters,
+                                     op8_packing, op9_chat_format, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ batch are hashed without making a Python object of any. A long text is taken in
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,12 +48,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = VALUES) -> np.ndarray:
-    """Hashes of the byte runs [start, end) of ``data``."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * _power("base", n)[:n], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power("inverse", n)[starts]
+def _prefix(data: np.ndarray, values: np.ndarray) -> np.ndarray:
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    spread = values[data]
+    spread *= _power("base", len(data))[:len(data)]
+    np.cumsum(spread, out=sums[1:])
+    return sums
+
+
+def _run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte runs [start, end) from the prefix sums of their slice."""
+    raw = (sums[ends] - sums[starts]) * _power("inverse", len(sums))[starts]
     return mix(raw + (ends - starts).astype(np.uint64) * _STEP)
 
 
@@ -67,7 +73,7 @@ class Words:
     hash: np.ndarray
 
 
-def _slices(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+def _slices(data: np.ndarray, offsets: np.ndarray, limit: int, cut: np.ndarray) -> Iterator[tuple[int, int]]:
     low, last = 0, int(offsets[-1])
     while low < last:
         high = min(low + limit, last)
@@ -77,38 +83,56 @@ def _slices(data: np.ndarray, offsets: np.ndarray, limit: int) -> Iterator[tuple
                 high = edge
             else:
                 row_end = int(offsets[np.searchsorted(offsets, low, "right")])
-                spaces = np.flatnonzero(IS_SPACE[data[low:high]])
+                spaces = np.flatnonzero(cut[data[low:high]])
                 if len(spaces):
                     high = low + int(spaces[-1]) + 1
                 else:
-                    while high < row_end and not IS_SPACE[data[high]]:
+                    while high < row_end and not cut[data[high]]:
                         high += 1
         yield low, high
         low = high
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, limit: int = SLICE_BYTES,
-             is_break: np.ndarray = IS_SPACE) -> Words:
+def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = False, limit: int = SLICE_BYTES) -> Words:
+    return runs_of(data, offsets, (IS_SPACE,), lower, limit)[0]
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, breaks: tuple[np.ndarray, ...], lower: bool = False, limit: int = SLICE_BYTES,
+            split: Callable | None = None) -> list[Words]:
+    """Runs of bytes between breaks, for each table of break bytes. Slices are cut at bytes that are breaks in all tables.
+
+    ``split(chunk, starts, ends)`` may cut runs further.
+    """
     values = LOWER_VALUES if lower else VALUES
-    parts: list[tuple[np.ndarray, ...]] = []
-    for low, high in _slices(data, offsets, limit):
+    cut = np.logical_and.reduce(breaks)
+    parts: list[list[tuple[np.ndarray, ...]]] = [[] for _ in breaks]
+    for low, high in _slices(data, offsets, limit, cut):
         chunk = data[low:high]
-        solid = ~is_break[chunk]
-        first = np.zeros(len(chunk), bool)
-        first[0] = True
-        inside = offsets[np.searchsorted(offsets, low, "left"):np.searchsorted(offsets, high, "left")] - low
-        first[inside] = True
-        begin = solid.copy()
-        begin[1:] &= ~solid[:-1] | first[1:]
-        stop = solid.copy()
-        stop[:-1] &= ~solid[1:] | first[1:]
-        starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-        parts.append((starts + low, ends + low, run_hashes(chunk, starts, ends, values)))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return Words(none, none, none, np.zeros(0, np.uint64))
-    start, end, hashes = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    return Words(np.searchsorted(offsets, start, "right") - 1, start, end, hashes)
+        inside = offsets[np.searchsorted(offsets, low, "right"):np.searchsorted(offsets, high, "left")] - low
+        sums = _prefix(chunk, values)
+        for found, is_break in zip(parts, breaks, strict=True):
+            solid = ~is_break[chunk]
+            edge = np.empty(len(chunk) + 1, bool)
+            edge[0], edge[-1] = solid[0], solid[-1]
+            np.not_equal(solid[1:], solid[:-1], out=edge[1:-1])
+            # a row border inside a run ends one and starts one
+            joint = np.unique(inside[solid[inside - 1] & solid[inside]])
+            at = np.flatnonzero(edge)
+            starts, ends = at[::2], at[1::2]
+            if len(joint):
+                starts, ends = np.sort(np.concatenate([starts, joint])), np.sort(np.concatenate([ends, joint]))
+            if split:
+                starts, ends = split(chunk, starts, ends)
+            found.append((starts + low, ends + low, _run_hashes(sums, starts, ends)))
+    out = []
+    for found in parts:
+        if not found:
+            none = np.zeros(0, np.int64)
+            out.append(Words(none, none, none, np.zeros(0, np.uint64)))
+            continue
+        start, end, hashes = (np.concatenate([p[i] for p in found]) for i in range(3))
+        out.append(Words(np.searchsorted(offsets, start, "right") - 1, start, end, hashes))
+    return out
 
 
 def windows(hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
