@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, exact_dedup, packing, quality_model, quality_rules, sharding, tokens, url_filters, warc
+from codeloom.llm import chat, exact_dedup, near_dedup, packing, quality_model, quality_rules, sharding, tokens, url_filters, warc
 from codeloom.llm.common import documents, prepare
 
 
@@ -25,6 +25,10 @@ def op1_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, labels))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -76,7 +80,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_model, op3_exact_dedup, op4_bpe, op5_sharding, op6_quality_rules, op7_url_filters,
+    return {f.__name__: f for f in (op1_quality_model, op2_near_dedup, op3_exact_dedup, op4_bpe, op5_sharding, op6_quality_rules, op7_url_filters,
                                      op8_packing, op9_chat_format, op10_warc)}
 
 
