@@ -54,23 +54,26 @@ def _clean(value: Column) -> Column:
     return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
+def _name(key: Column) -> Column:
+    return F.coalesce(key.cast("long").cast("string"), F.lit("none"))
+
+
 def records(pages: DataFrame, *, key: str = "page_id", uri: str = "url", payload: str = "html", min_bytes: int = 0,
             date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """(record): the text of one record for each row, without the end mark."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(uri).alias("uri"), body.alias("body"),
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), _name(F.col(key)).alias("id"), F.col(uri).alias("uri"), body.alias("body"),
                         F.sha1(body.cast("binary")).alias("digest"), F.sha2(body.cast("binary"), 256).alias("check"))
     headers = pages.select(F.col(key).cast("long").alias("page_id"), F.sha1(body.cast("binary")).alias("digest"),
                            F.sha2(body.cast("binary"), 256).alias("check"), F.octet_length(body).cast("long").alias("n_bytes"))
-    found = cut_lineage(resolve(headers, min_bytes)).select(
-        F.col("page_id").alias("id"), F.col("digest").alias("by"), F.col("check").alias("and_by"), "winner")
-    joined = rows.join(found, rows["page_id"].eqNullSafe(found["id"]) & (rows["digest"] == found["by"])
-                       & (rows["check"] == found["and_by"]))
-    copy = F.row_number().over(Window.partitionBy("page_id", "digest", "check").orderBy("page_id"))
+    found = cut_lineage(resolve(headers, min_bytes)).select(_name(F.col("page_id")).alias("id"), "digest", "check", "winner")
+    # payloads move once: the copies are numbered where the join has put them
+    joined = rows.join(found, ["id", "digest", "check"])
+    copy = F.row_number().over(Window.partitionBy("id", "digest", "check").orderBy("id", "digest", "check"))
     is_new = F.col("winner").isNull() | ((F.col("winner") == F.col("page_id")) & (F.col("copy") == 1))
 
     def name(key_column: Column, copy: Column) -> Column:
-        return F.concat(F.lit("<urn:x-page:"), F.coalesce(key_column.cast("string"), F.lit("none")), F.lit(":"), copy.cast("string"), F.lit(">"))
+        return F.concat(F.lit("<urn:x-page:"), _name(key_column), F.lit(":"), copy.cast("string"), F.lit(">"))
 
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.octet_length("body").cast("string"), F.lit(END))
