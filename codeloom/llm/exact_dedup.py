@@ -72,11 +72,12 @@ def exact_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sal
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    groups = cut_lineage(exact_groups(docs, key=key, text=text, salts=salts).select("digest", "keep_id"))
-    names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(key).cast("long").alias("keep_id"),
+    def named(column: Column) -> Column:
+        return F.coalesce(column.cast("string"), F.lit("none")).alias("id")
+
+    groups = cut_lineage(exact_groups(docs, key=key, text=text, salts=salts).select("digest", named(F.col("keep_id"))))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), named(F.col(key).cast("long")),
                         F.sha2(normalised(text), 256).alias("digest"))
-    by = Window.partitionBy("keep_id", "digest").orderBy("keep_id")
-    kept = whole.join(groups, whole["keep_id"].eqNullSafe(groups["keep_id"]) & (whole["digest"] == groups["digest"]))
-    return (kept.select("row", whole["keep_id"], whole["digest"]).withColumn("copy", F.row_number().over(by))
-            .filter("copy = 1").select("row.*"))
+    # rows that repeat the winner are numbered where the join has put them
+    by = Window.partitionBy("id", "digest").orderBy("id", "digest")
+    return (whole.join(groups, ["id", "digest"]).withColumn("copy", F.row_number().over(by)).filter("copy = 1").select("row.*"))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, exact_dedup, near_dedup, packing, quality_model, quality_rules, sharding, tokens, url_filters, warc
+from codeloom.llm import chat, exact_dedup, near_dedup, oracles, packing, quality_model, quality_rules, sharding, tokens, url_filters, warc
 from codeloom.llm.common import documents, prepare
+from codeloom.llm.text_stats import SENTENCE_ENDS
 
 
 VOCABULARY = "word_bpe_49k.json"
@@ -56,7 +57,7 @@ URL_RULES = [url_filters.Rule("block", "net"), url_filters.Rule("allow", "exampl
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filters.judge_urls(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+    return url_filters.judge_urls(prepare(spark).read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).drop("purity")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,4 +86,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Classifier scores, tokenizer ids and the packing of tokens have no SQL form."""
+    rules = oracles.quality_rules(quality_rules.RULES, quality_rules.BOILERPLATE, r"[#*$%&|<>!~^=_{}\[\]\\@]", r"[|<>]", SENTENCE_ENDS)
+    return {"op2_near_dedup": oracles.NEAR_DEDUP, "op3_exact_dedup": oracles.EXACT_DEDUP, "op5_sharding": oracles.SHARDING,
+            "op6_quality_rules": rules, "op7_url_filters": oracles.url_filters(URL_RULES), "op9_chat_format": oracles.chat_format(PROBE),
+            "op10_warc": oracles.WARC}
