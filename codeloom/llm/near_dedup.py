@@ -1,14 +1,15 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Each set of word shingles has a sketch of ``POSITIONS`` minwise tokens. A tree starts with all sets in one node and sends
+Each set of word shingles has a sketch of ``POSITIONS`` minwise tokens, of which the first ``BRANCHING`` are kept whole. A tree starts with all sets in one node and sends
 each set of a node that is too large to the children of two positions chosen by the node's hash, a child for each token
 there. Sets of similarity J part ways at a position with probability 1 - J, so with two choices they stay together down
 the tree with probability 1 - ((1 - J) / J)^2 at least, 0.89 for J = 0.75; ``TREES`` independent trees find a pair with
 0.9999 and more. Small nodes are compared exhaustively by sketch, and pairs that look similar are confirmed on full sets.
 
 Sets, not documents, are joined: equal sets are one class. As only components are asked for, pairs inside a component that
-is already known are not looked at again, and a node whose sets are all in one component is done. A group of near copies of
-any size is so settled by comparing each with a few pivots of its node, without a row for each pair.
+is already known are not looked at again, and a node whose sets are all in one component is done. A large group of near
+copies is so settled by comparing each with a few pivots of its node, without a row for each pair, and sets of a node that
+are not in its main component yet are compared with all others as soon as that is little work.
 """
 
 from __future__ import annotations
@@ -28,11 +29,16 @@ from codeloom.session import cut_lineage
 
 SHINGLE = 5
 SIMILARITY = 75  # percent
-POSITIONS = 64
+POSITIONS = 256
+BRANCHING = 32
+SKETCH_BYTES = 4 * BRANCHING + POSITIONS - BRANCHING
 TREES = 5
-LEAF_SETS = 256
-# a pair is confirmed on full sets from this many equal tokens: five standard errors under the similarity
-SKETCH_CUT = 31
+LEAF_SETS = 512
+# a large node counts as small if its sets outside the main component times all its sets are at most so many
+LEAF_PAIRS = 1 << 22
+LEAF_ROWS = 1 << 14
+# a pair is confirmed on full sets from this many equal low bytes: 4.5 standard errors under the similarity
+SKETCH_CUT = 161
 PIVOTS = 4
 SALTS = 64
 
@@ -64,14 +70,14 @@ def shingle_sets(texts) -> list[np.ndarray]:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """The least value of the set at each position."""
+    """The least value of the set at each position: whole for the first ones, then low bytes."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
-    for low in range(0, len(x), 2048):
-        values = np.multiply.outer(_FACTORS, x[low:low + 2048])
+    for low in range(0, len(x), 512):
+        values = np.multiply.outer(_FACTORS, x[low:low + 512])
         values += _TERMS[:, None]
         np.minimum(least, values.min(axis=1), out=least)
-    return least.astype("<u4").tobytes()
+    return least[:BRANCHING].astype("<u4").tobytes() + least[BRANCHING:].astype(np.uint8).tobytes()
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -92,15 +98,23 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "key long, n_shingles long, digest binary, sig binary")
 
 
-def _matrix(column) -> np.ndarray:
+def _tokens(column) -> np.ndarray:
+    """The whole tokens of each row."""
     data, _ = byte_view(column)
-    return np.frombuffer(data.tobytes(), "<u4").reshape(-1, POSITIONS)
+    return np.ascontiguousarray(data.reshape(-1, SKETCH_BYTES)[:, :4 * BRANCHING]).view("<u4")
+
+
+def _low_bytes(column) -> np.ndarray:
+    """The low byte of each position of each row."""
+    data, _ = byte_view(column)
+    whole = data.reshape(-1, SKETCH_BYTES)
+    return np.concatenate([whole[:, :4 * BRANCHING:4], whole[:, 4 * BRANCHING:]], axis=1)
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
     """The two child nodes of each row."""
-    first = (mix(node ^ _ONE) % np.uint64(POSITIONS)).astype(np.int64)
-    second = (first + 1 + (mix(node ^ _THREE) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
+    first = (mix(node ^ _ONE) % np.uint64(BRANCHING)).astype(np.int64)
+    second = (first + 1 + (mix(node ^ _THREE) % np.uint64(BRANCHING - 1)).astype(np.int64)) % BRANCHING
     rows = np.arange(len(node))
     return [mix(node * _ONE + p.astype(np.uint64) * _TWO + sig[rows, p].astype(np.uint64) * _THREE) for p in (first, second)]
 
@@ -109,7 +123,7 @@ def first_nodes(reps: DataFrame, trees: int) -> DataFrame:
     """(node, rep): the children of the roots."""
     def run(batches):
         for batch in batches:
-            sig = _matrix(batch.column("sig"))
+            sig = _tokens(batch.column("sig"))
             nodes = [c for t in range(trees) for c in _children(np.full(len(sig), mix(np.array([t + 1], np.uint64))[0]), sig)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.concat_arrays([batch.column("rep")] * len(nodes))],
                                              names=["node", "rep"])
@@ -121,7 +135,7 @@ def next_nodes(rows: DataFrame) -> DataFrame:
     """(node, rep): the children of the nodes of (node, rep, sig)."""
     def run(batches):
         for batch in batches:
-            nodes = _children(batch.column("node").to_numpy().view(np.uint64), _matrix(batch.column("sig")))
+            nodes = _children(batch.column("node").to_numpy().view(np.uint64), _tokens(batch.column("sig")))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.concat_arrays([batch.column("rep")] * 2)], names=["node", "rep"])
 
     return rows.select("node", "rep", "sig").mapInArrow(run, "node long, rep long")
@@ -129,13 +143,19 @@ def next_nodes(rows: DataFrame) -> DataFrame:
 
 def _node_pairs(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, cut: int, forest: bool) -> list[tuple[int, int]]:
     """Pairs of a node whose sketches are alike and whose labels differ: all, or the most similar ones that join all labels."""
-    equal = np.zeros((len(rep), len(rep)), np.int32)
-    for k in range(POSITIONS):
-        equal += sig[:, k, None] == sig[None, :, k]
-    a, b = np.nonzero(np.triu((equal >= cut) & (label[:, None] != label[None, :]), 1))
+    names, number, uses = np.unique(label, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(number != uses.argmax()) if uses.max() > 1 else np.arange(len(rep))
+    found = []
+    for a in outside.tolist():
+        equal = (sig == sig[a]).sum(axis=1)
+        others = np.flatnonzero((equal >= cut) & (number != number[a]))
+        # a pair of two outsiders is found at the first of them
+        others = others[(others > a) | (number[others] == uses.argmax())] if uses.max() > 1 else others[others > a]
+        found.append((np.full(len(others), a), others, equal[others]))
+    a, b, alike = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.int64),) * 3
     if forest and len(a) > 1:
-        order = np.argsort(-equal[a, b], kind="stable")
-        parent = {x: x for x in set(label.tolist())}
+        order = np.argsort(-alike, kind="stable")
+        parent = {x: x for x in names.tolist()}
 
         def root(x):
             while parent[x] != x:
@@ -156,12 +176,12 @@ def _node_pairs(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, cut: int, f
     return list(zip(np.minimum(rep[a], rep[b]).tolist(), np.maximum(rep[a], rep[b]).tolist(), strict=True))
 
 
-def leaf_pairs(rows: DataFrame, cut: int, forest: bool) -> DataFrame:
+def pairs_of_leaves(rows: DataFrame, cut: int, forest: bool) -> DataFrame:
     """(p, m) from small nodes: rows (node, rep, label, sig)."""
     def run(batches):
         for table in groups_of(batches, "node"):
             node, rep, label = (table.column(c).to_numpy() for c in ("node", "rep", "label"))
-            sig = _matrix(table.column("sig"))
+            sig = _low_bytes(table.column("sig"))
             edges = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
             sizes = np.diff(edges)
             two = edges[:-1][sizes == 2]
@@ -184,12 +204,12 @@ def star_pairs(rows: DataFrame, reps: DataFrame, cut: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rep, sig = batch.column("rep").to_numpy(), _matrix(batch.column("sig"))
+            rep, sig = batch.column("rep").to_numpy(), _low_bytes(batch.column("sig"))
             found = batch.column("pivots")
             edges, each = found.offsets.to_numpy() - found.offsets[0].as_py(), found.flatten()
             row = np.repeat(np.arange(len(rep)), np.diff(edges))
             other = each.field("rep").to_numpy()
-            equal = (sig[row] == _matrix(each.field("sig"))).sum(axis=1)
+            equal = (sig[row] == _low_bytes(each.field("sig"))).sum(axis=1)
             equal[other == rep[row]] = -1
             best = np.lexsort((other, -equal, row))
             best = best[np.unique(row[best], return_index=True)[1]]
@@ -222,19 +242,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     return right.join(left, ["p", "salt"]).select("p", "m", "p_text", "m_text").mapInArrow(run, "p long, m long, linked boolean")
 
 
-def _mixed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(node, rep, label, n) of the nodes with sets of several components."""
+def _mixed(rows: DataFrame, labels: DataFrame | None, leaf_sets: int, leaf_pairs: int) -> DataFrame:
+    """(node, rep, label, small) of the nodes with sets of several components."""
     if labels is None:
         rows = rows.select("node", "rep", F.col("rep").alias("label"))
     else:
         rows = rows.select("node", "rep").join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
-    stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
-    stats = cut_lineage(stats.filter("low < high").select("node", "n"))
-    return cut_lineage(rows.join(stats, "node").select("node", "rep", "label", "n"))
+        rows = cut_lineage(rows)
+    if labels is None:
+        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.lit(1).alias("main"), F.count("*").alias("labels"))
+    else:
+        stats = (rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
+                 .agg(F.sum("n").alias("n"), F.max("n").alias("main"), F.count("*").alias("labels")))
+    little = (F.col("n") <= leaf_sets) | ((F.col("n") <= LEAF_ROWS) & ((F.col("n") - F.col("main")) * F.col("n") <= leaf_pairs))
+    stats = cut_lineage(stats.filter("labels > 1").select("node", little.alias("small")))
+    return cut_lineage(rows.join(stats, "node").select("node", "rep", "label", "small"))
 
 
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, trees: int = TREES,
-                 leaf_sets: int = LEAF_SETS, sketch_cut: int = SKETCH_CUT) -> DataFrame:
+                 leaf_sets: int = LEAF_SETS, leaf_pairs: int = LEAF_PAIRS, sketch_cut: int = SKETCH_CUT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row.
 
     Linked are sets with 100 * intersection >= similarity * union; ``component_id`` is the smallest key reachable, and the
@@ -248,14 +274,14 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     classes = cut_lineage(sets.groupBy("digest").agg(F.min("key").alias("rep"), F.min_by("sig", "key").alias("sig")))
     members = made.select("key", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     labels = _links(spark, docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), classes.select("rep", "sig"),
-                    similarity, trees, leaf_sets, sketch_cut)
+                    similarity, trees, (leaf_sets, leaf_pairs), sketch_cut)
     found = members.join(labels, "rep", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
     component = F.when(F.col("key").isNotNull(), F.coalesce("label", "rep", "key"))
     return found.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"),
                         (F.col("key").isNull() | (F.col("key") == component)).alias("kept"))
 
 
-def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int, leaf_sets: int, cut: int) -> DataFrame | None:
+def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int, leaf: tuple[int, int], cut: int) -> DataFrame | None:
     """(rep, label) of the classes that have links; None if there are none."""
     rows, labels, waiting = first_nodes(reps, trees), None, None
     tested: list[DataFrame] = []
@@ -263,17 +289,17 @@ def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int,
     texts = None
     try:
         while True:
-            here = _mixed(rows, labels)
+            here = _mixed(rows, labels, *leaf)
             if texts is None:
                 # every later node holds only sets of these nodes
                 ids = here.select(F.col("rep").alias("id")).distinct()
                 buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
                 (docs.join(ids, "id", "left_semi").repartition(buckets, "id").write.bucketBy(buckets, "id").saveAsTable(table))
                 texts = spark.table(table)
-            small, large = here.filter(F.col("n") <= leaf_sets), here.filter(F.col("n") > leaf_sets).join(reps, "rep")
-            parts = [leaf_pairs(small.join(reps, "rep"), cut, True), star_pairs(large, reps, cut)]
+            small, large = here.filter("small"), here.filter("not small").join(reps, "rep")
+            parts = [pairs_of_leaves(small.join(reps, "rep"), cut, True), star_pairs(large, reps, cut)]
             if waiting is not None:
-                parts.append(leaf_pairs(waiting.join(reps, "rep"), cut, False))
+                parts.append(pairs_of_leaves(waiting.join(reps, "rep"), cut, False))
             pairs = reduce(DataFrame.unionByName, parts).distinct()
             for done in tested:
                 pairs = pairs.join(done, ["p", "m"], "left_anti")
@@ -284,10 +310,9 @@ def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int,
                 known = labels.select(F.col("rep").alias("src"), F.col("label").alias("dst")) if labels is not None else new.limit(0)
                 found = connected_components(new.unionByName(known))
                 labels = cut_lineage(found.select(F.col("node").alias("rep"), F.col("component").alias("label")))
-            still = _mixed(here, labels)
-            waiting = still.filter(F.col("n") <= leaf_sets)
-            deeper = still.filter(F.col("n") > leaf_sets)
-            rest = still.agg(F.count_if(F.col("n") <= leaf_sets), F.count_if(F.col("n") > leaf_sets)).first()
+            still = _mixed(here, labels, *leaf)
+            waiting, deeper = still.filter("small"), still.filter("not small")
+            rest = still.agg(F.count_if("small"), F.count_if(~F.col("small"))).first()
             if not rest[0] and not rest[1]:
                 return labels
             rows = next_nodes(deeper.join(reps, "rep"))
