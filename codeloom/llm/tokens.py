@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import byte_view, flat, groups_of, prepare, ranges
 from codeloom.llm.words import IS_SPACE, Words, mix, runs_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 
 # the pre-tokenizer's pattern, with spaces kept as marks between words
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+| ")
@@ -173,6 +173,7 @@ def _blocks(batches, block_bytes: int) -> Iterator[tuple[int, pa.Table]]:
         if size >= block_bytes:
             yield part + number, pa.Table.from_batches(held)
             number, held, size = number + 1, [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield part + number, pa.Table.from_batches(held)
 

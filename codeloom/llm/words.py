@@ -123,7 +123,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, breaks: tuple[np.ndarray, ...
                 starts, ends = np.sort(np.concatenate([starts, joint])), np.sort(np.concatenate([ends, joint]))
             if split:
                 starts, ends = split(chunk, starts, ends)
-            found.append((starts + low, ends + low, _run_hashes(sums, starts, ends)))
+            # an Arrow string column has less than 2**31 bytes
+            found.append(((starts + low).astype(np.int32), (ends + low).astype(np.int32), _run_hashes(sums, starts, ends)))
     out = []
     for found in parts:
         if not found:
@@ -131,7 +132,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, breaks: tuple[np.ndarray, ...
             out.append(Words(none, none, none, np.zeros(0, np.uint64)))
             continue
         start, end, hashes = (np.concatenate([p[i] for p in found]) for i in range(3))
-        out.append(Words(np.searchsorted(offsets, start, "right") - 1, start, end, hashes))
+        found.clear()
+        out.append(Words((np.searchsorted(offsets, start, "right") - 1).astype(np.int32), start, end, hashes))
     return out
 
 
