@@ -84,6 +84,8 @@ def test_odd_rows(spark, odd, none):
     assert {r.score for r in model.score(odd, unlearned).collect()} == {0.5}
 
 
-def test_the_sample_is_bounded(spark, small):
-    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    assert model.train(small, labels, max_rows=3, rounds=2).edges[0].size <= 3
+def test_the_sample_is_bounded(spark, small, monkeypatch):
+    labels, seen = spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), []
+    monkeypatch.setattr(model, "fit", lambda x, y, **_: seen.append(x.shape))
+    model.train(small, labels, max_rows=3)
+    assert seen == [(3, len(model.FEATURES))]
