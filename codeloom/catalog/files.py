@@ -241,11 +241,11 @@ def file_structure(t):
     return tree.file_structure(text_files(t))
 
 
-@query("chunk_whole", "SELECT doc_id, 'full' AS chunk_id, length(text) AS n FROM documents")
+@query("chunk_whole", "SELECT doc_id, 'full' AS chunk_id, length(text) AS n, sha256(text) AS digest FROM documents")
 def chunk_whole(t):
     """One chunk per text."""
     out = chunking.whole(t.documents, "text", ("doc_id",))
-    return out.select("doc_id", "chunk_id", F.length("text").cast("bigint").alias("n"))
+    return out.select("doc_id", "chunk_id", F.length("text").cast("bigint").alias("n"), F.sha2("text", 256).alias("digest"))
 
 
 @query("chunk_lines", f"""

@@ -49,14 +49,13 @@ def shortest_path(t):
     return out.withColumn("path", F.array_join("path", ">"))
 
 
-@query("order_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS src, 'd' || strftime(o_orderdate, '%Y-%m-%d') AS dst FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'),
+@query("order_components", """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || o_orderkey AS src, 'd' || strftime(o_orderdate, '%Y-%m-%d') AS dst FROM orders),
 l AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 walk(node, root) AS (SELECT src, src FROM l UNION SELECT l.dst, w.root FROM walk w JOIN l ON l.src = w.node)
 SELECT node, min(root) AS component FROM walk GROUP BY node""")
 def order_components(t):
     """Components of orders that share a day."""
-    rows = t.orders.filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "P"))
-    e = rows.select(F.concat(F.lit("o"), "o_orderkey").alias("src"),
+    e = t.orders.select(F.concat(F.lit("o"), "o_orderkey").alias("src"),
                     F.concat(F.lit("d"), F.date_format("o_orderdate", "yyyy-MM-dd")).alias("dst"))
     return graph.connected_components(e)
 
@@ -121,11 +120,12 @@ def circular_dependencies(t):
     return docs.circular_dependencies(_two_way(t))
 
 
-@query("dependency_overview", f"""WITH {_E}, n AS (SELECT count(*) AS internal FROM e WHERE edge_type IN ('file_to_file', 'symbol_to_symbol'))
-SELECT internal, 0 AS external, 0 AS circular, internal || ' internal dependencies, 0 external dependencies, 0 circular dependencies detected' AS summary FROM n""")
+@query("dependency_overview", f"""WITH {_TWO_WAY}, n AS (SELECT count(*) AS internal FROM w),
+c AS (SELECT count(*) AS circular FROM (SELECT DISTINCT w.src, w.dst FROM w JOIN w x ON x.src = w.dst AND x.dst = w.src))
+SELECT internal, 0 AS external, circular, internal || ' internal dependencies, 0 external dependencies, ' || circular || ' circular dependencies detected' AS summary FROM n, c""")
 def dependency_overview(t):
-    """Dependency counts in one row."""
-    return docs.dependency_overview(supply_edges(t))
+    """Dependency counts in one row; all cycles count."""
+    return docs.dependency_overview(_two_way(t))
 
 
 @query("neighbours", f"""WITH {_E} SELECT src AS node, dst AS related FROM e WHERE edge_type = 'symbol_to_symbol' UNION SELECT dst, src FROM e WHERE edge_type = 'symbol_to_symbol'""")
@@ -146,16 +146,16 @@ def most_impacting(t):
     return hotspots.most_impacting(supply_edges(t))
 
 
-@query("orphans", f"""WITH s AS ({SYMBOL_SQL}), e AS (SELECT p_name || ' ' || p_partkey AS src, 'o' || l_orderkey AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45),
+@query("orphans", f"""WITH s AS ({SYMBOL_SQL}), e AS (SELECT p_name || ' ' || p_partkey AS src, 'o' || l_orderkey AS dst FROM lineitem JOIN part ON p_partkey = l_partkey),
 c AS (SELECT src, count(*) AS n FROM e GROUP BY src)
 SELECT name AS symbol, file, coalesce(n, 0) AS connection_count, kind AS symbol_kind, kind = 'struct' AS is_exported FROM s LEFT JOIN c ON src = name
-WHERE kind <> 'const' AND coalesce(n, 0) <= 2 ORDER BY connection_count, symbol, file LIMIT 10""")
+WHERE kind <> 'const' AND coalesce(n, 0) <= 25 ORDER BY connection_count, symbol, file LIMIT 10""")
 def orphans(t):
-    """Symbols with at most two connections."""
+    """Symbols with at most 25 connections, over all rows."""
     names = t.part.select(F.concat("p_name", F.lit(" "), "p_partkey").alias("src"), F.col("p_partkey").alias("l_partkey"))
-    e = t.lineitem.filter(F.col("l_quantity") > 45).join(names, "l_partkey").select(
+    e = t.lineitem.join(names, "l_partkey").select(
         "src", F.concat(F.lit("o"), "l_orderkey").alias("dst"))
-    return hotspots.orphans(symbol_table(t), e)
+    return hotspots.orphans(symbol_table(t), e, limit=25)
 
 
 @query("refactor_impact", f"""WITH {_E}, d AS (SELECT DISTINCT src, dst FROM e), p AS (SELECT src AS a, dst AS b FROM d UNION SELECT dst, src FROM d UNION SELECT src, src FROM d UNION SELECT dst, dst FROM d),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.session import spread, tune
+from codeloom.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +26,9 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in TEXT_TABLES else table
+        cores = self.spark.sparkContext.defaultParallelism
+        # a table of fewer splits than cores (a file of one row group, say) would leave cores idle
+        return table.repartition(cores) if name in TEXT_TABLES and table.rdd.getNumPartitions() < cores else table
 
 
 def query(name: str, sql: str | None = None):

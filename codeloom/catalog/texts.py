@@ -28,7 +28,7 @@ def sql_label(col: str) -> str:
             "length(regexp_replace(w, '[^A-Za-z]', '', 'g'))), lambda w: lower(w))")
 
 
-_MIXED = "'getHTTPServer_' || replace(source, ' ', '') || 'V' || doc_id || '::' || substr(text, 1, 300)"
+_MIXED = "'getHTTPServer_' || replace(source, ' ', '') || 'V' || doc_id || '::' || text"
 
 
 @query("identifier_tokens", f"WITH d AS (SELECT doc_id, {_MIXED} AS s FROM documents) SELECT doc_id, array_to_string({sql_ident('s')}, ' ') AS tokens FROM d")
@@ -242,16 +242,15 @@ def mention_counts(t):
     return hits.groupBy("name").agg(F.count("*").alias("n_docs"), F.sum("doc_id").alias("checksum"))
 
 
-_TWO_WORDS = f"""n2 AS (SELECT DISTINCT w[1] || ' ' || w[2] AS name FROM (SELECT list_filter(string_split_regex(text, '{_WORD}'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) > 1 AND w[1] <> w[2])"""
+_TWO_WORDS = f"""n2 AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS name FROM (SELECT w, unnest(generate_series(1, len(w) - 1)) AS i FROM
+ (SELECT list_filter(string_split_regex(text, '{_WORD}'), lambda x: x <> '') AS w FROM benchmark)))"""
 
 
 @query("phrase_mentions", f"""WITH {_TWO_WORDS}, tx AS (SELECT doc_id, ' ' || regexp_replace(text, '[^\\p{{L}}\\p{{M}}\\p{{N}}_ ]', ' | ', 'g') || ' ' AS text FROM documents)
 SELECT name, count(*) AS n_docs FROM n2 JOIN tx ON contains(text, ' ' || name || ' ') GROUP BY name""")
 def phrase_mentions(t):
     """Names of two words, found by their longest word and then verified."""
-    w = tx.words(F.col("text"))
-    names = t.benchmark.select(w.alias("w")).filter((F.size("w") > 1) & (F.col("w")[0] != F.col("w")[1])).select(
-        F.concat_ws(" ", F.col("w")[0], F.col("w")[1]).alias("name"))
+    names = t.benchmark.select(F.explode(tx.bigrams(tx.words(F.col("text")))).alias("name")).distinct()
     hits = mentions.mention_pairs(t.documents, names, keys=("doc_id",))
     return hits.groupBy("name").agg(F.count("*").alias("n_docs"))
 
@@ -281,20 +280,19 @@ def usage_examples(t):
 
 
 # --- blocks -------------------------------------------------------------------
-_SHARE = """w AS (SELECT conv_id, turn, role, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: length(x) BETWEEN 1 AND 3)) AS s FROM conversations),
+_SHARE = """w AS (SELECT conv_id, turn, role, list_distinct(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> '')) AS s FROM conversations),
 g AS (SELECT *, lag(s) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM w),
 sh AS (SELECT *, CASE WHEN b IS NULL OR least(len(s), len(b)) = 0 THEN 0.0 ELSE len(list_intersect(s, b)) / least(len(s), len(b)) END AS share FROM g),
-bl AS (SELECT *, CAST(sum(CASE WHEN b IS NULL OR share < 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS block FROM sh)"""
+bl AS (SELECT *, CAST(sum(CASE WHEN b IS NULL OR share < 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS block FROM sh)"""
 
 
 def _turns(t):
-    short = F.filter(tx.words(F.lower("text")), lambda w: F.length(w) <= 3)
     return t.conversations.select("conv_id", "turn", F.concat("role", F.lit("::turn"), "turn", F.lit(":x")).alias("chunk_id"),
-                                  F.array_distinct(short).alias("containing_symbols"))
+                                  F.array_distinct(tx.words(F.lower("text"))).alias("containing_symbols"))
 
 
 def _blocks(t):
-    return blocks.semantic_blocks(_turns(t), ["conv_id"], "turn", share=0.5)
+    return blocks.semantic_blocks(_turns(t), ["conv_id"], "turn", share=0.3)
 
 
 @query("overlap_share", f"WITH {_SHARE} SELECT conv_id, turn, round(share, 6)::DOUBLE AS share FROM sh WHERE b IS NOT NULL")
@@ -472,9 +470,9 @@ def core_types(t):
     return search.core_types(symbol_table(t))
 
 
-@query("explanation_prompts", f"""WITH {_S} SELECT name, sha256('You are a senior software engineer explaining code to a junior developer.' || chr(10) || chr(10) || 'Explain what this ' || kind || ' does and WHY it exists in 1-2 simple sentences.' || chr(10) || chr(10)
- || 'Symbol: ' || name || chr(10) || CASE WHEN signature IS NULL THEN '' ELSE 'Signature: ' || signature || chr(10) END || 'Technical summary: ' || summary || chr(10) || chr(10) || 'Code:' || chr(10) || '```' || chr(10) || left(repeat(summary, 20), 500)
- || chr(10) || '```' || chr(10) || chr(10) || 'Plain-English explanation (1-2 sentences):') AS digest FROM s""")
+@query("explanation_prompts", f"""WITH {_S} SELECT name, sha256('{tx.PROMPT_TASK}' || chr(10) || 'kind=' || kind || chr(10) || 'name=' || name
+ || CASE WHEN signature IS NULL THEN '' ELSE chr(10) || 'signature=' || signature END || chr(10) || 'summary=' || summary || chr(10) || 'code:' || chr(10)
+ || left(repeat(summary, 20), 500) || chr(10) || 'answer:') AS digest FROM s""")
 def explanation_prompts(t):
     """Prompt rows for an explanation model."""
     c = F.col

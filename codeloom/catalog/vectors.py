@@ -13,14 +13,18 @@ THRESHOLD = 0.3
 EPS, MIN_POINTS = 0.68, 3
 
 _D = "CAST(embedding AS DOUBLE[])"
-# copies of a vector hang on the smallest id, distinct vectors are paired
-SQL_PAIRS = f"""v AS (SELECT min(vec_id) AS vec_id, embedding, {_D} AS e FROM embeddings GROUP BY embedding),
-pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {THRESHOLD}
-UNION ALL SELECT v.vec_id, c.vec_id, list_dot_product(v.e, v.e) FROM v JOIN embeddings c ON c.embedding = v.embedding AND c.vec_id <> v.vec_id)"""
+
+
+def _sql_pairs(table: str) -> str:
+    return f"""v AS (SELECT vec_id, {_D} AS e FROM {table}),
+pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_dot_product(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE list_dot_product(a.e, b.e) >= {THRESHOLD})"""
+
+
+SQL_PAIRS = _sql_pairs("embeddings")
 
 
 def pairs(t, threshold=THRESHOLD):
-    return similarity.similarity_links(t.embeddings, threshold)
+    return similarity.similar_pairs(t.embeddings, threshold)
 
 
 @query("sim_pairs", f"WITH {SQL_PAIRS} SELECT src, dst, round(score, 6) AS score FROM pairs")
@@ -29,6 +33,28 @@ def sim_pairs(t):
     return pairs(t).withColumn("score", F.round("score", 6))
 
 
+def _knn_sql(k: int, condition: str, score: str = "") -> str:
+    return f"""WITH v AS (SELECT vec_id, {_D} AS e FROM embeddings),
+s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.e, b.e), 9) AS score FROM v a JOIN v b ON {condition} {score}),
+r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s)
+SELECT src, dst, round(score, 6) AS score, rank FROM r WHERE rank <= {k}"""
+
+
+@query("sim_pairs_copies", f"""WITH twice AS (SELECT vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings),
+{_sql_pairs('twice')} SELECT src, dst, round(score, 6) AS score FROM pairs""")
+def sim_pairs_copies(t):
+    """Every vector has an exact copy; pairs of copies and pairs across copies all count, and cells are small."""
+    copies = t.embeddings.select((F.col("vec_id") + 1_000_000).alias("vec_id"), "embedding")
+    twice = t.embeddings.select("vec_id", "embedding").unionByName(copies)
+    return similarity.similar_pairs(twice, THRESHOLD, cell_rows=200).withColumn("score", F.round("score", 6))
+
+
+@query("knn_cells", _knn_sql(5, "a.vec_id <> b.vec_id"))
+def knn_cells(t):
+    """Nearest neighbours again, by way of small pivot cells."""
+    return similarity.top_k(t.embeddings, t.embeddings, 5, mode="full", cell_rows=100).withColumn("score", F.round("score", 6))
+
+
 @query("sim_pairs_euclidean", """
 SELECT a.vec_id AS src, b.vec_id AS dst, round(-sqrt(list_sum(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 5) AS score
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
@@ -38,13 +64,6 @@ def sim_pairs_euclidean(t):
     return similarity.similar_pairs(t.embeddings, -1.2, metric="euclidean").withColumn("score", F.round("score", 5))
 
 
-def _knn_sql(k: int, condition: str, score: str = "") -> str:
-    return f"""WITH v AS (SELECT vec_id, {_D} AS e FROM embeddings),
-s AS (SELECT a.vec_id AS src, b.vec_id AS dst, round(list_dot_product(a.e, b.e), 9) AS score FROM v a JOIN v b ON {condition} {score}),
-r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s)
-SELECT src, dst, round(score, 6) AS score, rank FROM r WHERE rank <= {k}"""
-
-
 @query("knn_top5", _knn_sql(5, "a.vec_id <> b.vec_id"))
 def knn_top5(t):
     """Five nearest neighbours of every vector, both directions."""
@@ -98,14 +117,13 @@ def vector_topk(t):
 
 
 @query("normalise", f"""WITH v AS (SELECT vec_id, list_transform({_D}, lambda x: x * 3.5) AS e FROM embeddings)
-SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(e[64] / sqrt(list_dot_product(e, e)), 6) AS last, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM v""")
+SELECT vec_id, list_transform(e, lambda x: round(x / sqrt(list_dot_product(e, e)), 6)) AS unit, round(sqrt(list_dot_product(e, e)), 6) AS norm FROM v""")
 def normalise(t):
     """V2: scaled vectors brought back to unit length."""
     scaled = F.transform(vx.as_double(F.col("embedding")), lambda x: x * 3.5)
     rows = t.embeddings.select("vec_id", scaled.alias("e"))
     rows = rows.select("vec_id", vx.l2_normalise(F.col("e")).alias("u"), vx.norm(F.col("e")).alias("norm"))
-    return rows.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[63], 6).alias("last"),
-                       F.round("norm", 6).alias("norm"))
+    return rows.select("vec_id", F.transform("u", lambda x: F.round(x, 6)).alias("unit"), F.round("norm", 6).alias("norm"))
 
 
 @query("dot_and_cosine", f"""WITH v AS (SELECT vec_id, {_D} AS e FROM embeddings)

@@ -245,7 +245,7 @@ def dependency_popularity(edges: DataFrame, n: int = 10) -> DataFrame:
 def dependency_overview(edges: DataFrame) -> DataFrame:
     """One row of counts and their text; external dependencies are not recorded and count 0."""
     internal = internal_dependencies(edges).agg(F.count("*").alias("internal"))
-    circular = circular_dependencies(edges).agg(F.count("*"))
+    circular = circular_dependencies(edges, n=None).agg(F.count("*"))
     one = internal.select("internal", F.lit(0).cast(_LONG).alias("external"), circular.scalar().alias("circular"))
     return one.withColumn("summary", F.format_string(
         "%d internal dependencies, %d external dependencies, %d circular dependencies detected",

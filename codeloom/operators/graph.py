@@ -251,15 +251,16 @@ def _local_moving(links: DataFrame, rounds: int) -> tuple[DataFrame, float]:
             still += 1
         # parity alternates: only a few turns without progress mean a fixed point
         if still >= 4:
-            break
-    return best, best_q
+            return best, best_q
+    raise RuntimeError(f"communities did not settle in {rounds} rounds")
 
 
-def louvain(edges: DataFrame, rounds: int = 40, levels: int = 1) -> DataFrame:
+def louvain(edges: DataFrame, rounds: int = 200, levels: int = 1) -> DataFrame:
     """Communities of weighted undirected edges: (node, community), the smallest member as id.
 
     Local moving in parallel; nodes take turns by a hash so that two neighbours
-    do not swap places, and the best partition seen is kept. ``levels`` > 1 adds
+    do not swap places, and the best partition seen is kept once four rounds bring no gain; a graph that has not settled
+    after ``rounds`` is an error. ``levels`` > 1 adds
     aggregation levels on the community graph.
     """
     links = cut_lineage(_symmetric(edges))

@@ -12,6 +12,7 @@ from codeloom import rules
 from codeloom.functions import text as tx
 from codeloom.functions.paths import any_of
 from codeloom.operators import graph, similarity
+from codeloom.session import cut_lineage
 
 
 def _filtered(table: DataFrame, subsystem: str | None, kind: str | None) -> DataFrame:
@@ -105,9 +106,9 @@ def rank_symbols(hits: DataFrame, chunk_files: DataFrame, symbols: DataFrame, n:
     """
     per_file = (hits.join(chunk_files.select(F.col("chunk_key").alias("chunk"), "file"), "chunk")
                 .groupBy("question", "file").agg(F.sum("score").alias("score")))
-    rows = per_file.join(symbols.select("file", F.col("name").alias("symbol")), "file").groupBy(
-        "question", "symbol").agg(F.round(F.sum("score"), 9).alias("score"))
-    best = Window.partitionBy("question").orderBy(F.desc("score"), "symbol")
+    rows = per_file.join(symbols.select("file", F.col("name").alias("symbol")).distinct(), "file").select(
+        "question", "symbol", "file", F.round("score", 9).alias("score"))
+    best = Window.partitionBy("question").orderBy(F.desc("score"), "symbol", "file")
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
@@ -118,13 +119,14 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, table: DataFrame,
     chunks: chunk_key, file, text, embedding. Returns the ranked symbols, the
     distinct files and up to three code examples per question.
     """
-    # one row per name, as an answer names a symbol once
-    table = table.groupBy("name").agg(F.max_by(F.struct("kind", "file", "summary"), F.struct("file", "kind")).alias("r")).select(
-        "name", "r.*")
-    hits = chunk_hits(questions, chunks, limit * 2)
+    # a name stands for one symbol of each file that has it
+    table = table.groupBy("name", "file").agg(F.min_by(F.struct("kind", "summary"), F.struct("kind", "summary")).alias("r")).select(
+        "name", "file", "r.*")
+    # three outputs read the hits
+    hits = cut_lineage(chunk_hits(questions, chunks, limit * 2))
     ranked = rank_symbols(hits, chunks, table, limit)
     info = table.select(F.col("name").alias("symbol"), "kind", "file", "summary")
-    symbols = ranked.join(info, "symbol")
+    symbols = cut_lineage(ranked.join(info, ["symbol", "file"]))
     located = hits.join(chunks.select(F.col("chunk_key").alias("chunk"), "file", "text"), "chunk")
     first = located.groupBy("question", "file").agg(
         F.min_by(F.struct("text"), F.struct(F.col("rank"))).alias("best"))
@@ -238,8 +240,8 @@ def symbol_sources(table: DataFrame, files: DataFrame) -> DataFrame:
             .select(F.col("name").alias("symbol"), "file", F.col("chunk").alias("chunk_range"), text.alias("content")))
 
 
-def prompt_rows(table: DataFrame, sources: DataFrame) -> DataFrame:
+def prompt_rows(table: DataFrame, sources: DataFrame, task: str = tx.PROMPT_TASK) -> DataFrame:
     """Input of an explanation model, one prompt per symbol; the model itself is the caller's."""
     rows = table.join(sources.select(F.col("symbol").alias("name"), "file", "content"), ["name", "file"], "left")
     return rows.select("name", "file", tx.explanation_prompt(
-        F.col("kind"), F.col("name"), F.col("signature"), F.col("summary"), F.col("content")).alias("prompt"))
+        F.col("kind"), F.col("name"), F.col("signature"), F.col("summary"), F.col("content"), task).alias("prompt"))

@@ -27,7 +27,8 @@ def chunk_files(files: DataFrame, symbols: DataFrame, all_extractions: bool = Fa
 def build_pack(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD, with_communities: bool = True,
                embed=embedding.hashing_embedding) -> KnowledgePack:
     """Scan output (path, content, kind, ext, module) -> all pack tables."""
-    files = fo.keep_processable(files)
+    # the raw tree is read once
+    files = cut_lineage(fo.keep_processable(files))
     symbols = cut_lineage(definitions.definitions(files))
     chunks = cut_lineage(chunk_files(files, symbols))
     embedded = chunks.join(files.filter(F.col("kind").isin("SourceCode", "Documentation")).select("path"), "path", "left_semi")
@@ -43,7 +44,7 @@ def build_pack(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD, with_c
     if with_communities:
         keyed = vectors.join(chunks.select("path", "chunk_ord", "chunk_id"), ["path", "chunk_ord"]).select(
             edges.chunk_key(F.col("path"), F.col("chunk_id")).alias("vec_id"), "path", "chunk_ord", "embedding")
-        pairs = cut_lineage(similarity.similarity_links(keyed, threshold))
+        pairs = cut_lineage(similarity.similar_pairs(keyed, threshold))
         graph_edges = graph_edges.unionByName(edges.similarity_edges(pairs))
         found = graph.louvain(pairs.withColumnRenamed("score", "weight"))
         # chunks without a similar partner are communities of their own

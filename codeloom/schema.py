@@ -19,6 +19,9 @@ EDGES = "src string, dst string, edge_type string, score double"
 NODES = "id string, node_type string, name string, metadata map<string,string>"
 SYMBOL_CHUNKS = "path string, name string, start bigint, chunk_ord bigint, chunk_id string"
 FILE_HASHES = "path string, sha256 string"
+COMMUNITIES = ("community string, name string, n_symbols bigint, n_files bigint, confidence double, role string, "
+               "summary string")
+COMMUNITY_MEMBERS = "community string, symbol string, file string"
 
 PACK_TABLES = {
     "files": FILES,
@@ -29,7 +32,11 @@ PACK_TABLES = {
     "nodes": NODES,
     "symbol_chunks": SYMBOL_CHUNKS,
     "file_hashes": FILE_HASHES,
+    "communities": COMMUNITIES,
+    "community_members": COMMUNITY_MEMBERS,
 }
+# a pack may be built without these
+OPTIONAL_TABLES = ("communities", "community_members")
 
 
 def struct(ddl: str) -> T.StructType:

@@ -63,15 +63,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-SMALL_INPUT_BYTES = 64 << 20
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before work that is heavy per row.
-
-    A small file is one split, hence one task. The planner's size estimate
-    decides: an input above 64 MB has splits enough and is never shuffled here.
-    """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL_INPUT_BYTES else df

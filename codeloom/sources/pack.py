@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,15 +31,15 @@ def write_pack(pack: KnowledgePack, folder: str, as_json: bool = False) -> None:
 
 
 def read_pack(spark: SparkSession, folder: str, names=None) -> KnowledgePack:
-    """Tables are lazy; a query reads only the columns it selects."""
-    if names is None:
-        names = list(schema.PACK_TABLES)
-    reader = spark.read
+    """Tables are lazy; a query reads only the columns it selects. Without names, all tables the pack has."""
     out = {}
-    for name in names:
+    for name in list(schema.PACK_TABLES) if names is None else names:
         layout = schema.PACK_TABLES.get(name)
-        out[name] = (reader.schema(layout) if layout else spark.read).parquet(f"{folder}/{name}")
-        reader = spark.read
+        try:
+            out[name] = (spark.read.schema(layout) if layout else spark.read).parquet(f"{folder}/{name}")
+        except AnalysisException as error:
+            if names is not None or name not in schema.OPTIONAL_TABLES or error.getCondition() != "PATH_NOT_FOUND":
+                raise
     return KnowledgePack(out)
 
 
