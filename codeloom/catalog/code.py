@@ -9,6 +9,7 @@ from codeloom.catalog.registry import query
 from codeloom.functions import text as tx
 from codeloom.operators import chunking, definitions as defs, docs, edges, hotspots
 from codeloom.session import cut_lineage
+from codeloom.sources import tree
 
 _NL = "' || chr(10) || '"
 _KEY = "' || p_partkey || '"
@@ -370,3 +371,76 @@ def symbol_places(t):
 def delimiter_extensions(t):
     """A chunker chosen by name."""
     return chunking.chunk(code_files(t), "Delimiter", "\n}").groupBy("path").agg(F.count("*").alias("n_chunks"))
+
+
+# --- a file per part with what a reader of single lines gets wrong -----------------
+_WIDE = """pub unsafe fn wide_@(a: i32, // first {
+    b: f64) -> f64 {
+    const IN_@: i32 = 1;
+    let c = "{";
+    b
+}"""
+_RAW = """const RAW_@: &str = r#"
+struct Fake_@ {
+"#;"""
+_CASE = """struct Case_@ {
+        id: i32,
+    }"""
+_CHECK = """fn check_@() {
+        const DEEP_@: i32 = 2;
+    }"""
+_TESTS = f"""mod tests_@ {{
+    {_CASE}
+    {_CHECK}
+}}"""
+_SHAPE = """trait Shape_@ {
+    type Side_@;
+}"""
+_LAST = "fn last_@() {}"
+_NESTED = f"""/* old
+fn dead_@() {{ /* {{ */
+*/
+/// Docs
+#[inline]
+{_WIDE}
+{_RAW}
+{_TESTS}
+{_SHAPE}
+{_LAST}
+"""
+# kind, name, parent, text, label of its chunk
+_NESTED_KNOWN = [
+    ("function", "wide_@", None, _WIDE, "fn::wide_@"), ("const", "IN_@", None, "const IN_@: i32 = 1;", None), ("const", "RAW_@", None, _RAW, "const::RAW_@"),
+    ("mod", "tests_@", None, _TESTS, "mod::tests_@"), ("struct", "Case_@", None, _CASE, None), ("field", "id", "Case_@", "id: i32", None),
+    ("function", "check_@", None, _CHECK, None), ("const", "DEEP_@", None, "const DEEP_@: i32 = 2;", None), ("trait", "Shape_@", None, _SHAPE, None),
+    ("associated_type", "Side_@", "Shape_@", "type Side_@;", "trait Shape_@::Side_@"), ("function", "last_@", None, _LAST, "fn::last_@"),
+]
+_NESTED_PATH = "'odd/part_' || CAST(p_partkey AS STRING) || '.rs'"
+_NESTED_ROWS = " UNION ALL ".join(
+    f"SELECT path, content, '{kind}' AS kind, {_sql(name)} AS name, {_sql(parent) if parent else 'NULL'} AS parent, {_sql(text)} AS def, {_sql(label) if label else 'NULL'} AS label FROM n"
+    for kind, name, parent, text, label in _NESTED_KNOWN)
+_NESTED_SQL = f"""n AS (SELECT p_partkey, {_NESTED_PATH} AS path, {_sql(_NESTED)} AS content FROM part), f AS ({_NESTED_ROWS}),
+spans AS (SELECT *, strlen(left(content, instr(content, def) - 1)) AS start FROM f)"""
+
+
+def _nested_files(t):
+    content = _sql(_NESTED).replace("' || p_partkey || '", "' || CAST(p_partkey AS STRING) || '")
+    return tree.as_files(t.part.selectExpr(f"{_NESTED_PATH} AS path", f"{content} AS content"))
+
+
+@query("definitions_nested", f"""WITH {_NESTED_SQL} SELECT path, kind, name, parent, start, start + strlen(def) AS "end",
+ CASE WHEN name LIKE 'wide%' THEN '/// Docs' END AS docs, CASE WHEN name LIKE 'wide%' THEN '#[inline]' ELSE '' END AS attributes,
+ CASE WHEN name LIKE 'wide%' THEN 'unsafe' ELSE '' END AS modifiers FROM spans""")
+def definitions_nested(t):
+    """Inline modules, items in bodies, block comments, raw strings, associated types."""
+    return defs.definitions(_nested_files(t)).select(
+        "path", "kind", "name", "parent", "start", "end", "docs", F.array_join("attributes", " ").alias("attributes"),
+        F.array_join("modifiers", " ").alias("modifiers"))
+
+
+@query("definition_chunks_nested", f"""WITH {_NESTED_SQL} SELECT path, label || ':' || start || '-' || (start + strlen(def)) AS chunk_id, sha256(def) AS digest
+FROM spans WHERE label IS NOT NULL""")
+def definition_chunks_nested(t):
+    """What lies inside an item is part of its chunk."""
+    files = _nested_files(t)
+    return defs.definition_chunks(files, defs.definitions(files)).select("path", "chunk_id", F.sha2("text", 256).alias("digest"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.operators.lines import line_table
+from codeloom.functions.code_mask import masked
 
 VIS = r"(?:pub(?:\([^)]*\))?\s+)?"
 
@@ -42,26 +42,26 @@ def _match(line: Column, pattern: str) -> Column:
 
 
 def _depth_table(files: DataFrame) -> DataFrame:
-    """Line table with byte offsets, brace depth before and after, and line class."""
-    lines = line_table(files)
+    """Line table with byte offsets, brace depth before and after, and line class.
+
+    ``code`` is the line without comments and what literals hold, ``shown`` the same trimmed: only they are matched and
+    counted. ``trimmed`` is the line as it stands.
+    """
+    pairs = F.arrays_zip(tx.lines(F.col("content")).alias("line"), tx.lines(F.col("masked")).alias("code"))
+    lines = masked(files).select("path", F.posexplode(pairs).alias("line_no", "pair")).select("path", "line_no", "pair.line", "pair.code")
     order = Window.partitionBy("path").orderBy("line_no")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    trimmed = tx.trim(F.col("line"))
-    is_comment = trimmed.startswith("//")
-    # string and character literals do not count towards the depth
-    bare = F.regexp_replace(F.col("line"), r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|//.*$", "")
-    bare = F.when(is_comment, "").otherwise(bare)
-    out = (lines.withColumn("trimmed", trimmed)
-           .withColumn("code", bare)
+    trimmed, shown = tx.trim(F.col("line")), tx.trim(F.col("code"))
+    out = (lines.withColumn("trimmed", trimmed).withColumn("shown", shown)
            .withColumn("opened", tx.occurrences(F.col("code"), "{"))
            .withColumn("closed", tx.occurrences(F.col("code"), "}"))
            .withColumn("offset", F.coalesce(F.sum(F.octet_length("line").cast("bigint") + 1).over(before),
                                             F.lit(0).cast("bigint")))
            .withColumn("depth_after", F.sum(F.col("opened") - F.col("closed")).over(upto))
            .withColumn("depth", F.col("depth_after") - F.col("opened") + F.col("closed")))
-    line_class = (F.when(trimmed.startswith("///") | trimmed.startswith("//!"), "doc")
-                  .when(trimmed.startswith("#["), "attr").when(trimmed == "", "blank").otherwise("stop"))
+    line_class = (F.when(shown.startswith("///") | shown.startswith("//!"), "doc")
+                  .when(shown.startswith("#["), "attr").when(trimmed == "", "blank").otherwise("stop"))
     return out.withColumn("line_class", line_class)
 
 
@@ -69,37 +69,46 @@ def _starts(lines: DataFrame) -> DataFrame:
     """Kind and name of the definition a line opens, if any, by the plain rules."""
     kind, name = F.lit(None).cast("string"), F.lit(None).cast("string")
     for rule_kind, pattern in reversed(DEFINITION_RULES):
-        hit = F.col("trimmed").rlike("^" + pattern)
+        hit = F.col("shown").rlike("^" + pattern)
         kind = F.when(hit, rule_kind).otherwise(kind)
-        name = F.when(hit, _match(F.col("trimmed"), pattern)).otherwise(name)
+        name = F.when(hit, _match(F.col("shown"), pattern)).otherwise(name)
     live = F.col("line_class") == "stop"
     return lines.withColumn("kind", F.when(live, kind)).withColumn("name", F.when(live, tx.trim(name)))
 
 
 def _add_lead(rows: DataFrame) -> DataFrame:
-    """Doc and attribute lines directly above each line, blank lines skipped.
+    """Lines that can stop a lead, each with the doc and attribute lines directly above it, blank lines skipped.
 
-    Lines between two stoppers and the second stopper share a number, so the
-    lead of a definition is the rest of its own group.
+    A stopper and the lines between it and the one before are a group, which becomes one row, so every line is held once.
     """
     earlier = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("stops", F.coalesce(F.count_if(F.col("line_class") == "stop").over(earlier), F.lit(0)))
-    group = (Window.partitionBy("path", "stops").orderBy("line_no")
-             .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    pick = lambda wanted: F.collect_list(F.when(F.col("line_class") == wanted, F.col("trimmed"))).over(group)
-    return rows.withColumn("doc_lines", pick("doc")).withColumn("attributes", pick("attr"))
+    rest = [c for c in rows.columns if c not in ("path", "stops", "line_no")]
+
+    def pick(wanted: str) -> Column:
+        found = F.collect_list(F.when(F.col("line_class") == wanted, F.struct("line_no", "trimmed")))
+        return F.transform(F.array_sort(found), lambda x: x["trimmed"])
+
+    groups = rows.groupBy("path", "stops").agg(
+        F.max(F.struct("line_no", *rest)).alias("last"), pick("doc").alias("doc_lines"), pick("attr").alias("attributes"))
+    return groups.select("path", "last.*", "doc_lines", "attributes").filter(F.col("line_class") == "stop")
 
 
 def _add_header(rows: DataFrame) -> DataFrame:
-    """Text of each definition from its first line to the first ``{`` or ``;``."""
+    """Text of each definition from its first line to the first ``{`` or ``;``; its first line alone if there is none.
+
+    Only header lines are gathered, so rows do not carry the rest of their file.
+    """
     upto = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("seq", F.count_if(F.col("kind").isNotNull()).over(upto))
+    is_start = F.col("kind").isNotNull()
+    rows = rows.withColumn("seq", F.count_if(is_start).over(upto))
     group = Window.partitionBy("path", "seq")
     ordered = group.orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = F.min(F.when(F.col("code").rlike(r"\{|;\s*$"), F.col("line_no"))).over(group)
-    rows = rows.withColumn("header_last", F.coalesce(last, F.col("line_no")))
-    part = F.when(F.col("line_no") <= F.col("header_last"), F.col("trimmed"))
-    return rows.withColumn("header", F.array_join(F.collect_list(part).over(ordered), " "))
+    rows = rows.withColumn("header_last", F.when(F.col("seq") > 0, last))
+    part = F.when(is_start | (F.col("line_no") <= F.col("header_last")), F.col("shown"))
+    header = F.array_join(F.collect_list(part).over(ordered), " ")
+    return rows.withColumn("header", F.when(is_start, header))
 
 
 def _add_nesting(rows: DataFrame) -> DataFrame:
@@ -121,7 +130,7 @@ def _add_nesting(rows: DataFrame) -> DataFrame:
         F.when(is_container, F.col("kind")).otherwise("other").alias("kind")))
     closes = F.col("code").rlike(r"\}|;\s*$")
     closed = F.when((F.col("depth_after") == F.col("level")) & closes, F.struct(
-        F.col("line_no").alias("row"), (F.col("offset") + F.octet_length(F.rtrim(F.col("line")))).alias("byte")))
+        F.col("line_no").alias("row"), (F.col("offset") + _bytes_to(F.regexp_replace(F.col("code"), r"\s+$", ""))).alias("byte")))
     in_order = Window.partitionBy("path", "level").orderBy("line_no")
     wide = (wide.withColumn("around", F.last(opened, ignorenulls=True).over(
                 in_order.rowsBetween(Window.unboundedPreceding, -1)))
@@ -132,6 +141,11 @@ def _add_nesting(rows: DataFrame) -> DataFrame:
             .filter(here | ((F.col("depth") < 0) & (F.col("level") == 0))))
 
 
+def _bytes_to(code: Column) -> Column:
+    """Bytes of the line as far as ``code``, a beginning of its masked form, goes."""
+    return F.octet_length(F.substr(F.col("line"), F.lit(1), F.length(code)))
+
+
 def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
@@ -165,7 +179,7 @@ def definitions(files: DataFrame) -> DataFrame:
     sources = files.filter(F.col("path").endswith(".rs")).select("path", "content")
     rows = _starts(_depth_table(sources))
     is_impl = F.col("kind") == "impl"
-    bare_impl = F.regexp_replace(F.col("trimmed"), r"^(?:unsafe\s+)?impl\s*(?:<[^{]*?>)?\s+", "")
+    bare_impl = F.regexp_replace(F.col("shown"), r"^(?:unsafe\s+)?impl\s*(?:<[^{]*?>)?\s+", "")
     bare_impl = F.regexp_replace(bare_impl, r"\s*(?:where\b.*|\{.*)$", "")
     target = tx.trim(F.regexp_replace(bare_impl, r"^.*\bfor\s+", ""))
     trait = F.nullif(tx.trim(F.regexp_extract(bare_impl, r"^(.*)\s+for\s+", 1)), F.lit(""))
@@ -175,24 +189,24 @@ def definitions(files: DataFrame) -> DataFrame:
     rows = _add_nesting(_add_header(_add_lead(rows)))
     member_of = lambda kind: (F.col("parent.kind") == kind) & (F.col("parent.level") == F.col("depth") - 1)
     live = F.col("line_class") == "stop"
-    is_field = F.col("kind").isNull() & live & member_of("struct") & F.col("trimmed").rlike("^" + FIELD_RULE)
-    is_variant = F.col("kind").isNull() & live & member_of("enum") & F.col("trimmed").rlike("^" + VARIANT_RULE)
+    is_field = F.col("kind").isNull() & live & member_of("struct") & F.col("shown").rlike("^" + FIELD_RULE)
+    is_variant = F.col("kind").isNull() & live & member_of("enum") & F.col("shown").rlike("^" + VARIANT_RULE)
     kind = (F.when(is_field, "field").when(is_variant, "variant")
             .when((F.col("kind") == "type_alias") & member_of("trait"), "associated_type").otherwise(F.col("kind")))
-    name = (F.when(is_field, _match(F.col("trimmed"), FIELD_RULE))
-            .when(is_variant, _match(F.col("trimmed"), VARIANT_RULE))
+    name = (F.when(is_field, _match(F.col("shown"), FIELD_RULE))
+            .when(is_variant, _match(F.col("shown"), VARIANT_RULE))
             .when(is_impl, F.concat_ws(" for ", "trait_impl", "impl_target")).otherwise(F.col("name")))
     rows = rows.withColumn("kind2", kind).withColumn("name", name).withColumn("kind", F.col("kind2")).drop("kind2")
 
     found = rows.filter(F.col("kind").isNotNull())
-    header = F.when(F.col("kind").isin("field", "variant"), F.col("trimmed")).otherwise(F.col("header"))
+    header = F.when(F.col("kind").isin("field", "variant"), F.col("shown")).otherwise(F.col("header"))
     # a trait's function without a body is a signature, not a definition
     found = found.filter(~((F.col("kind") == "function") & tx.trim(header).endswith(";")))
     return found.select(
         "path", "name", "kind",
         (F.col("offset") + F.octet_length("line") - F.octet_length(tx.ltrim(F.col("line")))).alias("start"),
         F.when(F.col("kind").isin("field", "variant"),
-               F.col("offset") + F.octet_length(F.regexp_replace(F.col("line"), r",?\s*$", "")))
+               F.col("offset") + _bytes_to(F.regexp_replace(F.col("code"), r",?\s*$", "")))
         .otherwise(F.col("stop.byte")).alias("end"),
         F.col("line_no").cast("bigint").alias("start_row"),
         F.when(F.col("kind").isin("field", "variant"), F.col("line_no")).otherwise(F.col("stop.row"))
@@ -200,7 +214,7 @@ def definitions(files: DataFrame) -> DataFrame:
         F.col("parent.name").alias("parent"),
         F.nullif(F.array_join("doc_lines", "\n"), F.lit("")).alias("docs"),
         F.when(~F.col("kind").isin("impl", "variant", "macro", "associated_type"),
-               F.nullif(F.regexp_extract("trimmed", r"^(pub(?:\([^)]*\))?)\s", 1), F.lit(""))).alias("visibility"),
+               F.nullif(F.regexp_extract("shown", r"^(pub(?:\([^)]*\))?)\s", 1), F.lit(""))).alias("visibility"),
         F.when(F.col("kind") == "function", _parameters(header)).alias("parameters"),
         F.when(F.col("kind") == "function",
                F.nullif(tx.trim(F.regexp_extract(header, r"\)\s*->\s*([^{;]*?)\s*(?:where\b.*)?[{;]", 1)), F.lit("")))
@@ -211,10 +225,10 @@ def definitions(files: DataFrame) -> DataFrame:
                                                 F.lit(""))).alias("generics"),
         F.col("trait_impl"),
         F.when(F.col("kind").isin("field", "const", "static"),
-               F.nullif(tx.trim(F.regexp_extract("trimmed", r":\s*([^=;]*?)\s*(?:[,;=].*)?$", 1)), F.lit("")))
+               F.nullif(tx.trim(F.regexp_extract("shown", r":\s*([^=;]*?)\s*(?:[,;=].*)?$", 1)), F.lit("")))
         .alias("field_type"),
         "attributes",
-        ((F.col("kind") == "static") & F.col("trimmed").rlike(r"\bstatic\s+mut\b")).alias("is_mutable"),
+        ((F.col("kind") == "static") & F.col("shown").rlike(r"\bstatic\s+mut\b")).alias("is_mutable"),
         F.when(F.col("kind").isin("function", "trait", "impl"),
                F.filter(F.split(F.regexp_extract(header, r"^" + VIS + r"(.*?)\b(?:fn|trait|impl)\b", 1), r"\s+"),
                         lambda m: m.isin("async", "unsafe", "const", "extern")))
@@ -224,20 +238,27 @@ def definitions(files: DataFrame) -> DataFrame:
 def definition_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """Chunks by definition: one per top-level item, impls and traits split per member.
 
-    Containers with members give way to them; a file without definitions is one
-    chunk. The file text is joined once per file and cut inside the row.
+    What lies deeper, as the items of an inline module or of a function body, is part of its item's chunk. Containers with
+    members give way to them; a file without definitions is one chunk. The file text is joined once per file and cut inside the row.
     """
     is_block = F.col("kind").isin("impl", "trait")
-    upto = Window.partitionBy("path").orderBy("start", F.desc("end")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    block = F.last(F.when(is_block, F.struct("start", "end", "kind", "name")), ignorenulls=True).over(upto)
-    rows = symbols.select("path", "kind", "name", "parent", "start", "end").withColumn("block", block)
-    inside = F.coalesce(F.col("end") <= F.col("block.end"), F.lit(False)) & ~is_block
-    is_member = inside & F.col("kind").isin("function", "const", "type_alias", "associated_type")
-    rows = rows.withColumn("inside", inside).withColumn("is_member", is_member)
+    # items nest or follow each other: one that starts before an earlier end lies inside
+    items = symbols.filter(~F.col("kind").isin("field", "variant"))
+    order = Window.partitionBy("path").orderBy("start", F.desc("end"))
+    before, upto = (order.rowsBetween(Window.unboundedPreceding, k) for k in (-1, Window.currentRow))
+    rows = items.select("path", "kind", "name", "start", F.coalesce("end", "start").alias("end"))
+    rows = rows.withColumn("top", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)))
+    rows = rows.withColumn("block", F.last(F.when(F.col("top"), F.struct("start", "kind", "name")), ignorenulls=True).over(upto))
+    within = (Window.partitionBy("path", "block.start").orderBy("start", F.desc("end"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    direct = F.coalesce(F.col("start") >= F.max(F.when(~F.col("top"), F.col("end"))).over(within), F.lit(True))
+    is_member = (~F.col("top") & direct & F.col("block.kind").isin("impl", "trait")
+                 & F.col("kind").isin("function", "const", "type_alias", "associated_type"))
+    rows = rows.withColumn("is_member", is_member)
     rows = rows.withColumn("n_members", F.count_if("is_member").over(Window.partitionBy("path", "block.start")))
     top_kind = F.col("kind").isin("function", "mod", "struct", "enum", "const", "static", "type_alias", "macro", "use")
-    plain = F.col("parent").isNull() & ~F.col("inside") & top_kind
+    plain = F.col("top") & top_kind
+    is_block = is_block & F.col("top")
     prefix = (F.when(F.col("kind") == "function", "fn").when(F.col("kind") == "macro", "macro_definition")
               .when(F.col("kind") == "use", "use_declaration").when(F.col("kind") == "type_alias", "type")
               .otherwise(F.col("kind")))

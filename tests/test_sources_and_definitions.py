@@ -195,3 +195,22 @@ def test_roles_and_signature(spark):
                                 "name string, kind string, parameters array<struct<name:string,type:string>>, r string, g string")
     sig = one.select(tx.signature(F.col("kind"), F.col("name"), F.col("parameters"), F.col("r"), F.col("g"))).first()[0]
     assert sig == "fn test_func(x: i32) -> String"
+
+
+def test_masked_sources_keep_their_shape():
+    from codeloom.functions.code_mask import mask_source
+
+    text = 'a "b\\"{" /* x /* y\n */ z */ r##"q"# {\n"## \'{\' \'a, /// doc {\n// gone }\nb"open {'
+    shown = mask_source(text)
+    assert len(shown) == len(text) and [i for i, c in enumerate(text) if c == "\n"] == [i for i, c in enumerate(shown) if c == "\n"]
+    assert "{" not in shown and "}" not in shown and "///" in shown and shown.startswith('a "') and "'a," in shown
+
+
+def test_a_large_file_without_braces_stays_small(spark):
+    """Rows carry their own line and the header of a definition, not the rest of the file."""
+    from codeloom.operators import definitions as d
+
+    text = "fn open(\n" + "/// notes\n" * 4000 + "x = 1\n" * 150_000
+    rows = d._add_header(d._add_lead(d._starts(d._depth_table(spark.createDataFrame([("big.rs", text)], "path string, content string")))))
+    sizes = rows.selectExpr("sum(length(coalesce(header, ''))) h", "sum(size(doc_lines)) n", "count(*) c").first()
+    assert sizes.h < 100 and sizes.n == 4000 and sizes.c == 150_001
