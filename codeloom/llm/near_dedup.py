@@ -15,14 +15,14 @@ are not in its main component yet are compared with all others as soon as that i
 from __future__ import annotations
 
 import uuid
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import byte_view, groups_of, prepare
+from codeloom.llm.common import byte_view, flat, groups_of, prepare
 from codeloom.llm.words import mix, windows, words_of
 from codeloom.operators.graph import connected_components
 from codeloom.session import cut_lineage
@@ -36,7 +36,7 @@ TREES = 5
 LEAF_SETS = 512
 # a large node counts as small if its sets outside the main component times all its sets are at most so many
 LEAF_PAIRS = 1 << 22
-LEAF_ROWS = 1 << 14
+LEAF_ROWS = 1 << 12
 # a pair is confirmed on full sets from this many equal low bytes: 4.5 standard errors under the similarity
 SKETCH_CUT = 161
 PIVOTS = 4
@@ -141,59 +141,114 @@ def next_nodes(rows: DataFrame) -> DataFrame:
     return rows.select("node", "rep", "sig").mapInArrow(run, "node long, rep long")
 
 
-def _node_pairs(rep: np.ndarray, label: np.ndarray, sig: np.ndarray, cut: int, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of a node whose sketches are alike and whose labels differ: all, or the most similar ones that join all labels."""
-    names, number, uses = np.unique(label, return_inverse=True, return_counts=True)
-    outside = np.flatnonzero(number != uses.argmax()) if uses.max() > 1 else np.arange(len(rep))
-    found = []
-    for a in outside.tolist():
+def _candidates(label: np.ndarray, sig: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, equal positions) of the pairs of a node whose sketches are alike and whose labels differ."""
+    _, number, uses = np.unique(label, return_inverse=True, return_counts=True)
+    main = uses.argmax() if uses.max() > 1 else -1
+    found = [(np.zeros(0, np.int64),) * 3]
+    for a in np.flatnonzero(number != main).tolist():
         equal = (sig == sig[a]).sum(axis=1)
         others = np.flatnonzero((equal >= cut) & (number != number[a]))
-        # a pair of two outsiders is found at the first of them
-        others = others[(others > a) | (number[others] == uses.argmax())] if uses.max() > 1 else others[others > a]
+        others = others[(others > a) | (number[others] == main)]  # a pair of two outsiders is found at the first of them
         found.append((np.full(len(others), a), others, equal[others]))
-    a, b, alike = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.int64),) * 3
-    if forest and len(a) > 1:
-        order = np.argsort(-alike, kind="stable")
-        parent = {x: x for x in names.tolist()}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        kept, left = [], len(parent) - 1
-        for k in order.tolist():
-            x, y = root(int(label[a[k]])), root(int(label[b[k]]))
-            if x != y:
-                parent[x] = y
-                kept.append(k)
-                left -= 1
-                if not left:
-                    break
-        a, b = a[kept], b[kept]
-    return list(zip(np.minimum(rep[a], rep[b]).tolist(), np.maximum(rep[a], rep[b]).tolist(), strict=True))
-
-
-def pairs_of_leaves(rows: DataFrame, cut: int, forest: bool) -> DataFrame:
-    """(p, m) from small nodes: rows (node, rep, label, sig)."""
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray, alike: np.ndarray, linked) -> list[int]:
+    """Numbers of the pairs, most alike first, that join two components not joined before; ``linked(a, b)`` may refuse."""
+    parent = {x: x for x in label.tolist()}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept, left = [], len(parent) - 1
+    for k in np.argsort(-alike, kind="stable").tolist():
+        x, y = root(int(label[a[k]])), root(int(label[b[k]]))
+        if x != y and linked(a[k], b[k]):
+            parent[x] = y
+            kept.append(k)
+            left -= 1
+            if not left:
+                break
+    return kept
+
+
+def _nodes(batches, *columns: str) -> Iterator[tuple]:
+    """Arrays of each node's rows: the columns and the sketches."""
+    for table in groups_of(batches, "node"):
+        node = table.column("node").to_numpy()
+        sig = _low_bytes(table.column("sig"))
+        values = [table.column(c).to_numpy() for c in columns]
+        edges = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
+        # most nodes have two rows, and most of those are not alike
+        two = edges[:-1][np.diff(edges) == 2]
+        dull = set(two[(sig[two] == sig[two + 1]).sum(axis=1) < POSITIONS // 4].tolist())
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if a not in dull:
+                yield table, a, *(v[a:b] for v in values), sig[a:b]
+
+
+def _together(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("node", "rep", "label", "sig", *columns).repartition("node").sortWithinPartitions("node")
+
+
+def _ordered(x: np.ndarray, y: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())]
+
+
+def forest_pairs(rows: DataFrame, cut: int) -> DataFrame:
+    """(p, m) from small nodes: the most similar pairs by sketch that would join all components, fewer than the node's sets."""
     def run(batches):
-        for table in groups_of(batches, "node"):
-            node, rep, label = (table.column(c).to_numpy() for c in ("node", "rep", "label"))
-            sig = _low_bytes(table.column("sig"))
-            edges = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
-            sizes = np.diff(edges)
-            two = edges[:-1][sizes == 2]
-            like = two[((sig[two] == sig[two + 1]).sum(axis=1) >= cut) & (label[two] != label[two + 1])]
-            pairs = list(zip(np.minimum(rep[like], rep[like + 1]).tolist(), np.maximum(rep[like], rep[like + 1]).tolist(), strict=True))
-            for a, b in zip(edges[:-1][sizes > 2], edges[1:][sizes > 2], strict=True):
-                pairs += _node_pairs(rep[a:b], label[a:b], sig[a:b], cut, forest)
-            p, m = zip(*set(pairs), strict=True) if pairs else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(m, pa.int64())], names=["p", "m"])
-
-    together = rows.select("node", "rep", "label", "sig").repartition("node").sortWithinPartitions("node")
-    return together.mapInArrow(run, "p long, m long")
+        for _, _, rep, label, sig in _nodes(batches, "rep", "label"):
+            a, b, alike = _candidates(label, sig, cut)
+            kept = _join_labels(label, a, b, alike, lambda x, y: True)
+            yield pa.RecordBatch.from_arrays(_ordered(rep[a[kept]], rep[b[kept]]), names=["p", "m"])
+
+    return _together(rows).mapInArrow(run, "p long, m long")
+
+
+def open_rows(rows: DataFrame, cut: int) -> DataFrame:
+    """(node, rep, label) of the sets in small nodes that look like a set of another component there."""
+    def run(batches):
+        for table, start, label, sig in _nodes(batches, "label"):
+            a, b, _ = _candidates(label, sig, cut)
+            at = np.union1d(a, b) + start
+            if len(at):
+                yield from table.select(["node", "rep", "label"]).take(at).combine_chunks().to_batches()
+
+    return _together(rows).mapInArrow(run, "node long, rep long, label long")
+
+
+def exact_links(rows: DataFrame, cut: int, similarity: int, held_shingles: int = 1 << 22) -> DataFrame:
+    """(p, m) confirmed in place for rows (node, rep, label, sig, text) of small nodes: full sets are compared for all pairs
+    that look alike, most alike first, unless their components have met by then. Only links come out, fewer than sets."""
+    def run(batches):
+        for table, start, rep, label, sig in _nodes(batches, "rep", "label"):
+            a, b, alike = _candidates(label, sig, cut)
+            texts, sets, held = flat(table.column("text")), {}, 0
+
+            def shingles(k):
+                nonlocal held
+                if k not in sets:
+                    if held > held_shingles:
+                        sets.clear()
+                        held = 0
+                    sets[k] = shingle_sets(texts.slice(start + int(k), 1))[0]
+                    held += len(sets[k])
+                return sets[k]
+
+            kept = _join_labels(label, a, b, alike, lambda x, y: _linked(shingles(x), shingles(y), similarity))
+            yield pa.RecordBatch.from_arrays(_ordered(rep[a[kept]], rep[b[kept]]), names=["p", "m"])
+
+    return _together(rows, "text").mapInArrow(run, "p long, m long")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return bool(both) and 100 * both >= similarity * (len(a) + len(b) - both)
 
 
 def star_pairs(rows: DataFrame, reps: DataFrame, cut: int) -> DataFrame:
@@ -233,21 +288,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             one, two = shingle_sets(batch.column("p_text")), shingle_sets(batch.column("m_text"))
-            linked = []
-            for a, b in zip(one, two, strict=True):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                linked.append(bool(both) and 100 * both >= similarity * (len(a) + len(b) - both))
+            linked = [_linked(a, b, similarity) for a, b in zip(one, two, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("p"), batch.column("m"), pa.array(linked, pa.bool_())], names=["p", "m", "linked"])
 
     return right.join(left, ["p", "salt"]).select("p", "m", "p_text", "m_text").mapInArrow(run, "p long, m long, linked boolean")
 
 
 def _mixed(rows: DataFrame, labels: DataFrame | None, leaf_sets: int, leaf_pairs: int) -> DataFrame:
-    """(node, rep, label, small) of the nodes with sets of several components."""
+    """(node, rep, label, small) of the nodes with sets of several components, and ``done`` if the rows have it."""
+    rest = [c for c in rows.columns if c == "done"]
     if labels is None:
-        rows = rows.select("node", "rep", F.col("rep").alias("label"))
+        rows = rows.select("node", "rep", *rest, F.col("rep").alias("label"))
     else:
-        rows = rows.select("node", "rep").join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label"))
+        rows = rows.select("node", "rep", *rest).join(labels, "rep", "left").select(
+            "node", "rep", *rest, F.coalesce("label", "rep").alias("label"))
         rows = cut_lineage(rows)
     if labels is None:
         stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.lit(1).alias("main"), F.count("*").alias("labels"))
@@ -256,7 +310,7 @@ def _mixed(rows: DataFrame, labels: DataFrame | None, leaf_sets: int, leaf_pairs
                  .agg(F.sum("n").alias("n"), F.max("n").alias("main"), F.count("*").alias("labels")))
     little = (F.col("n") <= leaf_sets) | ((F.col("n") <= LEAF_ROWS) & ((F.col("n") - F.col("main")) * F.col("n") <= leaf_pairs))
     stats = cut_lineage(stats.filter("labels > 1").select("node", little.alias("small")))
-    return cut_lineage(rows.join(stats, "node").select("node", "rep", "label", "small"))
+    return cut_lineage(rows.join(stats, "node").select("node", "rep", *rest, "label", "small"))
 
 
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, trees: int = TREES,
@@ -284,7 +338,6 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
 def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int, leaf: tuple[int, int], cut: int) -> DataFrame | None:
     """(rep, label) of the classes that have links; None if there are none."""
     rows, labels, waiting = first_nodes(reps, trees), None, None
-    tested: list[DataFrame] = []
     table = f"near_dedup_{uuid.uuid4().hex}"
     texts = None
     try:
@@ -297,26 +350,26 @@ def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int,
                 (docs.join(ids, "id", "left_semi").repartition(buckets, "id").write.bucketBy(buckets, "id").saveAsTable(table))
                 texts = spark.table(table)
             small, large = here.filter("small"), here.filter("not small").join(reps, "rep")
-            parts = [pairs_of_leaves(small.join(reps, "rep"), cut, True), star_pairs(large, reps, cut)]
+            pairs = cut_lineage(forest_pairs(small.join(reps, "rep"), cut).unionByName(star_pairs(large, reps, cut)).distinct())
+            found = pairs if pairs.isEmpty() else confirm(pairs, texts, similarity).filter("linked").select("p", "m")
             if waiting is not None:
-                parts.append(pairs_of_leaves(waiting.join(reps, "rep"), cut, False))
-            pairs = reduce(DataFrame.unionByName, parts).distinct()
-            for done in tested:
-                pairs = pairs.join(done, ["p", "m"], "left_anti")
-            checked = cut_lineage(confirm(cut_lineage(pairs), texts, similarity))
-            tested.append(checked.select("p", "m"))
-            new = checked.filter("linked").select(F.col("p").alias("src"), F.col("m").alias("dst"))
+                open_ = cut_lineage(open_rows(waiting.join(reps, "rep"), cut))
+                found = found.unionByName(exact_links(open_.join(reps, "rep").join(texts, open_["rep"] == texts["id"]), cut, similarity))
+            new = cut_lineage(found.select(F.col("p").alias("src"), F.col("m").alias("dst")))
             if not new.isEmpty():
                 known = labels.select(F.col("rep").alias("src"), F.col("label").alias("dst")) if labels is not None else new.limit(0)
                 found = connected_components(new.unionByName(known))
                 labels = cut_lineage(found.select(F.col("node").alias("rep"), F.col("component").alias("label")))
-            still = _mixed(here, labels, *leaf)
-            waiting, deeper = still.filter("small"), still.filter("not small")
-            rest = still.agg(F.count_if("small"), F.count_if(~F.col("small"))).first()
-            if not rest[0] and not rest[1]:
-                return labels
-            rows = next_nodes(deeper.join(reps, "rep"))
+            # a small node has had its forest tested and is compared in full, in place, if it still has several components;
+            # a large one that has become small by the new labels gets its forest first, another large one is split
+            still = _mixed(here.select("node", "rep", F.col("small").alias("done")), labels, *leaf)
+            waiting = still.filter("small AND done")
+            rest = still.agg(F.count("*"), F.count_if(F.col("small") & F.col("done"))).first()
             if not rest[0]:
+                return labels
+            rows = next_nodes(still.filter("NOT small").join(reps, "rep")).unionByName(
+                still.filter("small AND NOT done").select("node", "rep"))
+            if not rest[1]:
                 waiting = None
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
