@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom.catalog.registry import query
 from codeloom.functions import vectors as vx
 from codeloom.operators import communities, embedding, graph, similarity
+from codeloom.session import cut_lineage
 
 # the tables' vectors are nearly orthogonal, hence the low threshold
 THRESHOLD = 0.3
@@ -235,7 +236,7 @@ b AS (SELECT l.src AS node, arg_min(c.cluster, l.dst) AS cluster FROM l JOIN c O
 SELECT vec_id AS id, coalesce(c.cluster, b.cluster) AS cluster FROM embeddings LEFT JOIN c ON c.node = vec_id LEFT JOIN b ON b.node = vec_id""")
 def dbscan(t):
     """G1: density clusters by cosine distance; exact copies count but never meet pair by pair."""
-    reps = similarity.distinct_vectors(t.embeddings, "vec_id", "embedding")
+    reps = cut_lineage(similarity.distinct_vectors(t.embeddings, "vec_id", "embedding"))
     close = similarity.similar_pairs(reps, 1 - EPS, vec_id="id")
     clusters = graph.density_clusters(close, reps, EPS, MIN_POINTS)
     members = similarity.copy_members(t.embeddings, reps, "vec_id", "embedding")

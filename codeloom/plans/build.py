@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.operators import chunking, communities, definitions, edges, embedding, files as fo, graph, similarity
+from codeloom import rules
+from codeloom.operators import (
+    chunking, communities, definitions, docs as documentation, edges, embedding, files as fo, graph, similarity)
 from codeloom.session import cut_lineage
 from codeloom.sources.pack import KnowledgePack
 
 SIMILARITY_THRESHOLD = 0.5
+CHUNK_NEIGHBOURS, CHUNK_SCORE, SYMBOL_NEIGHBOURS = 5, 0.7, 3
+CLUSTER_EPS, CLUSTER_POINTS = 0.3, 3
 
 
 def chunk_files(files: DataFrame, symbols: DataFrame, all_extractions: bool = False) -> DataFrame:
@@ -38,12 +42,17 @@ def build_pack(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD, with_c
         edges.containing_symbols(placed).drop("chunk_id"), ["path", "chunk_ord"], "left")
     graph_edges = (edges.symbol_chunk_edges(placed).unionByName(edges.symbol_edges(symbols))
                    .unionByName(edges.file_edges(files)).unionByName(edges.sequential_edges(chunks)))
+    keyed = cut_lineage(vectors.join(chunks.select("path", "chunk_ord", "chunk_id"), ["path", "chunk_ord"]).select(
+        edges.chunk_key(F.col("path"), F.col("chunk_id")).alias("vec_id"), "path", "chunk_ord", "embedding"))
+    placed = cut_lineage(placed)
+    meaning = semantic_edges(keyed, placed)
+    nodes = clustered_nodes(edges.nodes(files, symbols, chunks), keyed, placed)
     tables = {"files": files, "chunks": chunks, "symbols": symbols, "embeddings": vectors,
               "symbol_chunks": placed.select("path", "name", "start", "chunk_ord", "chunk_id"),
-              "file_hashes": fo.content_hashes(files), "nodes": edges.nodes(files, symbols, chunks)}
+              "file_hashes": fo.content_hashes(files), "nodes": nodes}
+    tables.update(documentation_tables(files, symbols, chunks, placed, graph_edges))
+    graph_edges = graph_edges.unionByName(meaning)
     if with_communities:
-        keyed = vectors.join(chunks.select("path", "chunk_ord", "chunk_id"), ["path", "chunk_ord"]).select(
-            edges.chunk_key(F.col("path"), F.col("chunk_id")).alias("vec_id"), "path", "chunk_ord", "embedding")
         pairs = cut_lineage(similarity.similar_pairs(keyed, threshold))
         graph_edges = graph_edges.unionByName(edges.similarity_edges(pairs))
         found = graph.louvain(pairs.withColumnRenamed("score", "weight"))
@@ -56,6 +65,47 @@ def build_pack(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD, with_c
     return KnowledgePack(tables)
 
 
+def semantic_edges(keyed: DataFrame, placed: DataFrame) -> DataFrame:
+    """Nearest chunks of chunks, and nearest symbols and chunks of symbols; a symbol's vector is the mean of its chunks'."""
+    vectors = cut_lineage(symbol_vectors(keyed, placed))
+    chunk_links = similarity.top_k(keyed, keyed, CHUNK_NEIGHBOURS, mode="full", min_score=CHUNK_SCORE)
+    symbol_links = similarity.top_k(vectors, vectors, SYMBOL_NEIGHBOURS, query_id="symbol", base_id="symbol", vector="centroid", mode="full")
+    mixed = similarity.top_k(vectors, keyed, SYMBOL_NEIGHBOURS, query_id="symbol", query_vector="centroid")
+    return cut_lineage(edges.similarity_edges(chunk_links, rules.SEMANTIC_CHUNK)
+                       .unionByName(edges.similarity_edges(symbol_links, rules.SEMANTIC_SYMBOL))
+                       .unionByName(edges.similarity_edges(mixed, rules.SEMANTIC_SYMBOL_CHUNK)))
+
+
+def symbol_vectors(keyed: DataFrame, placed: DataFrame) -> DataFrame:
+    rows = placed.select("path", "name", "chunk_ord").distinct().join(keyed, ["path", "chunk_ord"]).select(
+        edges.symbol_id(F.col("path"), F.col("name")).alias("symbol"), "embedding")
+    return embedding.group_centroids(rows, ["symbol"], unit=True)
+
+
+def clustered_nodes(nodes: DataFrame, keyed: DataFrame, placed: DataFrame) -> DataFrame:
+    """Nodes with their density cluster: of chunks, and of symbols the most frequent one of their chunks with its share."""
+    reps = cut_lineage(similarity.distinct_vectors(keyed, "vec_id", "embedding"))
+    close = similarity.similar_pairs(reps, 1 - CLUSTER_EPS, vec_id="id")
+    clusters = graph.density_clusters(close, reps, CLUSTER_EPS, CLUSTER_POINTS)
+    members = similarity.copy_members(keyed, reps, "vec_id", "embedding")
+    of_chunks = cut_lineage(members.join(clusters, "id").filter(F.col("cluster").isNotNull()).select(F.col("member").alias("id"), "cluster"))
+    inside = placed.select(edges.symbol_id(F.col("path"), F.col("name")).alias("symbol"),
+                           edges.chunk_key(F.col("path"), F.col("chunk_id")).alias("id")).join(of_chunks, "id")
+    of_symbols = communities.majority_cluster(inside)
+    found = of_chunks.select("id", "cluster", F.lit(1.0).alias("confidence")).unionByName(
+        of_symbols.select(F.col("symbol").alias("id"), "cluster", "confidence"))
+    facts = F.map_from_arrays(F.array(F.lit("cluster"), F.lit("cluster_confidence")), F.array("cluster", F.col("confidence").cast("string")))
+    return nodes.join(found, "id", "left").select(
+        "id", "node_type", "name", F.when(F.col("cluster").isNull(), F.col("metadata")).otherwise(F.map_concat("metadata", facts)).alias("metadata"))
+
+
+def documentation_tables(files, symbols, chunks, placed, graph_edges) -> dict[str, DataFrame]:
+    return {"doc_modules": documentation.module_rollup(files, symbols), "doc_files": documentation.file_summaries(files, symbols, chunks, placed),
+            "doc_structs": documentation.struct_docs(symbols), "doc_functions": documentation.function_docs(symbols),
+            "doc_overview": documentation.overview(files, symbols), "doc_dependencies": documentation.dependency_overview(graph_edges),
+            "doc_clusters": documentation.cluster_summaries(symbols)}
+
+
 def describe_communities(chunks, containing, vectors, member) -> dict[str, DataFrame]:
     keys = ["path", "chunk_ord"]
     rows = communities.members(member, containing)

@@ -111,7 +111,8 @@ class PackTools:
             "most_connected": hotspots.most_connected(p.edges, ids.select("name", "file").distinct(), n),
             "complexity_bombs": hotspots.complexity_bombs(
                 docs.file_summaries(p.files, p.symbols, p.chunks, placed), docs.function_docs(p.symbols), n),
-            "orphans": hotspots.orphans(ids, p.edges, n),
+            # nearest neighbours exist for every symbol, so they say nothing on being unused
+            "orphans": hotspots.orphans(ids, p.edges.filter(~F.col("edge_type").startswith("semantic_")), n),
         }
         if changes is not None:
             out["most_modified"] = hotspots.most_modified(changes, n)

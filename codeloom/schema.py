@@ -37,6 +37,7 @@ PACK_TABLES = {
 }
 # a pack may be built without these
 OPTIONAL_TABLES = ("communities", "community_members")
+DOCUMENTATION_TABLES = ("doc_modules", "doc_files", "doc_structs", "doc_functions", "doc_overview", "doc_dependencies", "doc_clusters")
 
 
 def struct(ddl: str) -> T.StructType:

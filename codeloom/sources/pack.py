@@ -33,12 +33,12 @@ def write_pack(pack: KnowledgePack, folder: str, as_json: bool = False) -> None:
 def read_pack(spark: SparkSession, folder: str, names=None) -> KnowledgePack:
     """Tables are lazy; a query reads only the columns it selects. Without names, all tables the pack has."""
     out = {}
-    for name in list(schema.PACK_TABLES) if names is None else names:
+    for name in [*schema.PACK_TABLES, *schema.DOCUMENTATION_TABLES] if names is None else names:
         layout = schema.PACK_TABLES.get(name)
         try:
             out[name] = (spark.read.schema(layout) if layout else spark.read).parquet(f"{folder}/{name}")
         except AnalysisException as error:
-            if names is not None or name not in schema.OPTIONAL_TABLES or error.getCondition() != "PATH_NOT_FOUND":
+            if names is not None or name not in (*schema.OPTIONAL_TABLES, *schema.DOCUMENTATION_TABLES) or error.getCondition() != "PATH_NOT_FOUND":
                 raise
     return KnowledgePack(out)
 

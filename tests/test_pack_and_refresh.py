@@ -25,7 +25,11 @@ def _files(spark):
 def test_build_write_read_and_ask(spark, tmp_path):
     pack = build_pack(_files(spark))
     write_pack(pack, str(tmp_path))
-    stored = read_pack(spark, str(tmp_path), list(pack.tables))
+    stored = read_pack(spark, str(tmp_path))
+    assert set(stored.tables) == set(pack.tables)
+    kinds = {r.edge_type for r in stored.edges.select("edge_type").distinct().collect()}
+    assert kinds >= {"symbol_to_chunk", "symbol_to_symbol", "semantic_symbol_similarity", "semantic_symbol_to_chunk"}
+    assert stored.tables["doc_files"].count() == 5 and stored.tables["doc_overview"].first().total_files == 5
     m = manifest(stored).first()
     assert m.total_files == 5 and m.embedding_dim == 64 and m.total_symbols == stored.symbols.count()
     tools = PackTools(stored)
@@ -35,7 +39,7 @@ def test_build_write_read_and_ask(spark, tmp_path):
     assert examples[0].example_type == "test" and {e.file for e in examples} == {"tests/server_test.rs", "docs/guide.md"}
     assert {r.node.split(":")[-1] for r in tools.get_impact("ServerConfig").collect()} >= {"port"}
     assert tools.get_quickstart().filter("section = 'entry_points'").count() >= 1
-    assert tools.propose_refactor("port").first().symbols_affected == 3  # itself, its struct, its chunk
+    assert tools.propose_refactor("port").first().symbols_affected == 7  # itself, its struct, its chunk and four near in meaning
     spots = tools.analyze_hotspots()
     assert spots["most_connected"].count() == 10 and spots["orphans"].count() > 0
     answer = tools.ask("How do I configure the server port?", 3)
@@ -64,3 +68,16 @@ def test_stream_refresh_keeps_tables_current(spark, tmp_path):
     got = {(r.path, r.text) for r in read_current(spark, folder, "chunks").collect()}
     assert got == {("a.txt", "1"), ("a.txt", "2"), ("a.txt", "3"), ("b.txt", "x"), ("c.txt", "new")}
     assert read_current(spark, folder, "file_hashes").select(F.countDistinct("path")).first()[0] == 3
+
+
+def test_answers_keep_a_symbol_of_each_file(spark):
+    """A name that two files have is found in the file that was hit."""
+    unit = [1.0] + [0.0] * 3
+    questions = spark.createDataFrame([("q", unit)], "question_id string, embedding array<double>")
+    chunks = spark.createDataFrame([("c1", "a.rs", "fn new() {}", unit), ("c2", "b.rs", "x", [0.0, 1.0, 0.0, 0.0])],
+                                   "chunk_key string, file string, text string, embedding array<double>")
+    table = spark.createDataFrame([("new", "function", "a.rs", "in a"), ("new", "function", "z.rs", "in z")],
+                                  "name string, kind string, file string, summary string")
+    answer = search.answer_questions(questions, chunks, table, 3)
+    assert [(r.symbol, r.file, r.summary) for r in answer["symbols"].collect()] == [("new", "a.rs", "in a")]
+    assert [r.code for r in answer["examples"].collect()] == ["fn new() {}"]
