@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom import rules
 from codeloom.functions import text as tx
 from codeloom.operators import embedding
+from codeloom.session import cut_lineage
 
 LABEL_CANDIDATES, LABEL_WORDS, CENTRAL_CHUNKS = 10, 3, 5
 
@@ -92,8 +93,10 @@ def phrase_scores(phrases: DataFrame, central: DataFrame, keys: list[str], group
     """TF-IDF of phrases per group: tf over its central chunks, idf over the corpus.
 
     Document frequency counts a phrase once per chunk without a distinct
-    shuffle, since repetition is removed inside the row.
+    shuffle, since repetition is removed inside the row. Texts are taken apart
+    once: the three counts read the written phrases.
     """
+    phrases = cut_lineage(phrases)
     df = (phrases.select(F.explode(F.array_distinct("phrases")).alias("phrase")).groupBy("phrase")
           .agg(F.count("*").alias("df")))
     n = phrases.agg(F.count("*").alias("n")).scalar()
