@@ -24,10 +24,10 @@ def _count_if(test: Column) -> Column:
 
 def purpose(n_traits: Column, n_structs: Column, n_functions: Column, n_symbols: Column) -> Column:
     half = F.floor(n_symbols / 2)
-    return (F.when(n_traits > 0, "Interface definitions and abstractions")
-            .when(n_structs > half, "Data structures and types")
-            .when(n_functions > half, "Utility functions and operations")
-            .otherwise("Mixed functionality module"))
+    return (F.when(n_traits > 0, rules.PURPOSE_TRAITS)
+            .when(n_structs > half, rules.PURPOSE_STRUCTS)
+            .when(n_functions > half, rules.PURPOSE_FUNCTIONS)
+            .otherwise(rules.PURPOSE_MIXED))
 
 
 def _zero(col: str) -> Column:
@@ -51,8 +51,7 @@ def module_rollup(files: DataFrame, symbols: DataFrame) -> DataFrame:
                    F.sum(_zero("n_structs")).alias("s"), F.sum(_zero("n_functions")).alias("f")))
     why = purpose(F.col("t"), F.col("s"), F.col("f"), F.col("symbol_count"))
     return rolled.select("module", "file_count", "symbol_count", "line_count", why.alias("purpose")).withColumn(
-        "description", F.format_string("Module '%s' contains %d file(s) implementing %s. Total symbols: %d",
-                                       "module", "file_count", "purpose", "symbol_count"))
+        "description", F.format_string(rules.MODULE_DESCRIPTION, "module", "file_count", "purpose", "symbol_count"))
 
 
 def module_exports(files: DataFrame, symbols: DataFrame, n: int = 10) -> DataFrame:
@@ -186,7 +185,7 @@ def function_docs(symbols: DataFrame, calls: DataFrame | None = None) -> DataFra
     n = F.when(F.col("parameters").isNull(), F.lit(0)).otherwise(n)
     return rows.select(
         "path", "name",
-        F.coalesce("docs", F.format_string("Function '%s' with %d parameter(s)", "name", n)).alias("description"),
+        F.coalesce("docs", F.format_string(rules.FUNCTION_DESCRIPTION, "name", n)).alias("description"),
         tx.full_signature(F.col("name"), F.col("visibility"), F.col("modifiers"), F.col("generics"),
                           F.col("parameters"), F.col("return_type")).alias("signature"),
         n.cast(_LONG).alias("parameter_count"), F.coalesce("return_type", F.lit("()")).alias("return_type"),
@@ -215,10 +214,10 @@ def overview(files: DataFrame, symbols: DataFrame) -> DataFrame:
         F.bool_or(F.lower("name").contains("builder")).alias("builders"),
         F.bool_or(F.col("kind") == "mod").alias("mods")).alias("s"))
     one = f.withColumn("s", s.scalar())
-    patterns = F.filter(F.array(F.when(F.col("s.traits"), "Trait-based abstraction"),
-                                F.when(F.col("s.builders"), "Builder pattern")), lambda p: p.isNotNull())
+    patterns = F.filter(F.array(F.when(F.col("s.traits"), rules.PATTERN_TRAITS),
+                                F.when(F.col("s.builders"), rules.PATTERN_BUILDER)), lambda p: p.isNotNull())
     return one.select("total_files", F.col("s.n").alias("total_symbols"), "total_lines", patterns.alias("design_patterns"),
-                      F.when(F.col("s.mods"), "Modular architecture").otherwise("Flat architecture")
+                      F.when(F.col("s.mods"), rules.STYLE_MODULAR).otherwise(rules.STYLE_FLAT)
                       .alias("architectural_style"))
 
 
@@ -247,9 +246,7 @@ def dependency_overview(edges: DataFrame) -> DataFrame:
     internal = internal_dependencies(edges).agg(F.count("*").alias("internal"))
     circular = circular_dependencies(edges, n=None).agg(F.count("*"))
     one = internal.select("internal", F.lit(0).cast(_LONG).alias("external"), circular.scalar().alias("circular"))
-    return one.withColumn("summary", F.format_string(
-        "%d internal dependencies, %d external dependencies, %d circular dependencies detected",
-        "internal", "external", "circular"))
+    return one.withColumn("summary", F.format_string(rules.DEPENDENCY_SUMMARY, "internal", "external", "circular"))
 
 
 def least_coupled(files: DataFrame, counts: DataFrame, n: int = 5) -> DataFrame:
@@ -275,7 +272,7 @@ def cluster_summaries(symbols: DataFrame, cluster: Column | None = None, n: int
         topic = F.when(F.col("r") == i, title).otherwise(topic)
     return totals.join(shown, "cluster_id").select(
         "cluster_id", topic.alias("topic_label"), "symbol_count", "representative_symbols",
-        F.format_string("Cluster of %d related symbols with semantic similarity", "symbol_count").alias("description"))
+        F.format_string(rules.CLUSTER_DESCRIPTION, "symbol_count").alias("description"))
 
 
 def processing_report(files: DataFrame, chunks: DataFrame, symbols: DataFrame, embeddings: DataFrame) -> DataFrame:
