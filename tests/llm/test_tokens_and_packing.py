@@ -21,15 +21,14 @@ def ids_of(tokenizer, text):
 
 @pytest.mark.parametrize("block_bytes", [1, 1 << 24])
 def test_encode_and_decode(odd, small, vocabulary, tokenizer, block_bytes):
-    for docs in (odd, small.repartition(3)) if block_bytes > 1 else (odd,):
-        docs = docs if docs is odd else small
+    for docs in (odd, small) if block_bytes > 1 else (odd,):
         got = tokens.decode_documents(tokens.encode_documents(docs, vocabulary, block_bytes=block_bytes), vocabulary).collect()
         want = sorted((repr(r.doc_id), struct.pack(f"<{len(i)}I", *i), tokenizer.decode(i, skip_special_tokens=False))
                       for r in docs.collect() for i in [ids_of(tokenizer, r.text)])
         assert sorted((repr(r.doc_id), bytes(r.ids), r.decoded) for r in got) == want
 
 
-def test_each_distinct_word_is_encoded_once(spark, vocabulary):
+def test_every_place_of_a_word_gets_its_ids(spark, vocabulary):
     places = spark.createDataFrame([(w, (b << 24) + n) for n, w in enumerate(["a", "b", "c"]) for b in range(900)], "word string, place long")
     rows = tokens.encode_distinct(places, vocabulary, held_rows=100).collect()
     assert sum(len(tokens._from_planes(tokens.zstandard.ZstdDecompressor().decompress(r.numbers))) for r in rows) == 2700
@@ -50,9 +49,10 @@ def test_empty_tables(none, vocabulary):
 
 
 def test_cache_stays_bounded(vocabulary, tokenizer):
-    from codeloom.llm.common import byte_view
     import pyarrow as pa
 
+    from codeloom.llm.common import byte_view
+
     cache = tokens.WordCache(vocabulary, limit=20)
     for k in range(6):
         texts = [f"hello{k} wor{k}ld some{k}thing", None, " ".join(f"t{k}x{i}" for i in range(15))]
