@@ -2,8 +2,10 @@
 
 State is the stored hash table, not stream state: a batch can be replayed any
 number of times with the same result. Every table is kept as numbered versions;
-a batch writes version ``batch + 1`` from version ``batch`` and publishes it
-last, so a failed batch leaves the earlier version intact.
+a batch writes the version after the published one and publishes it last, so a
+failed batch leaves the earlier version intact. A published version remembers
+the stream and batch it came from: a replayed batch writes its version again,
+and another stream on the same folder goes on from the last one.
 """
 
 from __future__ import annotations
@@ -39,14 +41,28 @@ def read_current(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(_version_path(folder, name, latest_version(spark, folder)))
 
 
-def refresh_batch(spark: SparkSession, folder: str, arrived: DataFrame, derive: Derive, version: int) -> None:
-    """Bring the stored tables up to date with one batch of (path, content) rows."""
-    arrived = arrived.groupBy("path").agg(F.max("content").alias("content"))
-    files = tree.as_files(arrived)
+def _version_of(spark: SparkSession, folder: str, token: str) -> int:
+    """The version a batch writes: its own if it was published before, else the next one."""
+    last = latest_version(spark, folder)
+    if not last:
+        return 1
+    mine = spark.read.parquet(f"{folder}/_published").filter(F.col("token") == token).agg(F.max("version")).first()[0]
+    return int(mine or last + 1)
+
+
+def refresh_batch(spark: SparkSession, folder: str, arrived: DataFrame, derive: Derive, token: str, order: str | None = None) -> None:
+    """Bring the stored tables up to date with one batch of (path, content) rows.
+
+    Of rows that share a path the last by ``order`` counts, by content if no column is named. A null content deletes the path.
+    ``token`` names the batch.
+    """
+    last = F.max_by(F.struct("content"), F.col(order)) if order else F.max(F.struct("content"))
+    arrived = arrived.groupBy("path").agg(last.alias("last")).select("path", "last.content")
+    gone = arrived.filter(F.col("content").isNull()).select("path")
+    files = tree.as_files(arrived.filter(F.col("content").isNotNull()))
     hashes = fo.content_hashes(files)
-    base = latest_version(spark, folder)
-    # replay of a published batch starts again from the version before it
-    base = min(base, version - 1)
+    version = _version_of(spark, folder, token)
+    base = version - 1
     if base <= 0:
         changed, old_hashes = files, None
     else:
@@ -54,20 +70,23 @@ def refresh_batch(spark: SparkSession, folder: str, arrived: DataFrame, derive:
         same = hashes.join(old_hashes, ["path", "sha256"], "left_semi").select("path")
         changed = files.join(same, "path", "left_anti")
     tables = {"file_hashes": fo.content_hashes(changed), **derive(changed)}
-    stale = changed.select("path")
+    stale = changed.select("path").unionByName(gone)
     for name, fresh in tables.items():
         if old_hashes is not None:
             kept = spark.read.parquet(_version_path(folder, name, base)).join(stale, "path", "left_anti")
             fresh = kept.unionByName(fresh)
         fresh.write.mode("overwrite").parquet(_version_path(folder, name, version))
-    spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").parquet(f"{folder}/_published")
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(token).alias("token")).coalesce(1).write.mode("append").parquet(f"{folder}/_published")
 
 
-def start_refresh(spark: SparkSession, source: DataFrame, folder: str, derive: Derive, checkpoint: str, **trigger):
-    """Start the stream; ``source`` is a streaming (path, content) DataFrame."""
+def start_refresh(spark: SparkSession, source: DataFrame, folder: str, derive: Derive, checkpoint: str, order: str | None = None,
+                  **trigger):
+    """Start the stream; ``source`` is a streaming (path, content) DataFrame, with an ``order`` column if named."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        refresh_batch(batch.sparkSession, folder, batch, derive, batch_id + 1)
+        # the id that the stream has written into its checkpoint folder; a fresh folder means another stream
+        stream = batch.sparkSession.read.text(f"{checkpoint}/metadata").first()[0]
+        refresh_batch(batch.sparkSession, folder, batch, derive, f"{stream}:{batch_id}", order)
 
     return (source.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())

@@ -5,7 +5,7 @@ from codeloom.plans.build import build_pack
 from codeloom.plans.tools import PackTools
 from codeloom.sources.pack import manifest, read_pack, write_pack
 from codeloom.sources import tree
-from codeloom.streaming.refresh import read_current, start_refresh
+from codeloom.streaming.refresh import latest_version, read_current, refresh_batch, start_refresh
 
 TREE = [
     ("src/main.rs", "use std::fs;\n\n/// Entry\nfn main() {\n    run_server();\n}\n"),
@@ -68,6 +68,22 @@ def test_stream_refresh_keeps_tables_current(spark, tmp_path):
     got = {(r.path, r.text) for r in read_current(spark, folder, "chunks").collect()}
     assert got == {("a.txt", "1"), ("a.txt", "2"), ("a.txt", "3"), ("b.txt", "x"), ("c.txt", "new")}
     assert read_current(spark, folder, "file_hashes").select(F.countDistinct("path")).first()[0] == 3
+    # another stream on the same folder goes on from the published version; a null content deletes, the later row counts
+    inbox, mark = str(tmp_path / "later"), str(tmp_path / "fresh mark")
+    rows = [("a.txt", None, 1), ("b.txt", "zzz", 1), ("b.txt", "y", 2), ("d.txt", "d", 1)]
+    spark.createDataFrame(rows, "path string, content string, at int").coalesce(1).write.parquet(inbox)
+    source = spark.readStream.schema("path string, content string, at int").parquet(inbox)
+    start_refresh(spark, source, folder, lambda f: {"chunks": chunking.by_lines(f, 1)}, mark, "at").awaitTermination(120)
+    got = {(r.path, r.text) for r in read_current(spark, folder, "chunks").collect()}
+    assert got == {("b.txt", "y"), ("c.txt", "new"), ("d.txt", "d")}
+
+
+def test_a_replayed_batch_writes_its_version_again(spark, tmp_path):
+    folder, derive = str(tmp_path), lambda f: {"chunks": chunking.by_lines(f, 1)}
+    batch = lambda text: spark.createDataFrame([("a.txt", text)], "path string, content string")
+    for token, text in (("s:0", "one"), ("s:1", "two"), ("s:1", "two")):
+        refresh_batch(spark, folder, batch(text), derive, token)
+    assert latest_version(spark, folder) == 2 and [r.text for r in read_current(spark, folder, "chunks").collect()] == ["two"]
 
 
 def test_answers_keep_a_symbol_of_each_file(spark):
