@@ -60,11 +60,12 @@ def test_hosts_paths_and_rules(spark):
 
 def test_templates_carry_verdicts_over(spark):
     """Labels on some numbered pages of a branch decide for the rest of its template, and not for its sisters."""
-    rules = [Rule("block", "h.example", f"/spam/{k}1") for k in range(1, 10)] + [Rule("allow", "h.example", f"/news/{k}1") for k in range(1, 10)]
+    ends = [f"{k}{e}" for k in range(1, 10) for e in (1, 2)]
+    rules = [Rule("block", "h.example", f"/spam/{e}") for e in ends] + [Rule("allow", "h.example", f"/news/{e}") for e in ends]
     urls = [f"http://h.example/{part}/{n}" for part in ("spam", "news", "other") for n in range(10, 100)]
     got = judge(spark, urls, rules)
     by = {part: {r.verdict for r in got.values() if r.path.startswith(f"/{part}/")} for part in ("spam", "news", "other")}
-    # nine of twenty-odd labelled pages and more than the prior's weight
+    # 18 blocked pages: (18 + 4 * 0.3) / (18 + 4) = 0.87; nine of them would give 0.78 and stay under 0.8
     assert by == {"spam": {"block"}, "news": {"allow"}, "other": {"allow"}}
 
 
