@@ -1,13 +1,18 @@
 """Quality rules, lines first: a line goes if a punctuation, navigation or boilerplate rule finds against it, and a text
-goes if it loses too many of its words that way."""
+goes if it loses too many of its words that way.
+
+An open end is weak evidence: such a line goes only if ``weighed`` finds more against it.
+"""
 
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 
 from codeloom.llm.common import prepare
@@ -21,7 +26,9 @@ NOISE = table(b"#*$%&|<>!~^=_{}[]\\@")
 SEPARATOR = table(b"|<>")
 BOILERPLATE = ("cookie policy", "cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved",
                "javascript", "subscribe to our newsletter", "click here", "read more", "share this", "sign up", "log in", "lorem ipsum")
-RULES = {"noise_share": 0.08, "separator_share": 0.15, "open_end_words": 0, "max_loss": 0.5}
+RULES = {"noise_share": 0.08, "separator_share": 0.15, "open_end_words": 0, "max_loss": 0.5,
+         "few_words": 3, "each_alone": False}
+LIST_ITEM = re.compile(r"\s|[-*+•‣–—]\s|(?:\d+|\w)[.)]\s")
 
 VERDICTS = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
                       ("n_repeat_words", pa.int64()), ("n_lost_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
@@ -52,12 +59,53 @@ def line_failures(s: Stats, rules: dict) -> dict[str, np.ndarray]:
     return failures
 
 
+@cache
+def _ends_of_all_scripts() -> frozenset[str]:
+    """Full stops, closing brackets and quotes, colons and ellipses of Unicode."""
+    every = "".join(chr(c) for c in range(0x11_0000) if not 0xD800 <= c < 0xE000)
+    return frozenset(regex.findall(r"[\p{Sentence_Terminal}\p{Pe}\p{Pf}]", every)) | set(":;…\"'：；")
+
+
+def weighed(s: Stats, failures: dict[str, np.ndarray], rules: dict) -> np.ndarray:
+    """Which lines go, with open ends looked at in their surroundings.
+
+    A line with an open end goes if it has few words, is neither a list item nor indented nor part of a wrapped paragraph, and
+    no line next to it has more words and stays.
+    """
+    lines, n = s.lines, len(s.lines.row)
+    bad = failures["noise"] | failures["navigation"] | failures["repeated"] | failures["boilerplate"]
+    ends, raw = _ends_of_all_scripts(), s.data
+
+    def shown(k: int) -> str:
+        return raw[lines.start[k]:lines.end[k]].tobytes().decode()
+
+    def starts_anew(k: int) -> bool:
+        """A letter without case may go on with a sentence."""
+        first = shown(k).lstrip()[:1]
+        return not first.isalpha() or first.isupper()
+
+    def in_paragraph(k: int) -> bool:
+        """Whether line k goes on with the one before it or goes on in the one after it."""
+        before = k > 0 and lines.row[k - 1] == lines.row[k] and lines.end[k - 1] + 1 == lines.start[k]
+        after = k + 1 < n and lines.row[k + 1] == lines.row[k] and lines.end[k] + 1 == lines.start[k + 1]
+        return before and not starts_anew(k) or after and not starts_anew(k + 1)
+
+    many = (s.line_words > rules["few_words"]) & ~bad
+    beside = np.zeros(n, bool)
+    same = lines.row[1:] == lines.row[:-1]
+    beside[1:] |= many[:-1] & same
+    beside[:-1] |= many[1:] & same
+    for k in np.flatnonzero(failures["open_end"] & (s.line_words <= rules["few_words"]) & ~beside & ~bad).tolist():
+        line = shown(k)
+        bad[k] = line.rstrip()[-1:] not in ends and not LIST_ITEM.match(line) and starts_anew(k) and not in_paragraph(k)
+    return bad
+
+
 def judge(texts, rules: dict) -> tuple[dict[str, np.ndarray], Stats, np.ndarray]:
     """(columns of VERDICTS, statistics, which lines fail) of a batch of texts."""
     s = Stats(texts)
-    bad = np.zeros(len(s.lines.row), bool)
-    for flags in line_failures(s, rules).values():
-        bad |= flags
+    failures = line_failures(s, rules)
+    bad = np.logical_or.reduce(list(failures.values())) if rules["each_alone"] else weighed(s, failures, rules)
     lost = s.by_row(s.lines.row[bad], s.line_words[bad]).astype(np.int64) if bad.any() else np.zeros(s.n, np.int64)
     base = (s.n_words < MIN_WORDS) | (100 * s.n_repeat_words > MAX_REPEAT_PERCENT * s.n_words)
     kept = ~base & (lost <= rules["max_loss"] * s.n_words)
@@ -69,7 +117,8 @@ def quality_verdicts(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     """The key and the columns of VERDICTS for every row.
 
     ``base_failed``: fewer than 20 words, or over 30 % of the words in repeated runs of 8 words. ``kept`` is false for those
-    and for texts that lose more than ``max_loss`` of their words with their bad lines. Null and empty texts have no words
+    and for texts that lose more than ``max_loss`` of their words with their bad lines. With ``each_alone`` in the rules any
+    finding of ``line_failures`` makes a line bad, whatever its surroundings. Null and empty texts have no words
     and fail. Repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
     """
     prepare(docs.sparkSession)

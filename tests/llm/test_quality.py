@@ -1,5 +1,6 @@
 """Quality rules and the quality classifier."""
 
+import textwrap
 import zlib
 
 import numpy as np
@@ -38,6 +39,33 @@ def test_cleaning(spark, odd, none):
     assert rules.quality_verdicts(none).count() == 0 and rules.clean_lines(none).count() == 0
 
 
+PROSE = ("The river had been rising for three days before anyone in the village thought of moving the cattle to the higher fields. "
+         "When they did, the bridge was gone, and the men stood on the bank and looked at the brown water, as if it might change its mind. ")
+VERSE = """The wind came down the valley late
+And shook the apples from the bough
+It rattled at the garden gate
+And no one hears the gate but now
+The house is sold the orchard gone
+A stranger ploughs the lower field
+And still the wind goes on and on"""
+
+
+def stays(texts):
+    columns, s, bad = rules.judge(pa.array(texts), rules.RULES)
+    return columns["kept"].tolist(), columns["n_lost_words"].tolist()
+
+
+def test_open_ends_of_clean_texts():
+    hindi = "यह गाँव नदी के किनारे बसा है और लोग खेती करते हैं। बच्चे रोज़ सुबह नदी पार करके स्कूल जाते हैं।"
+    clean = [textwrap.fill(PROSE, 72), textwrap.fill(PROSE, 18), VERSE, PROSE.replace(".", "").strip(), hindi, "Rain\n\n" + PROSE.strip() + "\n- bread\n- salt\n- oil"]
+    assert stays(clean) == ([True] * len(clean), [0] * len(clean))
+
+
+def test_stacked_menus_still_go():
+    menu = "Home\nAbout us\nOur Team\nContact\nCareers\nPress Room\nInvestors\nSupport\nDownloads\nShop Now\nMy Account\nHelp Centre\nSite Map\nNews Feed"
+    assert stays([menu, "Home\nAbout us\nContact\n" + PROSE.strip()]) == ([False, True], [22, 3])
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
