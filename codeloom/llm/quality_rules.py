@@ -1,7 +1,7 @@
 """Quality rules, lines first: a line goes if a punctuation, navigation or boilerplate rule finds against it, and a text
 goes if it loses too many of its words that way.
 
-An open end is weak evidence: such a line goes only if ``weighed`` finds more against it.
+An open end or a phrase of page furniture is weak evidence: such a line goes only if ``weighed`` finds more against it.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ SEPARATOR = table(b"|<>")
 BOILERPLATE = ("cookie policy", "cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved",
                "javascript", "subscribe to our newsletter", "click here", "read more", "share this", "sign up", "log in", "lorem ipsum")
 RULES = {"noise_share": 0.08, "separator_share": 0.15, "open_end_words": 0, "max_loss": 0.5,
-         "few_words": 3, "each_alone": False}
+         "few_words": 3, "short_words": 10, "phrase_share": 0.25, "each_alone": False}
 LIST_ITEM = re.compile(r"\s|[-*+•‣–—]\s|(?:\d+|\w)[.)]\s")
 
 VERDICTS = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
@@ -66,14 +66,20 @@ def _ends_of_all_scripts() -> frozenset[str]:
     return frozenset(regex.findall(r"[\p{Sentence_Terminal}\p{Pe}\p{Pf}]", every)) | set(":;…\"'：；")
 
 
+@cache
+def _phrases(phrases: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"(?<!\w)(?:" + "|".join(re.escape(p) for p in phrases) + r")(?!\w)", re.IGNORECASE)
+
+
 def weighed(s: Stats, failures: dict[str, np.ndarray], rules: dict) -> np.ndarray:
-    """Which lines go, with open ends looked at in their surroundings.
+    """Which lines go, with open ends and boilerplate looked at in their surroundings.
 
     A line with an open end goes if it has few words, is neither a list item nor indented nor part of a wrapped paragraph, and
-    no line next to it has more words and stays.
+    no line next to it has more words and stays. A line with a boilerplate phrase at word borders goes if such phrases are a
+    good share of its words, or if it is short and not part of a wrapped paragraph.
     """
     lines, n = s.lines, len(s.lines.row)
-    bad = failures["noise"] | failures["navigation"] | failures["repeated"] | failures["boilerplate"]
+    bad = failures["noise"] | failures["navigation"] | failures["repeated"]
     ends, raw = _ends_of_all_scripts(), s.data
 
     def shown(k: int) -> str:
@@ -90,6 +96,10 @@ def weighed(s: Stats, failures: dict[str, np.ndarray], rules: dict) -> np.ndarra
         after = k + 1 < n and lines.row[k + 1] == lines.row[k] and lines.end[k] + 1 == lines.start[k + 1]
         return before and not starts_anew(k) or after and not starts_anew(k + 1)
 
+    for k in np.flatnonzero(failures["boilerplate"] & ~bad).tolist():
+        line = shown(k)
+        words = sum(len(m.group().split()) for m in _phrases(tuple(rules.get("boilerplate", BOILERPLATE))).finditer(line))
+        bad[k] = words and (words >= rules["phrase_share"] * s.line_words[k] or s.line_words[k] <= rules["short_words"] and not in_paragraph(k))
     many = (s.line_words > rules["few_words"]) & ~bad
     beside = np.zeros(n, bool)
     same = lines.row[1:] == lines.row[:-1]

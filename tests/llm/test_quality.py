@@ -66,6 +66,17 @@ def test_stacked_menus_still_go():
     assert stays([menu, "Home\nAbout us\nContact\n" + PROSE.strip()]) == ([False, True], [22, 3])
 
 
+def test_boilerplate_in_clean_texts():
+    long = " ".join([PROSE.strip()] * 6).replace("The river", "The JavaScript river", 1)
+    long = " ".join(f"{w}{k}" if k % 5 == 0 and "JavaScript" not in w else w for k, w in enumerate(long.split()))
+    blog = "They put the whole story in a blog in June and the design upset nobody at all, which is rare for a catalog in this part of the world."
+    wrapped = textwrap.fill("She wrote the first version in an afternoon with nothing but javascript and patience, and the rest of the week went into tests.", 60)
+    assert len(long.split()) > 270
+    assert stays([long, blog, wrapped]) == ([True] * 3, [0] * 3)
+    furniture = ["We use cookies.", "Click here to log in and read more.", "Please read our Privacy Policy before you go on."]
+    assert stays([f"{line}\n{PROSE.strip()}" for line in furniture])[1] == [3, 8, 9]
+
+
 def held(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
