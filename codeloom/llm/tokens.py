@@ -163,19 +163,37 @@ def word_cache(path: str) -> WordCache:
     return WordCache(path)
 
 
+# a place is a block's id and a word's number in it, and a block's id is a partition and a number in it: 63 bits together
+PARTITION_BITS, BLOCK_BITS, NUMBER_BITS = 20, 15, 28
+
+
+def block_id(partition: int, number: int) -> int:
+    if partition >> PARTITION_BITS or number >> BLOCK_BITS:
+        raise ValueError(f"block {number} of partition {partition}: up to {1 << PARTITION_BITS} partitions of {1 << BLOCK_BITS} blocks have ids; "
+                         "read the input in other partitions or set larger block_bytes")
+    return partition << BLOCK_BITS | number
+
+
+def first_place(block: int, n_distinct: int) -> int:
+    """The place of a block's first word."""
+    if n_distinct > 1 << NUMBER_BITS:
+        raise ValueError(f"a block has {n_distinct} distinct words, over {1 << NUMBER_BITS}; read fewer rows a batch")
+    return block << NUMBER_BITS
+
+
 def _blocks(batches, block_bytes: int) -> Iterator[tuple[int, pa.Table]]:
     """(block id, rows) in the order of a partition; the same for each run over the same partition."""
-    part, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+    part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             size += batch.get_total_buffer_size()
         if size >= block_bytes:
-            yield part + number, pa.Table.from_batches(held)
+            yield block_id(part, number), pa.Table.from_batches(held)
             number, held, size = number + 1, [], 0
             pa.default_memory_pool().release_unused()
     if held:
-        yield part + number, pa.Table.from_batches(held)
+        yield block_id(part, number), pa.Table.from_batches(held)
 
 
 def _unique_words(texts) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray, np.ndarray]:
@@ -185,17 +203,15 @@ def _unique_words(texts) -> tuple[np.ndarray, np.ndarray, Words, np.ndarray, np.
     return data, offsets, words, first, inverse
 
 
-NUMBER_BITS = 24  # a place is a block's id and a word's number in it
-
-
 def block_words(rows: DataFrame, block_bytes: int) -> DataFrame:
     """(word, place): the distinct words of each block."""
     def run(batches):
         for block, table in _blocks(batches, block_bytes):
             data, _, words, first, _ = _unique_words(flat(table.column("text")))
+            start = first_place(block, len(first))
             for low in range(0, len(first), 50_000):
                 at = first[low:low + 50_000]
-                place = (block << NUMBER_BITS) + low + np.arange(len(at), dtype=np.int64)
+                place = start + low + np.arange(len(at), dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([slices_of(data, words.start[at], words.end[at]), pa.array(place)], names=["word", "place"])
 
     return rows.mapInArrow(run, "word string, place long")

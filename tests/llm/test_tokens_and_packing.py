@@ -34,6 +34,25 @@ def test_every_place_of_a_word_gets_its_ids(spark, vocabulary):
     assert sum(len(tokens._from_planes(tokens.zstandard.ZstdDecompressor().decompress(r.numbers))) for r in rows) == 2700
 
 
+def test_many_partitions(spark, vocabulary, tokenizer):
+    docs = spark.range(0, 140, 1, 140).selectExpr("id AS doc_id", "concat('word ', id, ' of many.') AS text")
+    got = {r.doc_id: bytes(r.ids) for r in tokens.encode_documents(docs, vocabulary).collect()}
+    assert got == {k: struct.pack(f"<{len(i)}I", *i) for k in range(140) for i in [ids_of(tokenizer, f"word {k} of many.")]}
+
+
+def test_limits_of_places():
+    import numpy as np
+
+    last = tokens.block_id((1 << tokens.PARTITION_BITS) - 1, (1 << tokens.BLOCK_BITS) - 1)
+    most = 1 << tokens.NUMBER_BITS
+    place = tokens.first_place(last, most) + np.array([0, most - 1], np.int64)
+    assert (place > 0).all() and (place >> tokens.NUMBER_BITS == last).all() and most > 1 << 24
+    assert tokens.first_place(tokens.block_id(128, 1), most) + most == tokens.first_place(tokens.block_id(128, 2), most)
+    for call in (lambda: tokens.first_place(1, most + 1), lambda: tokens.block_id(1 << tokens.PARTITION_BITS, 0), lambda: tokens.block_id(0, 1 << tokens.BLOCK_BITS)):
+        with pytest.raises(ValueError):
+            call()
+
+
 def test_a_changed_input_is_noticed(spark, vocabulary):
     import pyarrow as pa
 
