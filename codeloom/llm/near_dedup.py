@@ -1,10 +1,11 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
-Each set of word shingles has a sketch of ``POSITIONS`` minwise tokens, of which the first ``BRANCHING`` are kept whole. A tree starts with all sets in one node and sends
-each set of a node that is too large to the children of two positions chosen by the node's hash, a child for each token
-there. Sets of similarity J part ways at a position with probability 1 - J, so with two choices they stay together down
-the tree with probability 1 - ((1 - J) / J)^2 at least, 0.89 for J = 0.75; ``TREES`` independent trees find a pair with
-0.9999 and more. Small nodes are compared exhaustively by sketch, and pairs that look similar are confirmed on full sets.
+Each set of word shingles has a sketch of ``POSITIONS`` minwise tokens. A tree has ``BRANCHING`` of them for itself, starts
+with all sets in one node and sends each set of a node that is too large to the children of two of its positions chosen by
+the node's hash, a child for each token there. Sets of similarity J part ways at a position with probability 1 - J. If they
+agree at a share q of a tree's positions, they stay together down the tree with probability 1 - ((1 - q) / q)^2 at least
+(none for q under a half); over q that is 0.867 for J = 0.75. As no token is in two trees, ``TREES`` trees find a pair with
+0.9999 and more. Tokens are whole at the roots and 16 bits below. Small nodes are compared exhaustively by sketch, and pairs that look similar are confirmed on full sets.
 
 Sets, not documents, are joined: equal sets are one class. As only components are asked for, pairs inside a component that
 is already known are not looked at again, and a node whose sets are all in one component is done. A large group of near
@@ -31,7 +32,7 @@ SHINGLE = 5
 SIMILARITY = 75  # percent
 POSITIONS = 256
 BRANCHING = 32
-SKETCH_BYTES = 4 * BRANCHING + POSITIONS - BRANCHING
+TREE_BITS = 3  # of a node's number
 TREES = 5
 LEAF_SETS = 512
 # a large node counts as small if its sets outside the main component times all its sets are at most so many
@@ -69,15 +70,24 @@ def shingle_sets(texts) -> list[np.ndarray]:
     return out
 
 
-def sketch(shingles: np.ndarray) -> bytes:
-    """The least value of the set at each position: whole for the first ones, then low bytes."""
+def _least(shingles: np.ndarray) -> np.ndarray:
+    """The least value of the set at each position."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
     for low in range(0, len(x), 512):
         values = np.multiply.outer(_FACTORS, x[low:low + 512])
         values += _TERMS[:, None]
         np.minimum(least, values.min(axis=1), out=least)
-    return least[:BRANCHING].astype("<u4").tobytes() + least[BRANCHING:].astype(np.uint8).tobytes()
+    return least
+
+
+def _packed(least: np.ndarray, trees: int) -> bytes:
+    """The low byte of each position, then the second byte of those that the trees use."""
+    return least.astype(np.uint8).tobytes() + (least[:trees * BRANCHING] >> np.uint32(8)).astype(np.uint8).tobytes()
+
+
+def sketch(shingles: np.ndarray, trees: int = TREES) -> bytes:
+    return _packed(_least(shingles), trees)
 
 
 def _digest(shingles: np.ndarray) -> bytes:
@@ -85,50 +95,74 @@ def _digest(shingles: np.ndarray) -> bytes:
     return np.array([mix(shingles + _TWO).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(shingles ^ _THREE))], "<u8").tobytes()
 
 
-def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, digest, sig); empty sets have neither digest nor sketch."""
+def sketches(docs: DataFrame, key: str, text: str, trees: int = TREES) -> DataFrame:
+    """(key, n_shingles, digest, sig, roots); empty sets have neither digest nor sketch. ``roots``: the children of the roots."""
+    if trees > min(POSITIONS // BRANCHING, 1 << TREE_BITS):
+        raise ValueError(f"{POSITIONS} positions are enough for {POSITIONS // BRANCHING} trees")
+
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
+            sigs = [_least(s) if len(s) else None for s in sets]
+            least = np.array([x for x in sigs if x is not None], np.uint32).reshape(-1, POSITIONS)
+            nodes = np.stack([c for t in range(trees) for c in _children(np.full(len(least), root(t)), least)], axis=1)
+            roots = iter(nodes)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
-                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary())], names=["key", "n_shingles", "digest", "sig"])
+                pa.array([None if x is None else _packed(x, trees) for x in sigs], pa.binary()),
+                pa.array([None if x is None else next(roots).tobytes() for x in sigs], pa.binary())], names=["key", "n_shingles", "digest", "sig", "roots"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "key long, n_shingles long, digest binary, sig binary")
+    return rows.mapInArrow(run, "key long, n_shingles long, digest binary, sig binary, roots binary")
+
+
+def _fixed(column) -> np.ndarray:
+    """Rows of bytes of one length."""
+    data, offsets = byte_view(column)
+    return data.reshape(len(offsets) - 1, -1) if len(data) else np.zeros((len(offsets) - 1, POSITIONS), np.uint8)
 
 
 def _tokens(column) -> np.ndarray:
-    """The whole tokens of each row."""
-    data, _ = byte_view(column)
-    return np.ascontiguousarray(data.reshape(-1, SKETCH_BYTES)[:, :4 * BRANCHING]).view("<u4")
+    """The two low bytes of the positions that trees use, of each row."""
+    whole = _fixed(column)
+    n = whole.shape[1] - POSITIONS
+    return whole[:, :n].astype(np.uint32) | whole[:, POSITIONS:].astype(np.uint32) << np.uint32(8)
 
 
 def _low_bytes(column) -> np.ndarray:
     """The low byte of each position of each row."""
-    data, _ = byte_view(column)
-    whole = data.reshape(-1, SKETCH_BYTES)
-    return np.concatenate([whole[:, :4 * BRANCHING:4], whole[:, 4 * BRANCHING:]], axis=1)
+    return np.ascontiguousarray(_fixed(column)[:, :POSITIONS])
+
+
+def _of_tree(node: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """The number of a node, with its tree in the lowest bits."""
+    return node >> np.uint64(TREE_BITS) << np.uint64(TREE_BITS) | tree
+
+
+def root(tree: int) -> np.uint64:
+    return _of_tree(mix(np.array([tree + 1], np.uint64)), np.uint64(tree))[0]
 
 
 def _children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
-    """The two child nodes of each row."""
+    """The two child nodes of each row, by tokens of the node's tree."""
+    tree = node & np.uint64((1 << TREE_BITS) - 1)
     first = (mix(node ^ _ONE) % np.uint64(BRANCHING)).astype(np.int64)
     second = (first + 1 + (mix(node ^ _THREE) % np.uint64(BRANCHING - 1)).astype(np.int64)) % BRANCHING
-    rows = np.arange(len(node))
-    return [mix(node * _ONE + p.astype(np.uint64) * _TWO + sig[rows, p].astype(np.uint64) * _THREE) for p in (first, second)]
+    rows, own = np.arange(len(node)), tree.astype(np.int64) * BRANCHING
+    return [_of_tree(mix(node * _ONE + p.astype(np.uint64) * _TWO + sig[rows, p].astype(np.uint64) * _THREE), tree) for p in (own + first, own + second)]
 
 
-def first_nodes(reps: DataFrame, trees: int) -> DataFrame:
+def first_nodes(reps: DataFrame) -> DataFrame:
     """(node, rep): the children of the roots."""
     def run(batches):
         for batch in batches:
-            sig = _tokens(batch.column("sig"))
-            nodes = [c for t in range(trees) for c in _children(np.full(len(sig), mix(np.array([t + 1], np.uint64))[0]), sig)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.concat_arrays([batch.column("rep")] * len(nodes))],
+            data, _ = byte_view(batch.column("roots"))
+            nodes = data.tobytes()
+            rep = batch.column("rep").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes, np.int64)), pa.array(np.repeat(rep, len(nodes) // 8 // max(len(rep), 1)))],
                                              names=["node", "rep"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "node long, rep long")
+    return reps.select("rep", "roots").mapInArrow(run, "node long, rep long")
 
 
 def next_nodes(rows: DataFrame) -> DataFrame:
@@ -323,21 +357,23 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
     table gives an empty result; other columns are not read.
     """
     spark = prepare(docs.sparkSession)
-    made = cut_lineage(sketches(docs, key, text))
+    made = cut_lineage(sketches(docs, key, text, trees))
     sets = made.filter(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
-    classes = cut_lineage(sets.groupBy("digest").agg(F.min("key").alias("rep"), F.min_by("sig", "key").alias("sig")))
+    classes = cut_lineage(sets.groupBy("digest").agg(F.min("key").alias("rep"), F.min_by(F.struct("sig", "roots"), "key").alias("s"))
+                          .select("digest", "rep", "s.*"))
     members = made.select("key", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
-    labels = _links(spark, docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), classes.select("rep", "sig"),
-                    similarity, trees, (leaf_sets, leaf_pairs), sketch_cut)
+    labels = _links(spark, docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), classes.select("rep", "sig", "roots"),
+                    similarity, (leaf_sets, leaf_pairs), sketch_cut)
     found = members.join(labels, "rep", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
     component = F.when(F.col("key").isNotNull(), F.coalesce("label", "rep", "key"))
     return found.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"),
                         (F.col("key").isNull() | (F.col("key") == component)).alias("kept"))
 
 
-def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int, leaf: tuple[int, int], cut: int) -> DataFrame | None:
+def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, leaf: tuple[int, int], cut: int) -> DataFrame | None:
     """(rep, label) of the classes that have links; None if there are none."""
-    rows, labels, waiting = first_nodes(reps, trees), None, None
+    rows, labels, waiting = first_nodes(reps), None, None
+    low = reps.select("rep", F.substring("sig", 1, POSITIONS).alias("sig"))
     table = f"near_dedup_{uuid.uuid4().hex}"
     texts = None
     try:
@@ -349,12 +385,12 @@ def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int,
                 buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
                 (docs.join(ids, "id", "left_semi").repartition(buckets, "id").write.bucketBy(buckets, "id").saveAsTable(table))
                 texts = spark.table(table)
-            small, large = here.filter("small"), here.filter("not small").join(reps, "rep")
-            pairs = cut_lineage(forest_pairs(small.join(reps, "rep"), cut).unionByName(star_pairs(large, reps, cut)).distinct())
+            small, large = here.filter("small"), here.filter("not small").join(low, "rep")
+            pairs = cut_lineage(forest_pairs(small.join(low, "rep"), cut).unionByName(star_pairs(large, low, cut)).distinct())
             found = pairs if pairs.isEmpty() else confirm(pairs, texts, similarity).filter("linked").select("p", "m")
             if waiting is not None:
-                open_ = cut_lineage(open_rows(waiting.join(reps, "rep"), cut))
-                found = found.unionByName(exact_links(open_.join(reps, "rep").join(texts, open_["rep"] == texts["id"]), cut, similarity))
+                open_ = cut_lineage(open_rows(waiting.join(low, "rep"), cut))
+                found = found.unionByName(exact_links(open_.join(low, "rep").join(texts, open_["rep"] == texts["id"]), cut, similarity))
             new = cut_lineage(found.select(F.col("p").alias("src"), F.col("m").alias("dst")))
             if not new.isEmpty():
                 known = labels.select(F.col("rep").alias("src"), F.col("label").alias("dst")) if labels is not None else new.limit(0)
@@ -367,7 +403,7 @@ def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, trees: int,
             rest = still.agg(F.count("*"), F.count_if(F.col("small") & F.col("done"))).first()
             if not rest[0]:
                 return labels
-            rows = next_nodes(still.filter("NOT small").join(reps, "rep")).unionByName(
+            rows = next_nodes(still.filter("NOT small").join(reps.select("rep", "sig"), "rep")).unionByName(
                 still.filter("small AND NOT done").select("node", "rep"))
             if not rest[1]:
                 waiting = None
