@@ -143,3 +143,27 @@ b AS (SELECT *, array_to_string(flatten(list_transform(range(8), lambda k: list_
 SELECT page_id, strlen(body)::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> best THEN best END AS refers_to FROM b
 """
+
+
+def vector_codes(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Rounds one after the other; distances by components."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+d{k} AS (SELECT r, part, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, w), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := e)) AS best
+         FROM p JOIN c{k} USING (part) GROUP BY r, part, v)""")
+        if k < rounds:
+            steps.append(f"""
+m{k} AS (SELECT part, e, list(q ORDER BY i) AS w FROM (SELECT part, e, i, (s - ((s % n) + n) % n) // n AS q FROM (
+         SELECT part, best.e AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM d{k}, unnest(range(1, len(v) + 1)) AS t(i) GROUP BY ALL)) GROUP BY part, e),
+c{k + 1} AS (SELECT part, e, coalesce(m{k}.w, c{k}.w) AS w FROM c{k} LEFT JOIN m{k} USING (part, e))""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS vec FROM embeddings
+         WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, vec_id, part, list_slice(vec, part * len(vec) // {parts} + 1, (part + 1) * len(vec) // {parts}) AS v FROM kept, unnest(range({parts})) AS t(part)),
+f AS (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT {entries}),
+c0 AS (SELECT part, e, v AS w FROM p JOIN f USING (r)),{",".join(steps)},
+coded AS (SELECT r, string_agg(format('{{:02x}}', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM d{rounds} GROUP BY r),
+s AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), s
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import chat, exact_dedup, near_dedup, oracles, packing, quality_model, quality_rules, sharding, tokens, url_filters, warc
+from codeloom.llm import chat, exact_dedup, near_dedup, oracles, packing, quality_model, quality_rules, sharding, tokens, url_filters, vector_codes, warc
 from codeloom.llm.common import documents, prepare
 from codeloom.llm.text_stats import SENTENCE_ENDS
 
@@ -81,9 +81,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_model, op2_near_dedup, op3_exact_dedup, op4_bpe, op5_sharding, op6_quality_rules, op7_url_filters,
-                                     op8_packing, op9_chat_format, op10_warc)}
+                                     op8_packing, op9_chat_format, op10_warc, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -91,4 +95,4 @@ def oracle_sql() -> dict[str, str]:
     rules = oracles.quality_rules(quality_rules.RULES, quality_rules.BOILERPLATE, r"[#*$%&|<>!~^=_{}\[\]\\@]", r"[|<>]", SENTENCE_ENDS)
     return {"op2_near_dedup": oracles.NEAR_DEDUP, "op3_exact_dedup": oracles.EXACT_DEDUP, "op5_sharding": oracles.SHARDING,
             "op6_quality_rules": rules, "op7_url_filters": oracles.url_filters(URL_RULES), "op9_chat_format": oracles.chat_format(PROBE),
-            "op10_warc": oracles.WARC}
+            "op10_warc": oracles.WARC, "op13_vector_codes": oracles.vector_codes(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE)}
