@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import alignment, chat, exact_dedup, near_dedup, oracles, packing, quality_model, quality_rules, sharding, tokens, url_filters, vector_codes, warc
+from codeloom.llm import alignment, chat, exact_dedup, near_dedup, oracles, order_minhash, packing, quality_model, quality_rules, sharding, tokens, url_filters, vector_codes, warc
 from codeloom.llm.common import documents, prepare
 from codeloom.llm.text_stats import SENTENCE_ENDS
 
@@ -87,6 +87,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_likeness(documents(spark, sf_dir))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -94,11 +98,11 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quality_model, op2_near_dedup, op3_exact_dedup, op4_bpe, op5_sharding, op6_quality_rules, op7_url_filters,
                                      op8_packing, op9_chat_format, op10_warc, op11_alignment,
-                                     op13_vector_codes)}
+                                     op12_order_minhash, op13_vector_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Classifier scores, tokenizer ids, the packing of tokens and their alignment have no SQL form."""
+    """Classifier scores, tokenizer ids, the packing and alignment of tokens and 64-bit hash fingerprints have no SQL form."""
     rules = oracles.quality_rules(quality_rules.RULES, quality_rules.BOILERPLATE, r"[#*$%&|<>!~^=_{}\[\]\\@]", r"[|<>]", SENTENCE_ENDS)
     return {"op2_near_dedup": oracles.NEAR_DEDUP, "op3_exact_dedup": oracles.EXACT_DEDUP, "op5_sharding": oracles.SHARDING,
             "op6_quality_rules": rules, "op7_url_filters": oracles.url_filters(URL_RULES), "op9_chat_format": oracles.chat_format(PROBE),
