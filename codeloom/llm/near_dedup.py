@@ -1,16 +1,20 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Each set of word shingles has a sketch of ``POSITIONS`` minwise tokens. A tree has ``BRANCHING`` of them for itself, starts
-with all sets in one node and sends each set of a node that is too large to the children of two of its positions chosen by
-the node's hash, a child for each token there. Sets of similarity J part ways at a position with probability 1 - J. If they
-agree at a share q of a tree's positions, they stay together down the tree with probability 1 - ((1 - q) / q)^2 at least
-(none for q under a half); over q that is 0.867 for J = 0.75. As no token is in two trees, ``TREES`` trees find a pair with
-0.9999 and more. Tokens are whole at the roots and 16 bits below. Small nodes are compared exhaustively by sketch, and pairs that look similar are confirmed on full sets.
-
-Sets, not documents, are joined: equal sets are one class. As only components are asked for, pairs inside a component that
-is already known are not looked at again, and a node whose sets are all in one component is done. A large group of near
-copies is so settled by comparing each with a few pivots of its node, without a row for each pair, and sets of a node that
-are not in its main component yet are compared with all others as soon as that is little work.
+with all sets in one node and sends each set of a node that is too large to two children and, at every other level, to one: a
+child for each token at a position chosen by the node's hash. A node whose sets agree at a share s of the positions has 2 s and
+s times its rows below it, so rows do not double from level to level. Sets of similarity J part ways at a position with
+probability 1 - J. For J = 0.75 a tree keeps a pair together with 0.94 for one level, 0.63 for 6, 0.52 for 12 and never less
+than 0.39; ``TREES`` trees, no two of which share a token, find it with 0.9999999, 0.9997, 0.997 and 0.98. Pairs part at that
+depth only if all their nodes are large. Tokens are whole at the roots and 16 bits below.
+
+A node of up to ``NODE_SETS`` sets is one task's work: the rest of its tree is a recursion in that task, whose small nodes are
+compared exhaustively by sketch. Larger nodes are split by Spark, level by level. Pairs that look similar are confirmed on full sets.
+
+Sets, not documents, are joined: equal sets are one class. As only components are asked for, a task gives the pairs that would
+join its node's sets, most alike first and fewer than the sets; where one of them is no link, all pairs of the node that look
+alike and are in different components by then are compared in full. A large group of near copies is joined by comparing each
+with a few pivots, and sets outside the main component are compared with all others as soon as that is little work.
 """
 
 from __future__ import annotations
@@ -32,12 +36,13 @@ SHINGLE = 5
 SIMILARITY = 75  # percent
 POSITIONS = 256
 BRANCHING = 32
-TREE_BITS = 3  # of a node's number
-TREES = 5
+TREE_BITS = 4  # of a node's number: its tree, and whether it has two children
+TWO_CHILDREN = np.uint64(8)
+TREES = 8
+NODE_SETS = 1 << 16
 LEAF_SETS = 512
 # a large node counts as small if its sets outside the main component times all its sets are at most so many
 LEAF_PAIRS = 1 << 22
-LEAF_ROWS = 1 << 12
 # a pair is confirmed on full sets from this many equal low bytes: 4.5 standard errors under the similarity
 SKETCH_CUT = 161
 PIVOTS = 4
@@ -97,7 +102,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 def sketches(docs: DataFrame, key: str, text: str, trees: int = TREES) -> DataFrame:
     """(key, n_shingles, digest, sig, roots); empty sets have neither digest nor sketch. ``roots``: the children of the roots."""
-    if trees > min(POSITIONS // BRANCHING, 1 << TREE_BITS):
+    if trees > min(POSITIONS // BRANCHING, int(TWO_CHILDREN)):
         raise ValueError(f"{POSITIONS} positions are enough for {POSITIONS // BRANCHING} trees")
 
     def run(batches):
@@ -105,7 +110,7 @@ def sketches(docs: DataFrame, key: str, text: str, trees: int = TREES) -> DataFr
             sets = shingle_sets(batch.column("text"))
             sigs = [_least(s) if len(s) else None for s in sets]
             least = np.array([x for x in sigs if x is not None], np.uint32).reshape(-1, POSITIONS)
-            nodes = np.stack([c for t in range(trees) for c in _children(np.full(len(least), root(t)), least)], axis=1)
+            nodes = np.concatenate([_children(np.full(len(least), root(t)), least)[1].reshape(-1, len(least)) for t in range(trees)]).T.copy()
             roots = iter(nodes)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
@@ -134,22 +139,25 @@ def _low_bytes(column) -> np.ndarray:
     return np.ascontiguousarray(_fixed(column)[:, :POSITIONS])
 
 
-def _of_tree(node: np.ndarray, tree: np.ndarray) -> np.ndarray:
-    """The number of a node, with its tree in the lowest bits."""
-    return node >> np.uint64(TREE_BITS) << np.uint64(TREE_BITS) | tree
+def _of_tree(node: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The number of a node, with its tree and number of children in the lowest bits."""
+    return node >> np.uint64(TREE_BITS) << np.uint64(TREE_BITS) | kind
 
 
 def root(tree: int) -> np.uint64:
-    return _of_tree(mix(np.array([tree + 1], np.uint64)), np.uint64(tree))[0]
+    return _of_tree(mix(np.array([tree + 1], np.uint64)), np.uint64(tree) | TWO_CHILDREN)[0]
 
 
-def _children(node: np.ndarray, sig: np.ndarray) -> list[np.ndarray]:
-    """The two child nodes of each row, by tokens of the node's tree."""
-    tree = node & np.uint64((1 << TREE_BITS) - 1)
+def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child node) of each row's children, by tokens of the node's tree: two, or one if the node above had two."""
+    kind = node & np.uint64((1 << TREE_BITS) - 1)
     first = (mix(node ^ _ONE) % np.uint64(BRANCHING)).astype(np.int64)
     second = (first + 1 + (mix(node ^ _THREE) % np.uint64(BRANCHING - 1)).astype(np.int64)) % BRANCHING
-    rows, own = np.arange(len(node)), tree.astype(np.int64) * BRANCHING
-    return [_of_tree(mix(node * _ONE + p.astype(np.uint64) * _TWO + sig[rows, p].astype(np.uint64) * _THREE), tree) for p in (own + first, own + second)]
+    row = np.concatenate([np.arange(len(node)), np.flatnonzero(kind & TWO_CHILDREN)])
+    tree = (kind & ~TWO_CHILDREN).astype(np.int64)[row]
+    place = tree * BRANCHING + np.concatenate([first, second[row[len(node):]]])
+    child = mix(node[row] * _ONE + place.astype(np.uint64) * _TWO + sig[row, place].astype(np.uint64) * _THREE)
+    return row, _of_tree(child, kind[row] ^ TWO_CHILDREN)
 
 
 def first_nodes(reps: DataFrame) -> DataFrame:
@@ -169,8 +177,8 @@ def next_nodes(rows: DataFrame) -> DataFrame:
     """(node, rep): the children of the nodes of (node, rep, sig)."""
     def run(batches):
         for batch in batches:
-            nodes = _children(batch.column("node").to_numpy().view(np.uint64), _tokens(batch.column("sig")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.concat_arrays([batch.column("rep")] * 2)], names=["node", "rep"])
+            row, nodes = _children(batch.column("node").to_numpy().view(np.uint64), _tokens(batch.column("sig")))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("rep").take(pa.array(row))], names=["node", "rep"])
 
     return rows.select("node", "rep", "sig").mapInArrow(run, "node long, rep long")
 
@@ -210,19 +218,84 @@ def _join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray, alike: np.ndar
     return kept
 
 
+class _Joined:
+    """Components of the labels of a node, as far as pairs found so far join them."""
+
+    def __init__(self, label: np.ndarray):
+        _, self.label = np.unique(label, return_inverse=True)
+        self.parent = np.arange(int(self.label.max()) + 1 if len(label) else 0)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        while (self.parent[self.parent] != self.parent).any():
+            self.parent = self.parent[self.parent]
+        return self.parent[self.label[at]]
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        for x, y in zip(self.label[a].tolist(), self.label[b].tolist(), strict=True):
+            while self.parent[x] != x:
+                x = int(self.parent[x])
+            while self.parent[y] != y:
+                y = int(self.parent[y])
+            self.parent[max(x, y)] = min(x, y)
+
+
+def node_candidates(node: int, label: np.ndarray, sig: np.ndarray, tokens: np.ndarray, cut: int, leaf: tuple[int, int],
+                    guess: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, equal positions) of the pairs in the tree below a node whose sketches are alike and whose labels differ.
+
+    With ``guess``, pairs found count as links at once: a few pivots join most of a large group, and pairs inside what is
+    joined already are left out. Without, all pairs come that the tree brings together.
+    """
+    leaf_sets, leaf_pairs = leaf
+    joined, found = _Joined(label), [(np.zeros(0, np.int64),) * 3]
+    stack = [(np.uint64(node), np.arange(len(label)))]
+
+    def keep(a, b, alike):
+        found.append((np.minimum(a, b), np.maximum(a, b), alike))
+        if guess:
+            joined.join(a, b)
+
+    while stack:
+        node, at = stack.pop()
+        here = joined.of(at)
+        uses = np.bincount(np.unique(here, return_inverse=True)[1])
+        if guess and len(uses) > 1 and len(at) > leaf_sets:
+            pivots = at[np.argsort(mix(at.astype(np.uint64) + node), kind="stable")[:PIVOTS]]
+            for p in pivots.tolist():
+                equal = (sig[at] == sig[p]).sum(axis=1)
+                like = np.flatnonzero((equal >= cut) & (joined.of(at) != joined.of(np.array([p]))))
+                keep(at[like], np.full(len(like), p), equal[like])
+            here = joined.of(at)
+            uses = np.bincount(np.unique(here, return_inverse=True)[1])
+        if len(uses) < 2:
+            continue
+        if len(at) <= leaf_sets or (len(at) - max(int(uses.max()), 1)) * len(at) <= leaf_pairs:
+            a, b, alike = _candidates(here, sig[at], cut)
+            keep(at[a], at[b], alike)
+            continue
+        row, child = _children(np.full(len(at), node), tokens[at])
+        order = np.argsort(child, kind="stable")
+        row, child = row[order], child[order]
+        edges = np.concatenate([[0], np.flatnonzero(child[1:] != child[:-1]) + 1, [len(child)]])
+        stack.extend((child[x], at[row[x:y]]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if y - x > 1)
+    a, b, alike = (np.concatenate([f[k] for f in found]) for k in range(3))
+    first = np.unique(a * len(label) + b, return_index=True)[1]
+    return a[first], b[first], alike[first]
+
+
 def _nodes(batches, *columns: str) -> Iterator[tuple]:
-    """Arrays of each node's rows: the columns and the sketches."""
+    """Arrays of each node's rows: its number, the columns, low bytes and tokens of the sketches."""
     for table in groups_of(batches, "node"):
         node = table.column("node").to_numpy()
-        sig = _low_bytes(table.column("sig"))
+        low, tokens = _low_bytes(table.column("sig")), _tokens(table.column("sig"))
         values = [table.column(c).to_numpy() for c in columns]
         edges = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
         # most nodes have two rows, and most of those are not alike
         two = edges[:-1][np.diff(edges) == 2]
-        dull = set(two[(sig[two] == sig[two + 1]).sum(axis=1) < POSITIONS // 4].tolist())
+        dull = set(two[(low[two] == low[two + 1]).sum(axis=1) < POSITIONS // 4].tolist())
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if a not in dull:
-                yield table, a, *(v[a:b] for v in values), sig[a:b]
+                yield table, a, int(node[a:a + 1].view(np.uint64)[0]), *(v[a:b] for v in values), low[a:b], tokens[a:b]
 
 
 def _together(rows: DataFrame, *columns: str) -> DataFrame:
@@ -233,35 +306,42 @@ def _ordered(x: np.ndarray, y: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())]
 
 
-def forest_pairs(rows: DataFrame, cut: int) -> DataFrame:
-    """(p, m) from small nodes: the most similar pairs by sketch that would join all components, fewer than the node's sets."""
+def forest_pairs(rows: DataFrame, cut: int, leaf: tuple[int, int]) -> DataFrame:
+    """(node, p, m): the most similar pairs by sketch that would join all components of a node, fewer than the node's sets."""
     def run(batches):
-        for _, _, rep, label, sig in _nodes(batches, "rep", "label"):
-            a, b, alike = _candidates(label, sig, cut)
+        for _, _, node, rep, label, low, tokens in _nodes(batches, "rep", "label"):
+            a, b, alike = node_candidates(node, label, low, tokens, cut, leaf, guess=True)
             kept = _join_labels(label, a, b, alike, lambda x, y: True)
-            yield pa.RecordBatch.from_arrays(_ordered(rep[a[kept]], rep[b[kept]]), names=["p", "m"])
+            if kept:
+                number = np.full(len(kept), node, np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(number), *_ordered(rep[a[kept]], rep[b[kept]])], names=["node", "p", "m"])
 
-    return _together(rows).mapInArrow(run, "p long, m long")
+    return _together(rows).mapInArrow(run, "node long, p long, m long")
 
 
-def open_rows(rows: DataFrame, cut: int) -> DataFrame:
-    """(node, rep, label) of the sets in small nodes that look like a set of another component there."""
+def open_rows(rows: DataFrame, cut: int, leaf: tuple[int, int]) -> DataFrame:
+    """(node, rep, label) of the sets that look like a set of another component in their node. Sets that no such pairs
+    connect are told apart by ``node``, so that what is compared together is no more than it has to be."""
     def run(batches):
-        for table, start, label, sig in _nodes(batches, "label"):
-            a, b, _ = _candidates(label, sig, cut)
-            at = np.union1d(a, b) + start
-            if len(at):
-                yield from table.select(["node", "rep", "label"]).take(at).combine_chunks().to_batches()
+        for table, start, node, label, low, tokens in _nodes(batches, "label"):
+            a, b, _ = node_candidates(node, label, low, tokens, cut, leaf, guess=False)
+            if len(a):
+                at = np.union1d(a, b)
+                groups = _Joined(np.arange(len(label)))
+                groups.join(a, b)
+                number = mix(np.uint64(node) + groups.of(at).astype(np.uint64) * _TWO).view(np.int64)
+                part = table.select(["rep", "label"]).take(pa.array(at + start)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array(number), flat(part.column("rep")), flat(part.column("label"))], names=["node", "rep", "label"])
 
     return _together(rows).mapInArrow(run, "node long, rep long, label long")
 
 
 def exact_links(rows: DataFrame, cut: int, similarity: int, held_shingles: int = 1 << 22) -> DataFrame:
-    """(p, m) confirmed in place for rows (node, rep, label, sig, text) of small nodes: full sets are compared for all pairs
+    """(p, m) confirmed in place for rows (node, rep, label, sig, text): full sets are compared for all pairs
     that look alike, most alike first, unless their components have met by then. Only links come out, fewer than sets."""
     def run(batches):
-        for table, start, rep, label, sig in _nodes(batches, "rep", "label"):
-            a, b, alike = _candidates(label, sig, cut)
+        for table, start, _, rep, label, low, _ in _nodes(batches, "rep", "label"):
+            a, b, alike = _candidates(label, low, cut)
             texts, sets, held = flat(table.column("text")), {}, 0
 
             def shingles(k):
@@ -328,27 +408,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
     return right.join(left, ["p", "salt"]).select("p", "m", "p_text", "m_text").mapInArrow(run, "p long, m long, linked boolean")
 
 
-def _mixed(rows: DataFrame, labels: DataFrame | None, leaf_sets: int, leaf_pairs: int) -> DataFrame:
-    """(node, rep, label, small) of the nodes with sets of several components, and ``done`` if the rows have it."""
-    rest = [c for c in rows.columns if c == "done"]
-    if labels is None:
-        rows = rows.select("node", "rep", *rest, F.col("rep").alias("label"))
-    else:
-        rows = rows.select("node", "rep", *rest).join(labels, "rep", "left").select(
-            "node", "rep", *rest, F.coalesce("label", "rep").alias("label"))
-        rows = cut_lineage(rows)
+def _mixed(rows: DataFrame, labels: DataFrame | None, node_sets: int) -> DataFrame:
+    """(node, rep, label, small) of the nodes with sets of several components."""
     if labels is None:
-        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.lit(1).alias("main"), F.count("*").alias("labels"))
+        rows = rows.select("node", "rep", F.col("rep").alias("label"))
+        stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.count("*").alias("labels"))
     else:
-        stats = (rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node")
-                 .agg(F.sum("n").alias("n"), F.max("n").alias("main"), F.count("*").alias("labels")))
-    little = (F.col("n") <= leaf_sets) | ((F.col("n") <= LEAF_ROWS) & ((F.col("n") - F.col("main")) * F.col("n") <= leaf_pairs))
-    stats = cut_lineage(stats.filter("labels > 1").select("node", little.alias("small")))
-    return cut_lineage(rows.join(stats, "node").select("node", "rep", *rest, "label", "small"))
+        rows = cut_lineage(rows.select("node", "rep").join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label")))
+        stats = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("labels"))
+    stats = stats.filter("labels > 1").select("node", (F.col("n") <= node_sets).alias("small"))
+    return cut_lineage(rows.join(stats, "node").select("node", "rep", "label", "small"))
 
 
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, trees: int = TREES,
-                 leaf_sets: int = LEAF_SETS, leaf_pairs: int = LEAF_PAIRS, sketch_cut: int = SKETCH_CUT) -> DataFrame:
+                 node_sets: int = NODE_SETS, leaf_sets: int = LEAF_SETS, leaf_pairs: int = LEAF_PAIRS, sketch_cut: int = SKETCH_CUT) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row.
 
     Linked are sets with 100 * intersection >= similarity * union; ``component_id`` is the smallest key reachable, and the
@@ -363,61 +436,70 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
                           .select("digest", "rep", "s.*"))
     members = made.select("key", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     labels = _links(spark, docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), classes.select("rep", "sig", "roots"),
-                    similarity, (leaf_sets, leaf_pairs), sketch_cut)
+                    similarity, node_sets, (leaf_sets, leaf_pairs), sketch_cut)
     found = members.join(labels, "rep", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
     component = F.when(F.col("key").isNotNull(), F.coalesce("label", "rep", "key"))
     return found.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"),
                         (F.col("key").isNull() | (F.col("key") == component)).alias("kept"))
 
 
-def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, leaf: tuple[int, int], cut: int) -> DataFrame | None:
+def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, node_sets: int, leaf: tuple[int, int], cut: int) -> DataFrame | None:
     """(rep, label) of the classes that have links; None if there are none."""
-    rows, labels, waiting = first_nodes(reps), None, None
+    rows, labels = first_nodes(reps), None
+    sigs = reps.select("rep", "sig")
     low = reps.select("rep", F.substring("sig", 1, POSITIONS).alias("sig"))
     table = f"near_dedup_{uuid.uuid4().hex}"
     texts = None
+
+    def joined(found: DataFrame) -> DataFrame | None:
+        new = cut_lineage(found.select(F.col("p").alias("src"), F.col("m").alias("dst")).distinct())
+        if new.isEmpty():
+            return labels
+        known = labels.select(F.col("rep").alias("src"), F.col("label").alias("dst")) if labels is not None else new.limit(0)
+        return cut_lineage(connected_components(new.unionByName(known)).select(F.col("node").alias("rep"), F.col("component").alias("label")))
+
     try:
         while True:
-            here = _mixed(rows, labels, *leaf)
+            here = _mixed(rows, labels, node_sets)
             if texts is None:
                 # every later node holds only sets of these nodes
                 ids = here.select(F.col("rep").alias("id")).distinct()
                 buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
                 (docs.join(ids, "id", "left_semi").repartition(buckets, "id").write.bucketBy(buckets, "id").saveAsTable(table))
                 texts = spark.table(table)
-            small, large = here.filter("small"), here.filter("not small").join(low, "rep")
-            pairs = cut_lineage(forest_pairs(small.join(low, "rep"), cut).unionByName(star_pairs(large, low, cut)).distinct())
-            found = pairs if pairs.isEmpty() else confirm(pairs, texts, similarity).filter("linked").select("p", "m")
-            if waiting is not None:
-                open_ = cut_lineage(open_rows(waiting.join(low, "rep"), cut))
-                found = found.unionByName(exact_links(open_.join(low, "rep").join(texts, open_["rep"] == texts["id"]), cut, similarity))
-            new = cut_lineage(found.select(F.col("p").alias("src"), F.col("m").alias("dst")))
-            if not new.isEmpty():
-                known = labels.select(F.col("rep").alias("src"), F.col("label").alias("dst")) if labels is not None else new.limit(0)
-                found = connected_components(new.unionByName(known))
-                labels = cut_lineage(found.select(F.col("node").alias("rep"), F.col("component").alias("label")))
-            # a small node has had its forest tested and is compared in full, in place, if it still has several components;
-            # a large one that has become small by the new labels gets its forest first, another large one is split
-            still = _mixed(here.select("node", "rep", F.col("small").alias("done")), labels, *leaf)
-            waiting = still.filter("small AND done")
-            rest = still.agg(F.count("*"), F.count_if(F.col("small") & F.col("done"))).first()
-            if not rest[0]:
+            small, large = here.filter("small"), here.filter("not small")
+            has_large = not large.isEmpty()
+            pairs = forest_pairs(small.join(sigs, "rep"), cut, leaf)
+            if has_large:
+                pairs = pairs.unionByName(star_pairs(large.join(low, "rep"), low, cut).select(F.lit(None).cast("long").alias("node"), "p", "m"))
+            pairs = cut_lineage(pairs)
+            tested = cut_lineage(confirm(pairs.select("p", "m").distinct(), texts, similarity))
+            labels = joined(tested.filter("linked"))
+            # where a pair of the forest is no link, the node's sets may be joined by others
+            failed = cut_lineage(pairs.join(tested.filter("not linked"), ["p", "m"], "left_semi").filter("node is not null").select("node").distinct())
+            if not failed.isEmpty():
+                again = _mixed(small.join(failed, "node", "left_semi").select("node", "rep"), labels, node_sets)
+                open_ = cut_lineage(open_rows(again.join(sigs, "rep"), cut, leaf))
+                found = exact_links(open_.join(low, "rep").join(texts, open_["rep"] == texts["id"]), cut, similarity)
+                labels = joined(found)
+            if not has_large:
+                return labels
+            # sets of large nodes that are in one component by now are done
+            rows = cut_lineage(next_nodes(_mixed(large.select("node", "rep"), labels, node_sets).join(sigs, "rep")))
+            if rows.isEmpty():
                 return labels
-            rows = next_nodes(still.filter("NOT small").join(reps.select("rep", "sig"), "rep")).unionByName(
-                still.filter("small AND NOT done").select("node", "rep"))
-            if not rest[1]:
-                waiting = None
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with all their columns; rows without key stay, of rows that repeat a key
-    one stays."""
+    """The rows of ``docs`` whose document is kept, with all their columns. Rows without key stay. Of rows that repeat a kept
+    key and its text one stays; rows of one key with different texts are one document to the links, and each of its texts stays once."""
     from pyspark.sql import Window
 
     found = near_classes(docs, key=key, text=text, **options).filter("kept").select(F.col(key).alias("kept_id")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("kept_id"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("kept_id"),
+                        F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
     joined = whole.join(cut_lineage(found.filter("kept_id is not null")), "kept_id")
-    first = joined.withColumn("copy", F.row_number().over(Window.partitionBy("kept_id").orderBy("kept_id"))).filter("copy = 1")
+    first = joined.withColumn("copy", F.row_number().over(Window.partitionBy("kept_id", "digest").orderBy("kept_id"))).filter("copy = 1")
     return first.select("row.*").unionByName(whole.filter("kept_id is null").select("row.*"))
