@@ -410,8 +410,8 @@ def semantic_hits(t):
 
 @query("ask_rank", f"""WITH {_ASK}, sy AS (SELECT DISTINCT 'sym_' || lang || '_' || source AS symbol, source AS file FROM documents),
 f AS (SELECT question, source AS file, sum(score) AS score FROM h JOIN documents ON doc_id = chunk WHERE rank <= 20 GROUP BY question, source),
-r AS (SELECT question, symbol, round(sum(score), 9) AS score FROM f JOIN sy USING (file) GROUP BY question, symbol),
-k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, symbol) AS rank FROM r) SELECT question, symbol, round(score, 5) AS score, rank FROM k WHERE rank <= 10""")
+r AS (SELECT question, symbol, file, round(sum(score), 9) AS score FROM f JOIN sy USING (file) GROUP BY question, symbol, file),
+k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, symbol, file) AS rank FROM r) SELECT question, symbol, file, round(score, 5) AS score, rank FROM k WHERE rank <= 10""")
 def ask_rank(t):
     """Symbols of the files hit by each question, scores summed."""
     q, chunks = _ask_inputs(t)
