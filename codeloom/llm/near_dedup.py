@@ -4,9 +4,10 @@ Each set of word shingles has a sketch of ``POSITIONS`` minwise tokens. A tree h
 with all sets in one node and sends each set of a node that is too large to two children and, at every other level, to one: a
 child for each token at a position chosen by the node's hash. A node whose sets agree at a share s of the positions has 2 s and
 s times its rows below it, so rows do not double from level to level. Sets of similarity J part ways at a position with
-probability 1 - J. For J = 0.75 a tree keeps a pair together with 0.94 for one level, 0.63 for 6, 0.52 for 12 and never less
-than 0.39; ``TREES`` trees, no two of which share a token, find it with 0.9999999, 0.9997, 0.997 and 0.98. Pairs part at that
-depth only if all their nodes are large. Tokens are whole at the roots and 16 bits below.
+probability 1 - J; no position comes twice on a way down. For J = 0.75 a tree keeps a pair together with 0.94 for one level.
+``TREES`` trees, no two of which share a token, find it with 0.9999999 if its node is small after one level, 0.999 after 6 and
+0.98 after 12 (simulated), which takes a group of some 60,000 sets that all agree at three quarters of the positions and are
+no links. Tokens are whole at the roots and 16 bits below.
 
 A node of up to ``NODE_SETS`` sets is one task's work: the rest of its tree is a recursion in that task, whose small nodes are
 compared exhaustively by sketch. Larger nodes are split by Spark, level by level. Pairs that look similar are confirmed on full sets.
@@ -42,7 +43,7 @@ TREES = 8
 NODE_SETS = 1 << 16
 LEAF_SETS = 512
 # a large node counts as small if its sets outside the main component times all its sets are at most so many
-LEAF_PAIRS = 1 << 22
+LEAF_PAIRS = 1 << 24
 # a pair is confirmed on full sets from this many equal low bytes: 4.5 standard errors under the similarity
 SKETCH_CUT = 161
 PIVOTS = 4
@@ -110,7 +111,7 @@ def sketches(docs: DataFrame, key: str, text: str, trees: int = TREES) -> DataFr
             sets = shingle_sets(batch.column("text"))
             sigs = [_least(s) if len(s) else None for s in sets]
             least = np.array([x for x in sigs if x is not None], np.uint32).reshape(-1, POSITIONS)
-            nodes = np.concatenate([_children(np.full(len(least), root(t)), least)[1].reshape(-1, len(least)) for t in range(trees)]).T.copy()
+            nodes = np.concatenate([_root_children(t, least)[0] for t in range(trees)]).T.copy()
             roots = iter(nodes)
             yield pa.RecordBatch.from_arrays([
                 batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
@@ -148,39 +149,65 @@ def root(tree: int) -> np.uint64:
     return _of_tree(mix(np.array([tree + 1], np.uint64)), np.uint64(tree) | TWO_CHILDREN)[0]
 
 
-def _children(node: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child node) of each row's children, by tokens of the node's tree: two, or one if the node above had two."""
+def _unused(place: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The first place from ``place`` on, in a circle, whose bit is not set; ``place`` itself if all are."""
+    at = place
+    for _ in range(BRANCHING):
+        busy = used >> at & 1
+        if not busy.any():
+            return at
+        at = (at + busy) % BRANCHING
+    return np.where(used >> at & 1, place, at)
+
+
+def _children(node: np.ndarray, used: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, child node, used) of each row's children, by tokens of the node's tree: two, or one if the node above had two.
+
+    ``used`` has a bit for each position on the way to the node: its sets agree there, so it would split nothing again.
+    """
     kind = node & np.uint64((1 << TREE_BITS) - 1)
-    first = (mix(node ^ _ONE) % np.uint64(BRANCHING)).astype(np.int64)
-    second = (first + 1 + (mix(node ^ _THREE) % np.uint64(BRANCHING - 1)).astype(np.int64)) % BRANCHING
+    first = _unused((mix(node ^ _ONE) % np.uint64(BRANCHING)).astype(np.int64), used)
+    second = _unused((mix(node ^ _THREE) % np.uint64(BRANCHING)).astype(np.int64), used | np.left_shift(1, first))
     row = np.concatenate([np.arange(len(node)), np.flatnonzero(kind & TWO_CHILDREN)])
-    tree = (kind & ~TWO_CHILDREN).astype(np.int64)[row]
-    place = tree * BRANCHING + np.concatenate([first, second[row[len(node):]]])
+    place = np.concatenate([first, second[row[len(node):]]])
+    used = used[row] | np.left_shift(1, place)
+    place += (kind & ~TWO_CHILDREN).astype(np.int64)[row] * BRANCHING
     child = mix(node[row] * _ONE + place.astype(np.uint64) * _TWO + sig[row, place].astype(np.uint64) * _THREE)
-    return row, _of_tree(child, kind[row] ^ TWO_CHILDREN)
+    return row, _of_tree(child, kind[row] ^ TWO_CHILDREN), used
+
+
+def _root_children(tree: int, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, used) of the children of a root, the first one of all rows, then the second one."""
+    n = len(sig)
+    _, nodes, used = _children(np.full(n, root(tree)), np.zeros(n, np.int64), sig)
+    return nodes.reshape(-1, n), used.reshape(-1, n)
+
 
+def first_nodes(reps: DataFrame, trees: int) -> DataFrame:
+    """(node, used, rep): the children of the roots."""
+    # which positions the roots' children have used is the same for all sets
+    used = np.concatenate([_root_children(t, np.zeros((1, POSITIONS), np.uint32))[1][:, 0] for t in range(trees)])
 
-def first_nodes(reps: DataFrame) -> DataFrame:
-    """(node, rep): the children of the roots."""
     def run(batches):
         for batch in batches:
             data, _ = byte_view(batch.column("roots"))
-            nodes = data.tobytes()
+            nodes = np.frombuffer(data.tobytes(), np.int64)
             rep = batch.column("rep").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(nodes, np.int64)), pa.array(np.repeat(rep, len(nodes) // 8 // max(len(rep), 1)))],
-                                             names=["node", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.tile(used, len(rep))), pa.array(np.repeat(rep, len(used)))],
+                                             names=["node", "used", "rep"])
 
-    return reps.select("rep", "roots").mapInArrow(run, "node long, rep long")
+    return reps.select("rep", "roots").mapInArrow(run, "node long, used long, rep long")
 
 
 def next_nodes(rows: DataFrame) -> DataFrame:
-    """(node, rep): the children of the nodes of (node, rep, sig)."""
+    """(node, used, rep): the children of the nodes of (node, used, rep, sig)."""
     def run(batches):
         for batch in batches:
-            row, nodes = _children(batch.column("node").to_numpy().view(np.uint64), _tokens(batch.column("sig")))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), batch.column("rep").take(pa.array(row))], names=["node", "rep"])
+            row, nodes, used = _children(batch.column("node").to_numpy().view(np.uint64), batch.column("used").to_numpy(), _tokens(batch.column("sig")))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(used), batch.column("rep").take(pa.array(row))],
+                                             names=["node", "used", "rep"])
 
-    return rows.select("node", "rep", "sig").mapInArrow(run, "node long, rep long")
+    return rows.select("node", "used", "rep", "sig").mapInArrow(run, "node long, used long, rep long")
 
 
 def _candidates(label: np.ndarray, sig: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,7 +266,7 @@ class _Joined:
             self.parent[max(x, y)] = min(x, y)
 
 
-def node_candidates(node: int, label: np.ndarray, sig: np.ndarray, tokens: np.ndarray, cut: int, leaf: tuple[int, int],
+def node_candidates(node: int, used: int, label: np.ndarray, sig: np.ndarray, tokens: np.ndarray, cut: int, leaf: tuple[int, int],
                     guess: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, equal positions) of the pairs in the tree below a node whose sketches are alike and whose labels differ.
 
@@ -248,7 +275,7 @@ def node_candidates(node: int, label: np.ndarray, sig: np.ndarray, tokens: np.nd
     """
     leaf_sets, leaf_pairs = leaf
     joined, found = _Joined(label), [(np.zeros(0, np.int64),) * 3]
-    stack = [(np.uint64(node), np.arange(len(label)))]
+    stack = [(np.uint64(node), used, np.arange(len(label)))]
 
     def keep(a, b, alike):
         found.append((np.minimum(a, b), np.maximum(a, b), alike))
@@ -256,7 +283,7 @@ def node_candidates(node: int, label: np.ndarray, sig: np.ndarray, tokens: np.nd
             joined.join(a, b)
 
     while stack:
-        node, at = stack.pop()
+        node, used, at = stack.pop()
         here = joined.of(at)
         uses = np.bincount(np.unique(here, return_inverse=True)[1])
         if guess and len(uses) > 1 and len(at) > leaf_sets:
@@ -273,18 +300,18 @@ def node_candidates(node: int, label: np.ndarray, sig: np.ndarray, tokens: np.nd
             a, b, alike = _candidates(here, sig[at], cut)
             keep(at[a], at[b], alike)
             continue
-        row, child = _children(np.full(len(at), node), tokens[at])
+        row, child, gone = _children(np.full(len(at), node), np.full(len(at), used), tokens[at])
         order = np.argsort(child, kind="stable")
-        row, child = row[order], child[order]
+        row, child, gone = row[order], child[order], gone[order]
         edges = np.concatenate([[0], np.flatnonzero(child[1:] != child[:-1]) + 1, [len(child)]])
-        stack.extend((child[x], at[row[x:y]]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if y - x > 1)
+        stack.extend((child[x], int(gone[x]), at[row[x:y]]) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) if y - x > 1)
     a, b, alike = (np.concatenate([f[k] for f in found]) for k in range(3))
     first = np.unique(a * len(label) + b, return_index=True)[1]
     return a[first], b[first], alike[first]
 
 
 def _nodes(batches, *columns: str) -> Iterator[tuple]:
-    """Arrays of each node's rows: its number, the columns, low bytes and tokens of the sketches."""
+    """Arrays of each node's rows: its number and used positions, the columns, low bytes and tokens of the sketches."""
     for table in groups_of(batches, "node"):
         node = table.column("node").to_numpy()
         low, tokens = _low_bytes(table.column("sig")), _tokens(table.column("sig"))
@@ -295,11 +322,11 @@ def _nodes(batches, *columns: str) -> Iterator[tuple]:
         dull = set(two[(low[two] == low[two + 1]).sum(axis=1) < POSITIONS // 4].tolist())
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if a not in dull:
-                yield table, a, int(node[a:a + 1].view(np.uint64)[0]), *(v[a:b] for v in values), low[a:b], tokens[a:b]
+                yield table, a, (int(node[a:a + 1].view(np.uint64)[0]), int(table.column("used")[a].as_py())), *(v[a:b] for v in values), low[a:b], tokens[a:b]
 
 
 def _together(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.select("node", "rep", "label", "sig", *columns).repartition("node").sortWithinPartitions("node")
+    return rows.select("node", "used", "rep", "label", "sig", *columns).repartition("node").sortWithinPartitions("node")
 
 
 def _ordered(x: np.ndarray, y: np.ndarray) -> list[pa.Array]:
@@ -310,30 +337,31 @@ def forest_pairs(rows: DataFrame, cut: int, leaf: tuple[int, int]) -> DataFrame:
     """(node, p, m): the most similar pairs by sketch that would join all components of a node, fewer than the node's sets."""
     def run(batches):
         for _, _, node, rep, label, low, tokens in _nodes(batches, "rep", "label"):
-            a, b, alike = node_candidates(node, label, low, tokens, cut, leaf, guess=True)
+            a, b, alike = node_candidates(*node, label, low, tokens, cut, leaf, guess=True)
             kept = _join_labels(label, a, b, alike, lambda x, y: True)
             if kept:
-                number = np.full(len(kept), node, np.uint64).view(np.int64)
+                number = np.full(len(kept), node[0], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(number), *_ordered(rep[a[kept]], rep[b[kept]])], names=["node", "p", "m"])
 
     return _together(rows).mapInArrow(run, "node long, p long, m long")
 
 
 def open_rows(rows: DataFrame, cut: int, leaf: tuple[int, int]) -> DataFrame:
-    """(node, rep, label) of the sets that look like a set of another component in their node. Sets that no such pairs
+    """(node, used, rep, label) of the sets that look like a set of another component in their node. Sets that no such pairs
     connect are told apart by ``node``, so that what is compared together is no more than it has to be."""
     def run(batches):
         for table, start, node, label, low, tokens in _nodes(batches, "label"):
-            a, b, _ = node_candidates(node, label, low, tokens, cut, leaf, guess=False)
+            a, b, _ = node_candidates(*node, label, low, tokens, cut, leaf, guess=False)
             if len(a):
                 at = np.union1d(a, b)
                 groups = _Joined(np.arange(len(label)))
                 groups.join(a, b)
-                number = mix(np.uint64(node) + groups.of(at).astype(np.uint64) * _TWO).view(np.int64)
+                number = mix(np.uint64(node[0]) + groups.of(at).astype(np.uint64) * _TWO).view(np.int64)
                 part = table.select(["rep", "label"]).take(pa.array(at + start)).combine_chunks()
-                yield pa.RecordBatch.from_arrays([pa.array(number), flat(part.column("rep")), flat(part.column("label"))], names=["node", "rep", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.full(len(at), node[1])), flat(part.column("rep")), flat(part.column("label"))],
+                                                 names=["node", "used", "rep", "label"])
 
-    return _together(rows).mapInArrow(run, "node long, rep long, label long")
+    return _together(rows).mapInArrow(run, "node long, used long, rep long, label long")
 
 
 def exact_links(rows: DataFrame, cut: int, similarity: int, held_shingles: int = 1 << 22) -> DataFrame:
@@ -409,15 +437,15 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: int) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, labels: DataFrame | None, node_sets: int) -> DataFrame:
-    """(node, rep, label, small) of the nodes with sets of several components."""
+    """(node, used, rep, label, small) of the nodes with sets of several components."""
     if labels is None:
-        rows = rows.select("node", "rep", F.col("rep").alias("label"))
+        rows = rows.select("node", "used", "rep", F.col("rep").alias("label"))
         stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.count("*").alias("labels"))
     else:
-        rows = cut_lineage(rows.select("node", "rep").join(labels, "rep", "left").select("node", "rep", F.coalesce("label", "rep").alias("label")))
+        rows = cut_lineage(rows.select("node", "used", "rep").join(labels, "rep", "left").select("node", "used", "rep", F.coalesce("label", "rep").alias("label")))
         stats = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("labels"))
     stats = stats.filter("labels > 1").select("node", (F.col("n") <= node_sets).alias("small"))
-    return cut_lineage(rows.join(stats, "node").select("node", "rep", "label", "small"))
+    return cut_lineage(rows.join(stats, "node").select("node", "used", "rep", "label", "small"))
 
 
 def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", similarity: int = SIMILARITY, trees: int = TREES,
@@ -436,16 +464,16 @@ def near_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", si
                           .select("digest", "rep", "s.*"))
     members = made.select("key", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     labels = _links(spark, docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), classes.select("rep", "sig", "roots"),
-                    similarity, node_sets, (leaf_sets, leaf_pairs), sketch_cut)
+                    trees, similarity, node_sets, (leaf_sets, leaf_pairs), sketch_cut)
     found = members.join(labels, "rep", "left") if labels is not None else members.withColumn("label", F.lit(None).cast("long"))
     component = F.when(F.col("key").isNotNull(), F.coalesce("label", "rep", "key"))
     return found.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"),
                         (F.col("key").isNull() | (F.col("key") == component)).alias("kept"))
 
 
-def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, node_sets: int, leaf: tuple[int, int], cut: int) -> DataFrame | None:
+def _links(spark, docs: DataFrame, reps: DataFrame, trees: int, similarity: int, node_sets: int, leaf: tuple[int, int], cut: int) -> DataFrame | None:
     """(rep, label) of the classes that have links; None if there are none."""
-    rows, labels = first_nodes(reps), None
+    rows, labels = first_nodes(reps, trees), None
     sigs = reps.select("rep", "sig")
     low = reps.select("rep", F.substring("sig", 1, POSITIONS).alias("sig"))
     table = f"near_dedup_{uuid.uuid4().hex}"
@@ -478,14 +506,14 @@ def _links(spark, docs: DataFrame, reps: DataFrame, similarity: int, node_sets:
             # where a pair of the forest is no link, the node's sets may be joined by others
             failed = cut_lineage(pairs.join(tested.filter("not linked"), ["p", "m"], "left_semi").filter("node is not null").select("node").distinct())
             if not failed.isEmpty():
-                again = _mixed(small.join(failed, "node", "left_semi").select("node", "rep"), labels, node_sets)
+                again = _mixed(small.join(failed, "node", "left_semi").select("node", "used", "rep"), labels, node_sets)
                 open_ = cut_lineage(open_rows(again.join(sigs, "rep"), cut, leaf))
                 found = exact_links(open_.join(low, "rep").join(texts, open_["rep"] == texts["id"]), cut, similarity)
                 labels = joined(found)
             if not has_large:
                 return labels
             # sets of large nodes that are in one component by now are done
-            rows = cut_lineage(next_nodes(_mixed(large.select("node", "rep"), labels, node_sets).join(sigs, "rep")))
+            rows = cut_lineage(next_nodes(_mixed(large.select("node", "used", "rep"), labels, node_sets).join(sigs, "rep")))
             if rows.isEmpty():
                 return labels
     finally:

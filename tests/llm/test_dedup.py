@@ -149,17 +149,17 @@ def unfound(shared: bool, pairs: int = 8000, depth: int = 6, similarity: float =
         one, two = (np.tile(x[:, :near_dedup.BRANCHING], (1, near_dedup.TREES)) for x in (one, two))
     found = set()
     for tree in range(near_dedup.TREES):
-        pair, node = np.arange(pairs), np.full(pairs, near_dedup.root(tree))
+        pair, node, used = np.arange(pairs), np.full(pairs, near_dedup.root(tree)), np.zeros(pairs, np.int64)
         for _ in range(depth):
-            (row, left), (_, right) = near_dedup._children(node, one[pair]), near_dedup._children(node, two[pair])
-            pair, node = pair[row][left == right], left[left == right]
+            (row, left, used), (_, right, _) = near_dedup._children(node, used, one[pair]), near_dedup._children(node, used, two[pair])
+            pair, node, used = (x[left == right] for x in (pair[row], left, used))
         found |= set(pair.tolist())
     return pairs - len(found)
 
 
 def test_trees_have_tokens_of_their_own():
-    """At 0.75, the lowest similarity of a link: the trees miss one pair of 3000 at depth 6, far more if they share tokens."""
-    assert unfound(shared=False, depth=1) == 0 and unfound(shared=False) <= 8 < unfound(shared=True)
+    """At 0.75, the lowest similarity of a link: the trees miss one pair of 1000 at depth 6, far more if they share tokens."""
+    assert unfound(shared=False, depth=1) == 0 and unfound(shared=False) <= 12 < 100 < unfound(shared=True)
 
 
 def test_rows_of_a_tree_stay_few():
@@ -170,12 +170,12 @@ def test_rows_of_a_tree_stay_few():
     base = rng.integers(0, 1 << 16, near_dedup.POSITIONS, dtype=np.uint32)
     sig = np.where(rng.random((n, near_dedup.POSITIONS)) < .775, base, rng.integers(0, 1 << 16, (n, near_dedup.POSITIONS), dtype=np.uint32))
     node, most = np.full(n, near_dedup.root(0)), 0
-    row = np.arange(n)
+    row, used = np.arange(n), np.zeros(n, np.int64)
     for _ in range(24):
-        kids, child = near_dedup._children(node, sig[row])
-        row, node = row[kids], child
+        kids, node, used = near_dedup._children(node, used, sig[row])
+        row = row[kids]
         _, number, uses = np.unique(node, return_inverse=True, return_counts=True)
         large = uses[number] > near_dedup.LEAF_SETS
-        row, node = row[large], node[large]
+        row, node, used = row[large], node[large], used[large]
         most = max(most, len(row))
     assert most <= 6 * n
