@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from codeloom.catalog.derived import CODE_SQL, DOC_SQL, TEXT_PATH, code_files, doc_files, text_files
@@ -9,7 +11,9 @@ from codeloom.catalog.registry import query
 from codeloom.functions import paths
 from codeloom.functions import text as tx
 from codeloom.operators import chunking, docs, files as fo, incremental, lines
+from codeloom.session import checkpoint_dir
 from codeloom.sources import tree
+from codeloom.streaming import refresh
 
 # lines of a text in the check's SQL: the empty piece after a final break is no line
 SQL_LINES = """
@@ -234,6 +238,23 @@ def merged_chunks(t):
     return merged.groupBy("path").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
 
 
+@query("refreshed_chunks", f"""
+WITH b AS ({_NEW_DOCS})
+SELECT doc_id || '.txt' AS path, count(*) AS n_chunks, CAST(sum(length(c)) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(string_split(text, '. ')) AS c FROM b) GROUP BY doc_id""")
+def refreshed_chunks(t):
+    """ST1: all texts as one batch, then new, changed, deleted and unchanged ones as a second; the stored chunks after it."""
+    path, moved = F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("lang") == "es"
+    first = t.documents.select(path, F.col("text").alias("content"))
+    renamed = t.documents.filter(moved).select(F.concat((F.col("doc_id") + 10_000_000).cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    second = t.documents.select(path, F.when(~moved, F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("content"))
+    folder = f"{checkpoint_dir(t.spark)}/refresh/{uuid.uuid4().hex}"
+    derive = lambda files: {"chunks": chunking.by_delimiter(files, ". ")}
+    for token, batch in (("first", first), ("second", second.unionByName(renamed))):
+        refresh.refresh_batch(t.spark, folder, batch, derive, token, buckets=32)
+    stored = refresh.read_current(t.spark, folder, "chunks")
+    return stored.groupBy("path").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
 @query("file_structure", """
 SELECT source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, 'file' AS node_type, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM documents""")
 def file_structure(t):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import vectors as vx
-from codeloom.functions.ordered import ROWS_PER_RANGE, running_sum, shift_value
+from codeloom.functions.ordered import ROWS_PER_RANGE, forward_fill, running_sum, shift_value
+from codeloom.operators import embedding
+from codeloom.session import cut_lineage
 
 SHARE = 0.6
 REPRESENTATIVES = 6
@@ -64,14 +66,12 @@ class _Block:
     """Running facts of a block while it grows."""
 
     def __init__(self, row):
-        self.first_id, self.orders = row.chunk_id, [row.chunk_ord]
-        self.symbols, self.kinds = set(row.containing_symbols), set(row.kinds)
-        self.communities = {row.community} - {None}
-        self.total, self.n = row.embedding, int(row.embedding is not None)
-        self.links = set(row.links)
+        self.first_id, self.low, self.high = row.first_id, row.low, row.high
+        self.symbols, self.kinds, self.communities, self.links = (set(x) for x in (row.symbols, row.kinds, row.communities, row.links))
+        self.total, self.n = row.total, int(row.n)
 
     def absorb(self, other: "_Block") -> None:
-        self.orders += other.orders
+        self.high = other.high
         self.symbols |= other.symbols
         self.kinds |= other.kinds
         self.communities |= other.communities
@@ -85,7 +85,7 @@ class _Block:
         if head != next_head and head in TOP_LEVEL_KINDS and next_head in TOP_LEVEL_KINDS:
             return False
         shared = len(self.symbols & other.symbols)
-        linked = bool(self.links & set(other.orders)) or bool(other.links & set(self.orders))
+        linked = any(other.low <= x <= other.high for x in self.links) or any(self.low <= x <= self.high for x in other.links)
         if shared < MIN_SHARED and not linked:
             return False
         if self.communities & other.communities or _share(self.symbols, other.symbols) >= MERGE_SHARE:
@@ -98,13 +98,9 @@ class _Block:
         return sim >= (SAME_PARENT_SIM if head == next_head and head else SAME_FILE_SIM)
 
 
-def _merge_file(rows: pd.DataFrame) -> pd.DataFrame:
-    blocks = []
-    for _, group in rows.sort_values("chunk_ord").groupby("block", sort=True):
-        parts = [_Block(r) for r in group.itertuples()]
-        for part in parts[1:]:
-            parts[0].absorb(part)
-        blocks.append(parts[0])
+def _fold(rows: pd.DataFrame) -> pd.DataFrame:
+    """The first chunk of each merged block of a file."""
+    blocks = [_Block(r) for r in rows.sort_values("low").itertuples()]
     changed = True
     while changed:
         changed, out, i = False, [], 0
@@ -116,19 +112,105 @@ def _merge_file(rows: pd.DataFrame) -> pd.DataFrame:
                 i, keep = i + 1, blocks[i]
             out.append(keep)
         blocks = out
-    path = rows["path"].iloc[0]
-    return pd.DataFrame([(path, order, unit) for unit, b in enumerate(blocks) for order in b.orders],
-                        columns=["path", "chunk_ord", "unit"])
+    return pd.DataFrame({"path": rows["path"].iloc[0], "low": [b.low for b in blocks]})
 
 
-def merge_blocks(blocks: DataFrame) -> DataFrame:
+def block_facts(blocks: DataFrame) -> DataFrame:
+    """One row a block: path, low and high order, first_id, symbols, kinds, communities, total and n of vectors, links.
+
+    Links to chunks that the path lacks are left out, so that a link meets a block if it lies between low and high.
+    """
+    keys = ["path", "block"]
+    plain = blocks.groupBy(*keys).agg(
+        F.min("chunk_ord").alias("low"), F.max("chunk_ord").alias("high"), F.min_by("chunk_id", "chunk_ord").alias("first_id"),
+        F.collect_set("community").alias("communities"))
+
+    def sets(column: str, name: str) -> DataFrame:
+        each = blocks.select(*keys, F.explode(column).alias("x")).distinct()
+        if column == "links":
+            each = each.join(blocks.select("path", F.col("chunk_ord").alias("x")), ["path", "x"], "left_semi")
+        return each.groupBy(*keys).agg(F.collect_list("x").alias(name))
+
+    sums = embedding.group_sums(blocks.filter("embedding is not null").select(*keys, "embedding"), keys).groupBy(*keys).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("dim", "total"))), lambda s: s["total"]).alias("total"), F.max("n").alias("n"))
+    for other in (sets("containing_symbols", "symbols"), sets("kinds", "kinds"), sets("links", "links"), sums):
+        plain = plain.join(other, keys, "left")
+    empty = {c: F.coalesce(c, F.array()) for c in ("symbols", "kinds", "links", "total")}
+    return plain.withColumns({**empty, "n": F.coalesce("n", F.lit(0).cast("bigint"))}).drop("block")
+
+
+FACTS = ["low", "high", "first_id", "symbols", "kinds", "communities", "total", "n", "links"]
+
+
+def _may_join(a: Column, b: Column) -> Column:
+    """``_Block.may_join`` as a column of two structs of facts."""
+    head, next_head = F.substring_index(a["first_id"], "::", 1), F.substring_index(b["first_id"], "::", 1)
+    apart = (head != next_head) & head.isin(TOP_LEVEL_KINDS) & next_head.isin(TOP_LEVEL_KINDS)
+    shared = F.size(F.array_intersect(a["symbols"], b["symbols"]))
+
+    def meets(one: Column, two: Column) -> Column:
+        return F.exists(one["links"], lambda x: x.between(two["low"], two["high"]))
+
+    small = F.least(F.size(a["symbols"]), F.size(b["symbols"]))
+    alike = F.when(small > 0, shared / small).otherwise(F.lit(0.0)) >= MERGE_SHARE
+    kinds = (F.size(a["kinds"]) > 0) & (F.array_sort(a["kinds"]) == F.array_sort(b["kinds"]))
+    near = F.when((head == next_head) & (head != ""), F.lit(SAME_PARENT_SIM)).otherwise(F.lit(SAME_FILE_SIM))
+    sim = (a["n"] > 0) & (b["n"] > 0) & (vx.dot(a["total"], b["total"]) / (a["n"] * b["n"]) >= near)
+    return ~apart & ((shared >= MIN_SHARED) | meets(a, b) | meets(b, a)) & (F.arrays_overlap(a["communities"], b["communities"]) | alike | kinds | sim)
+
+
+def _joined(a: Column, b: Column) -> Column:
+    total = (F.when(b["n"] == 0, a["total"]).when(a["n"] == 0, b["total"])
+             .otherwise(F.zip_with(a["total"], b["total"], lambda x, y: x + y)))
+    both = {c: F.array_union(a[c], b[c]) for c in ("symbols", "kinds", "communities", "links")}
+    made = {"low": a["low"], "high": b["high"], "first_id": a["first_id"], "total": total, "n": a["n"] + b["n"], **both}
+    return F.struct(*[made[c].alias(c) for c in FACTS])
+
+
+def merge_pass(rows: DataFrame, width: int) -> tuple[DataFrame, bool]:
+    """One pass from left to right over the blocks (path, low, ...) of every file, and whether it joined any.
+
+    A block joins the next one unless the one before has taken it. In a run of blocks that may each join the next, these are
+    the first, third, fifth: so the pass is windows over ranges, with no row that waits for the one before.
+    """
+    keys = ["path"]
+    seen = rows.select("path", "low", F.struct(*FACTS).alias("facts"))
+    seen = shift_value(seen, keys, "low", F.col("facts"), "after", width=width)
+    seen = seen.withColumn("may", F.coalesce(F.col("after").isNotNull() & _may_join(F.col("facts"), F.col("after")), F.lit(False)))
+    seen = running_sum(seen, keys, "low", F.lit(1).cast("bigint"), "nth", width)
+    # where the run began: after the last block that may not join
+    seen = forward_fill(seen, keys, "low", F.when(~F.col("may"), F.col("nth")), "stop", width)
+    seen = seen.withColumn("takes", F.col("may") & ((F.col("nth") - F.coalesce("stop", F.lit(0)) - 1) % 2 == 0))
+    seen = cut_lineage(shift_value(seen, keys, "low", F.col("takes"), "taken", back=True, width=width)
+                       .select("path", "facts", "after", "takes", F.coalesce("taken", F.lit(False)).alias("taken")))
+    kept = seen.filter(~F.col("taken")).select("path", F.when(F.col("takes"), _joined(F.col("facts"), F.col("after"))).otherwise(F.col("facts")).alias("facts"))
+    return cut_lineage(kept.select("path", "facts.*")), not seen.filter("takes").isEmpty()
+
+
+def merge_blocks(blocks: DataFrame, task_blocks: int = 10_000, width: int = ROWS_PER_RANGE) -> DataFrame:
     """Merge neighbouring blocks of a file until nothing changes: (path, chunk_ord, unit).
 
-    Input: path, chunk_ord, chunk_id, block, containing_symbols, kinds,
-    community, embedding, links (orders of chunks with an edge to this one). The
-    fold depends on order within a file and on nothing outside it, so Spark
-    groups by file and each task folds the files it holds, one at a time.
+    Input: path, chunk_ord, chunk_id, block, containing_symbols, kinds, community, embedding, links (orders of chunks with
+    an edge to this one). A block is a run of neighbours in chunk_ord, which is unique in its path.
+
+    What merges are facts, one row a block. A file of up to ``task_blocks`` blocks is folded by one task. A larger one goes
+    through passes over ranges of its blocks, which give the same blocks, until it has become small enough or stays as it is.
     """
-    return blocks.select("path", "chunk_ord", "chunk_id", "block", "containing_symbols", "kinds", "community",
-                         "embedding", "links").groupBy("path").applyInPandas(
-        _merge_file, "path string, chunk_ord bigint, unit bigint")
+    facts = cut_lineage(block_facts(blocks))
+    done, open_ = None, facts
+    while True:
+        sizes = open_.groupBy("path").agg((F.count("*") <= task_blocks).alias("small"))
+        sized = open_.join(sizes, "path")
+        small = sized.filter("small").drop("small").groupBy("path").applyInPandas(_fold, "path string, low bigint")
+        done = small if done is None else done.unionByName(small)
+        large = cut_lineage(sized.filter("not small").drop("small"))
+        if large.isEmpty():
+            break
+        open_, changed = merge_pass(large, width)
+        if not changed:
+            done = done.unionByName(open_.select("path", "low"))
+            break
+    marks = done.select("path", F.col("low").alias("chunk_ord"), F.lit(1).cast("bigint").alias("opens"))
+    rows = blocks.select("path", "chunk_ord").join(marks, ["path", "chunk_ord"], "left")
+    return running_sum(rows, ["path"], "chunk_ord", F.coalesce("opens", F.lit(0).cast("bigint")), "unit", width).select(
+        "path", "chunk_ord", (F.col("unit") - 1).alias("unit"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import rules
@@ -10,10 +10,12 @@ from codeloom.operators import (
     chunking, communities, definitions, docs as documentation, edges, embedding, files as fo, graph, similarity)
 from codeloom.session import cut_lineage
 from codeloom.sources.pack import KnowledgePack
+from codeloom.streaming import refresh
 
 SIMILARITY_THRESHOLD = 0.5
 CHUNK_NEIGHBOURS, CHUNK_SCORE, SYMBOL_NEIGHBOURS = 5, 0.7, 3
 CLUSTER_EPS, CLUSTER_POINTS = 0.3, 3
+FILE_TABLES = ("files", "chunks", "symbols", "embeddings")
 
 
 def chunk_files(files: DataFrame, symbols: DataFrame, all_extractions: bool = False) -> DataFrame:
@@ -28,15 +30,34 @@ def chunk_files(files: DataFrame, symbols: DataFrame, all_extractions: bool = Fa
             .unionByName(chunking.whole(rest)))
 
 
-def build_pack(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD, with_communities: bool = True,
-               embed=embedding.hashing_embedding) -> KnowledgePack:
-    """Scan output (path, content, kind, ext, module) -> all pack tables."""
+def file_tables(files: DataFrame, embed=embedding.hashing_embedding) -> dict[str, DataFrame]:
+    """The tables whose rows depend on their own file only, from scan output (path, content, kind, ext, module).
+
+    A refresh derives them for the files of a batch; ``assemble_pack`` makes the rest from them.
+    """
     # the raw tree is read once
     files = cut_lineage(fo.keep_processable(files))
     symbols = cut_lineage(definitions.definitions(files))
     chunks = cut_lineage(chunk_files(files, symbols))
     embedded = chunks.join(files.filter(F.col("kind").isin("SourceCode", "Documentation")).select("path"), "path", "left_semi")
     vectors = cut_lineage(embed(embedded, "text", ["path", "chunk_ord"]))
+    return {"files": files, "chunks": chunks, "symbols": symbols, "embeddings": vectors}
+
+
+def build_pack(files: DataFrame, threshold: float = SIMILARITY_THRESHOLD, with_communities: bool = True,
+               embed=embedding.hashing_embedding) -> KnowledgePack:
+    """Scan output (path, content, kind, ext, module) -> all pack tables."""
+    return assemble_pack(file_tables(files, embed), threshold, with_communities)
+
+
+def refreshed_pack(spark: SparkSession, folder: str, **options) -> KnowledgePack:
+    """The pack of the file tables that a refresh keeps in ``folder``; what spans files is made anew from the current rows."""
+    return assemble_pack({name: refresh.read_current(spark, folder, name) for name in FILE_TABLES}, **options)
+
+
+def assemble_pack(tables: dict[str, DataFrame], threshold: float = SIMILARITY_THRESHOLD, with_communities: bool = True) -> KnowledgePack:
+    """All pack tables from the file tables."""
+    files, chunks, symbols, vectors = (tables[name] for name in FILE_TABLES)
     placed = edges.containment(symbols, chunks)
     containing = chunks.select("path", "chunk_ord", "chunk_id").join(
         edges.containing_symbols(placed).drop("chunk_id"), ["path", "chunk_ord"], "left")

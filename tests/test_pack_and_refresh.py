@@ -97,3 +97,43 @@ def test_answers_keep_a_symbol_of_each_file(spark):
     answer = search.answer_questions(questions, chunks, table, 3)
     assert [(r.symbol, r.file, r.summary) for r in answer["symbols"].collect()] == [("new", "a.rs", "in a")]
     assert [r.code for r in answer["examples"].collect()] == ["fn new() {}"]
+
+
+def test_a_batch_writes_the_buckets_it_touches(spark, tmp_path):
+    folder, derive = str(tmp_path), lambda f: {"chunks": chunking.by_lines(f, 1)}
+
+    def batch(token, *rows):
+        refresh_batch(spark, folder, spark.createDataFrame(rows, "path string, content string"), derive, token, buckets=64)
+
+    def written(version):
+        return {p.name for p in (tmp_path / "chunks" / f"version={version}").glob("path_bucket=*")}
+
+    batch("s:0", *[(f"{n}.txt", f"text {n}") for n in range(300)])
+    assert len(written(1)) > 50
+    batch("s:1", ("7.txt", "new text"), ("8.txt", "text 8"), ("none.txt", None))  # one changed, one as it was, one unknown
+    assert len(written(2)) == 1
+    batch("s:2", ("7.txt", None))
+    batch("s:3", ("8.txt", "text 8"))  # nothing changes
+    assert not written(4) and latest_version(spark, folder) == 4
+    got = {r.path: r.text for r in read_current(spark, folder, "chunks").collect()}
+    assert got == {f"{n}.txt": f"text {n}" for n in range(300) if n != 7}
+    # an earlier state can be read, and a bucket that lost all its rows reads as empty
+    assert read_current(spark, folder, "chunks", before=3).filter("path = '7.txt'").first().text == "new text"
+    batch("s:4", *[(f"{n}.txt", None) for n in range(300)])
+    assert read_current(spark, folder, "chunks").count() == 0
+
+
+def test_refreshed_pack_equals_a_new_build(spark, tmp_path):
+    from codeloom.plans.build import file_tables, refreshed_pack
+
+    code = {"src/a.rs": "/// Opens it.\npub fn open(path: &str) -> bool {\n    true\n}\n", "src/b.rs": "pub struct Store {\n    size: usize,\n}\n", "README.md": "# Title\n\nSome text.\n"}
+    later = {"src/a.rs": "pub fn close() {}\n", "src/c.rs": "pub enum Mode {\n    On,\n}\n", "src/b.rs": None}
+    make = lambda rows: spark.createDataFrame(list(rows.items()), "path string, content string")
+    folder = str(tmp_path)
+    refresh_batch(spark, folder, make(code), file_tables, "s:0", buckets=8)
+    refresh_batch(spark, folder, make(later), file_tables, "s:1", buckets=8)
+    got = refreshed_pack(spark, folder, with_communities=False)
+    want = build_pack(tree.as_files(make({k: v for k, v in {**code, **later}.items() if v is not None})), with_communities=False)
+    for name in ("files", "symbols", "chunks", "nodes", "edges"):
+        rows = lambda p: sorted(str(r) for r in p.tables[name].select(sorted(want.tables[name].columns)).collect())
+        assert rows(got) == rows(want), name
