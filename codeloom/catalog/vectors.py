@@ -255,6 +255,24 @@ def modularity(t):
     return q.withColumn("modularity", F.round("modularity", 6))
 
 
+@query("modularity_copies", f"""WITH twice AS (SELECT vec_id, embedding, label FROM embeddings UNION ALL SELECT vec_id + 1000000 * c, embedding, label FROM embeddings, range(1, 3) AS t(c) WHERE vec_id % 3 < c),
+{_sql_pairs('twice')}, w AS (SELECT src, dst, score FROM pairs UNION ALL SELECT dst, src, score FROM pairs),
+k AS (SELECT src AS node, sum(score) AS k FROM w GROUP BY src), m AS (SELECT sum(k) AS m2 FROM k),
+i AS (SELECT a.label, sum(score) AS w_in FROM w JOIN twice a ON a.vec_id = src JOIN twice b ON b.vec_id = dst WHERE a.label = b.label GROUP BY a.label),
+tot AS (SELECT label, sum(k) AS w_tot FROM k JOIN twice ON vec_id = node GROUP BY label)
+SELECT round(sum(coalesce(w_in, 0) / m2 - (w_tot / m2) * (w_tot / m2)), 6) AS modularity FROM tot LEFT JOIN i USING (label), m""")
+def modularity_copies(t):
+    """Modularity of the labels over vectors with up to two copies each, by the graph of distinct vectors."""
+    extra = [t.embeddings.filter(F.col("vec_id") % 3 < c).withColumn("vec_id", F.col("vec_id") + 1_000_000 * c) for c in (1, 2)]
+    rows = t.embeddings.unionByName(extra[0]).unionByName(extra[1])
+    classes = cut_lineage(similarity.distinct_vectors(rows, "vec_id", "embedding"))
+    links = graph.class_links(similarity.similar_pairs(classes, THRESHOLD, vec_id="id"), classes, THRESHOLD)
+    # equal vectors have equal labels: the smallest copy speaks for its class
+    labels = t.embeddings.select(F.col("vec_id").alias("node"), F.col("label").alias("community"))
+    member = classes.select(F.col("id").alias("node")).join(labels, "node")
+    return graph.class_modularity(links, member).withColumn("modularity", F.round("modularity", 6))
+
+
 @query("modularity_adjacent", f"""WITH {SQL_PAIRS}, w AS (SELECT src, dst, score FROM pairs UNION ALL SELECT dst, src, score FROM pairs),
 k AS (SELECT src AS node, sum(score) AS k FROM w GROUP BY src), m AS (SELECT sum(k) AS m2 FROM k)
 SELECT round(sum(score - ka.k * kb.k / m2) / any_value(m2), 6) AS modularity FROM w JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst JOIN k ka ON ka.node = src JOIN k kb ON kb.node = dst, m WHERE a.label = b.label""")

@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.functions import vectors as vx
 from codeloom.operators.edges import undirected
+from codeloom.operators.similarity import SCORE_DIGITS
 from codeloom.session import cut_lineage
 
 MAX_COMPONENT_ROUNDS = 100
@@ -175,13 +177,43 @@ def _symmetric(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def class_links(pairs: DataFrame, classes: DataFrame, threshold: float, vector: str = "embedding") -> DataFrame:
+    """The graph of all rows with equal ones drawn together: links (src, dst, weight) in both directions, with loops.
+
+    ``pairs`` (src, dst, score) are pairs of distinct vectors, ``classes`` (id, vector, copies) all of these. A link of two
+    classes weighs what the pairs of their copies weigh together, and a loop what the pairs inside a class do in both
+    directions, if copies are as alike as ``threshold`` asks. So n copies make one node and not n (n - 1) / 2 links, and strengths,
+    gains and modularity of a partition that keeps copies together are those of the graph of all rows.
+    """
+    size = classes.select("id", F.col("copies").cast("double").alias("n"))
+    a, b = size.select(F.col("id").alias("src"), F.col("n").alias("na")), size.select(F.col("id").alias("dst"), F.col("n").alias("nb"))
+    weighed = cut_lineage(pairs.join(a, "src").join(b, "dst").select("src", "dst", (F.col("score") * F.col("na") * F.col("nb")).alias("weight")))
+    own = F.round(vx.dot(F.col(vector), F.col(vector)), SCORE_DIGITS)
+    loops = classes.filter("copies > 1").select("id", own.alias("score"), F.col("copies").cast("double").alias("n")).filter(F.col("score") >= threshold)
+    return weighed.unionByName(weighed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).unionByName(
+        loops.select(F.col("id").alias("src"), F.col("id").alias("dst"), (F.col("score") * F.col("n") * (F.col("n") - 1)).alias("weight")))
+
+
+def class_modularity(links: DataFrame, membership: DataFrame) -> DataFrame:
+    """One row (modularity) of a partition (node, community) of ``class_links``."""
+    return _modularity(links, membership)
+
+
+def class_communities(links: DataFrame, rounds: int = 200, levels: int = 1) -> DataFrame:
+    """Communities of ``class_links``: (node, community); copies are in one community from the start."""
+    return _communities(cut_lineage(links), rounds, levels)
+
+
 def modularity(edges: DataFrame, membership: DataFrame, adjacent_only: bool = False) -> DataFrame:
     """One row (modularity) of a partition (node, community) of undirected edges.
 
     Standard form sum_c (in_c / 2m - (tot_c / 2m)^2). ``adjacent_only`` sums the
     null model over adjacent pairs alone.
     """
-    links = _symmetric(edges)
+    return _modularity(_symmetric(edges), membership, adjacent_only)
+
+
+def _modularity(links: DataFrame, membership: DataFrame, adjacent_only: bool = False) -> DataFrame:
     strength = links.groupBy("src").agg(F.sum("weight").alias("k"))
     member = membership.select("node", "community")
     total = strength.agg(F.sum("k").alias("m2"))
@@ -228,10 +260,10 @@ def _move_round(links: DataFrame, strength: DataFrame, state: DataFrame, m2: flo
     gain = ((F.col("k_in") - F.coalesce("k_own", F.lit(0.0))) / m
             - F.col("k") * (F.col("their") - F.col("own_rest")) / (2 * m * m))
     mine = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-    best = (rows.withColumn("gain", gain).filter((F.col("gain") > 1e-12) & mine)
+    best = (rows.withColumn("gain", gain).filter(F.col("gain") > 1e-12)
             .groupBy("node").agg(F.min_by("target", F.struct((-F.round("gain", 12)).alias("g"), "target")).alias("better")))
     return state.join(best, "node", "left").select(
-        "node", F.coalesce("better", "community").alias("community"), F.col("better").isNotNull().alias("moved"))
+        "node", F.when(mine, F.coalesce("better", "community")).otherwise(F.col("community")).alias("community"), F.col("better").isNotNull().alias("wants"))
 
 
 def _local_moving(links: DataFrame, rounds: int) -> tuple[DataFrame, float]:
@@ -243,14 +275,17 @@ def _local_moving(links: DataFrame, rounds: int) -> tuple[DataFrame, float]:
     best, best_q, still = state, -2.0, 0
     for turn in range(rounds):
         moved = cut_lineage(_move_round(links, strength, state, m2, turn))
+        if moved.filter("wants").isEmpty():
+            q = _quality(links, strength, state, m2)
+            return (state, q) if q > best_q else (best, best_q)
         state = moved.select("node", "community")
         q = _quality(links, strength, state, m2)
         if q > best_q + 1e-12:
             best, best_q, still = state, q, 0
         else:
             still += 1
-        # parity alternates: only a few turns without progress mean a fixed point
-        if still >= 4:
+        # a node that wants to move has its turn in every other round: many rounds without progress mean moves to and fro
+        if still >= 8:
             return best, best_q
     raise RuntimeError(f"communities did not settle in {rounds} rounds")
 
@@ -259,11 +294,14 @@ def louvain(edges: DataFrame, rounds: int = 200, levels: int = 1) -> DataFrame:
     """Communities of weighted undirected edges: (node, community), the smallest member as id.
 
     Local moving in parallel; nodes take turns by a hash so that two neighbours
-    do not swap places, and the best partition seen is kept once four rounds bring no gain; a graph that has not settled
-    after ``rounds`` is an error. ``levels`` > 1 adds
+    do not swap places. It is done when no node wants to move, or with the best partition seen once eight rounds bring no gain; a graph that
+    has not settled after ``rounds`` is an error. ``levels`` > 1 adds
     aggregation levels on the community graph.
     """
-    links = cut_lineage(_symmetric(edges))
+    return _communities(cut_lineage(_symmetric(edges)), rounds, levels)
+
+
+def _communities(links: DataFrame, rounds: int, levels: int) -> DataFrame:
     membership, _ = _local_moving(links, rounds)
     for _ in range(levels - 1):
         a = membership.select(F.col("node").alias("src"), F.col("community").alias("ca"))

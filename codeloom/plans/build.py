@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import rules
+from codeloom.functions import vectors as vx
 from codeloom.operators import (
     chunking, communities, definitions, docs as documentation, edges, embedding, files as fo, graph, similarity)
 from codeloom.session import cut_lineage
@@ -74,11 +75,18 @@ def assemble_pack(tables: dict[str, DataFrame], threshold: float = SIMILARITY_TH
     tables.update(documentation_tables(files, symbols, chunks, placed, graph_edges))
     graph_edges = graph_edges.unionByName(meaning)
     if with_communities:
-        pairs = cut_lineage(similarity.similar_pairs(keyed, threshold))
-        graph_edges = graph_edges.unionByName(edges.similarity_edges(pairs))
-        found = graph.louvain(pairs.withColumnRenamed("score", "weight"))
+        # equal chunks (license headers, say) are one node of the similarity graph and hang on the first of them by one edge each
+        classes = cut_lineage(similarity.distinct_vectors(keyed, "vec_id", "embedding"))
+        pairs = cut_lineage(similarity.similar_pairs(classes, threshold, vec_id="id"))
+        copies = cut_lineage(similarity.copy_members(keyed, classes, "vec_id", "embedding"))
+        own = classes.select("id", F.round(vx.dot(F.col("embedding"), F.col("embedding")), similarity.SCORE_DIGITS).alias("score"))
+        hanging = copies.filter(F.col("member") != F.col("id")).join(own.filter(F.col("score") >= threshold), "id")
+        graph_edges = graph_edges.unionByName(edges.similarity_edges(pairs.unionByName(
+            hanging.select(F.col("id").alias("src"), F.col("member").alias("dst"), "score"))))
+        found = graph.class_communities(graph.class_links(pairs, classes, threshold))
+        grouped = copies.join(found, copies["id"] == found["node"]).select("member", "community")
         # chunks without a similar partner are communities of their own
-        member = keyed.join(found, keyed["vec_id"] == found["node"], "left").select(
+        member = keyed.join(grouped, keyed["vec_id"] == grouped["member"], "left").select(
             "path", "chunk_ord", F.coalesce("community", "vec_id").alias("community"))
         member = cut_lineage(member)
         tables.update(describe_communities(chunks, containing, vectors, member))

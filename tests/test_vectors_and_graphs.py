@@ -146,3 +146,32 @@ def test_ranges_do_not_change_sequence_results(spark):
         out = running_sum(out, ["k"], "o", F.coalesce("v", F.lit(0)), "total", width)
         results.append({r.o: tuple(r) for r in out.collect()})
     assert len(results[0]) == 500 and results[0] == results[1]
+
+
+def test_class_graph_equals_the_graph_of_all_rows(spark):
+    """Three groups of near vectors, with many copies of some: one node a class, same communities and modularity."""
+    import random
+
+    from codeloom.operators import graph, similarity
+
+    rng, rows = random.Random(2), []
+    for group in range(3):
+        for k in range(6):
+            v = [1.0 if d == group else 0.25 * rng.random() for d in range(3)]
+            size = sum(x * x for x in v) ** .5
+            rows += [[x / size for x in v]] * (40 if k == 0 else rng.randint(1, 3))
+    rows += [[0.0] * 3] * 5  # copies that are not alike
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(n, v) for n, v in enumerate(rows)], "vec_id bigint, embedding array<double>")
+    classes = similarity.distinct_vectors(df, "vec_id", "embedding")
+    pairs = similarity.similar_pairs(classes, 0.6, vec_id="id")
+    links = graph.class_links(pairs, classes, 0.6)
+    assert links.count() < 19 * 19 < similarity.similar_pairs(df, 0.6).count()
+    by_class = graph.class_communities(links)
+    every = similarity.similar_pairs(df, 0.6).withColumnRenamed("score", "weight")
+    members = similarity.copy_members(df, classes, "vec_id", "embedding")
+    spread = members.join(by_class, members["id"] == by_class["node"]).select(members["member"].alias("node"), "community")
+    found = {r.node: r.community for r in spread.collect()}
+    assert found == {r.node: r.community for r in graph.louvain(every).collect()} and len(set(found.values())) == 3
+    q = graph.modularity(every, spread).first()[0]
+    assert abs(q - graph.class_modularity(links, by_class).first()[0]) < 1e-9 and q > 0.5
