@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.catalog.derived import CODE_SQL, HAS_ENUM, HAS_FREE, HAS_TRAIT, code_files
+from codeloom.catalog.files import sql_lines
 from codeloom.catalog.registry import query
 from codeloom.functions import text as tx
-from codeloom.operators import chunking, definitions as defs, docs, edges, hotspots
+from codeloom.operators import chunking, definitions as defs, docs, edges, embedding, hotspots
 from codeloom.session import cut_lineage
 from codeloom.sources import tree
 
@@ -311,12 +312,12 @@ def cluster_summaries(t):
 
 @query("complexity_bombs", f"""WITH {_PLACED}, {_FILE_EDGES}, n AS (SELECT path, count(*) AS n FROM syms GROUP BY path), c AS (SELECT path, count(*) AS c FROM chunk GROUP BY path),
 s AS (SELECT path, (n * 0.4 + c * 0.3 + edge_count * 0.3) / 10 AS score FROM n JOIN c USING (path) JOIN fe USING (path))
-SELECT 'file:' || path AS symbol, path, round(score, 6) AS complexity_score, CASE WHEN score > 5 THEN 'High' ELSE 'Medium' END AS complexity_estimate, 'file' AS symbol_kind FROM s WHERE score > 1.9""")
+SELECT 'file:' || path AS symbol, path, round(score, 6) AS complexity_score, CASE WHEN score > 5 THEN 'High' ELSE 'Medium' END AS complexity_estimate, 'file' AS symbol_kind FROM s WHERE score > 1.6""")
 def complexity_bombs(t):
     """Files above a complexity limit and functions rated High."""
     files, syms, chunks, placed = _placed(t)
     s = docs.file_summaries(files, syms, chunks, placed)
-    b = hotspots.complexity_bombs(s, docs.function_docs(syms), None, medium=1.9)
+    b = hotspots.complexity_bombs(s, docs.function_docs(syms), None, medium=1.6)
     return b.withColumn("complexity_score", F.round("complexity_score", 6))
 
 
@@ -444,3 +445,16 @@ def definition_chunks_nested(t):
     """What lies inside an item is part of its chunk."""
     files = _nested_files(t)
     return defs.definition_chunks(files, defs.definitions(files)).select("path", "chunk_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("processing_report", f"""
+WITH {SYMS}, src AS ({CODE_SQL}), lc AS (SELECT path, count(*) AS n_lines FROM ({sql_lines('src')}) GROUP BY path),
+sc AS (SELECT path, count(*) AS n_symbols FROM syms GROUP BY path)
+SELECT path, n_lines, len(string_split(content, chr(10) || '}}')) AS n_chunks, coalesce(n_symbols, 0) AS n_symbols,
+  len(string_split(content, chr(10) || '}}')) AS n_embeddings FROM src JOIN lc USING (path) LEFT JOIN sc USING (path)""")
+def processing_report(t):
+    """Lines, chunks, symbols and embeddings of every file, here over delimiter chunks."""
+    files = code_files(t)
+    chunks = chunking.by_delimiter(files, "\n}")
+    vectors = embedding.hashing_embedding(chunks, "text", ["path", "chunk_ord"])
+    return docs.processing_report(files, chunks, symbols(t), vectors).select("path", "n_lines", "n_chunks", "n_symbols", "n_embeddings")

@@ -330,14 +330,3 @@ def chunk_all_extractions(t):
 def language_histogram(t):
     """Files per language."""
     return docs.language_histogram(text_files(t).select("ext").unionByName(code_files(t).select("ext")))
-
-
-@query("processing_report", f"""
-WITH c AS ({CODE_SQL}), l AS (SELECT path, count(*) AS n_lines FROM ({sql_lines('c')}) GROUP BY path)
-SELECT path, n_lines, len(string_split(content, chr(10) || '}}')) AS n_chunks FROM c JOIN l USING (path)""")
-def processing_report(t):
-    """Per-file counts, here over delimiter chunks."""
-    files = code_files(t)
-    chunks = chunking.by_delimiter(files, "\n}")
-    none = files.select("path").limit(0)
-    return docs.processing_report(files, chunks, none, none).select("path", F.col("n_lines"), "n_chunks")
