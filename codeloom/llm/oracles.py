@@ -54,10 +54,20 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
 """
 
 
-def quality_rules(rules: dict, boilerplate: tuple[str, ...], noise: str, separators: str, ends: tuple[str, ...]) -> str:
-    """Lines keep their place in the text; their words are counted and compared as whole strings."""
-    phrases = "|".join(boilerplate)
+# Python's str.isspace, letters and digits of words, letters that may go on with a sentence
+BLANK, LETTER, GOING_ON = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]", r"[\p{L}\p{N}_]", r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]"
+
+
+def quality_rules(rules: dict, boilerplate: tuple[str, ...], noise: str, separators: str, ends: tuple[str, ...], all_ends: frozenset[str]) -> str:
+    """Lines keep their place in the text; their words are counted and compared as whole strings.
+
+    ``pf`` doubles the characters between words, so that phrases next to each other do not share a border.
+    """
+    phrases = "|".join(boilerplate).replace(" ", "  ")
     marks = " OR ".join("ends_with(lw, '" + e.replace("'", "''") + "')" for e in ends)
+    closing = "[" + "".join("\\" + c if c in "[]\\^-" else c for c in sorted(all_ends)).replace("'", "''") + "]"
+    item = rf"^(?:{BLANK}|[-*+•‣–—]{BLANK}|(?:\p{{Nd}}+|{LETTER})[.)]{BLANK})"
+    border = LETTER.replace("[", "[^")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS ws FROM d),
@@ -67,11 +77,19 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, range
 l0 AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM d)),
 l1 AS (SELECT *, regexp_extract_all(line, '{WORD}') AS lws FROM l0 WHERE line <> ''),
 l2 AS (SELECT *, len(lws) AS n, lws[-1] AS lw, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AND len(lws) > 0 AS again,
-       strlen(line) AS size FROM l1),
-l3 AS (SELECT *, len(regexp_extract_all(line, '{noise}')) > {rules['noise_share']} * size
-       OR len(regexp_extract_all(line, '{separators}')) > {rules['separator_share']} * greatest(n, 1)
-       OR (n > {rules['open_end_words']} AND NOT ({marks})) OR again OR regexp_matches(line, '(?i){phrases}') AS bad FROM l2),
-line AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (bad), 0)::BIGINT AS n_lost_words FROM l3 GROUP BY 1),
+       strlen(line) AS size, regexp_matches(line, '^{BLANK}*{GOING_ON}') AS going_on,
+       regexp_extract_all('  ' || regexp_replace(line, '({border})', '\\1\\1', 'g') || '  ', '(?i){border}({phrases}){border}', 1) AS pf FROM l1),
+l3 AS (SELECT *, coalesce(going_on AND lag(i) OVER near = i - 1, false) OR coalesce(lead(going_on) OVER near AND lead(i) OVER near = i + 1, false) AS wrapped,
+       coalesce(list_sum(list_transform(pf, lambda p: len(regexp_extract_all(p, '{WORD}')))), 0) AS furniture
+       FROM l2 WINDOW near AS (PARTITION BY doc_id ORDER BY i)),
+l4 AS (SELECT *, len(regexp_extract_all(line, '{noise}')) > {rules['noise_share']} * size
+       OR len(regexp_extract_all(line, '{separators}')) > {rules['separator_share']} * greatest(n, 1) OR again
+       OR (furniture > 0 AND (furniture >= {rules['phrase_share']} * n OR (n <= {rules['short_words']} AND NOT wrapped))) AS clear FROM l3),
+l5 AS (SELECT *, coalesce(lag(n > {rules['few_words']} AND NOT clear) OVER near, false) OR coalesce(lead(n > {rules['few_words']} AND NOT clear) OVER near, false) AS beside
+       FROM l4 WINDOW near AS (PARTITION BY doc_id ORDER BY i)),
+l6 AS (SELECT *, clear OR (n > {rules['open_end_words']} AND NOT ({marks}) AND n <= {rules['few_words']} AND NOT beside AND NOT wrapped AND NOT going_on
+       AND NOT regexp_matches(line, '{closing}{BLANK}*$') AND NOT regexp_matches(line, '{item}')) AS bad FROM l5),
+line AS (SELECT doc_id, count(*) FILTER (again) AS n_dup_lines, coalesce(sum(n) FILTER (bad), 0)::BIGINT AS n_lost_words FROM l6 GROUP BY 1),
 base AS (SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
          len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost_words, 0) AS n_lost_words

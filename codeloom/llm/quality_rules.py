@@ -27,7 +27,7 @@ SEPARATOR = table(b"|<>")
 BOILERPLATE = ("cookie policy", "cookies", "privacy policy", "terms of use", "terms of service", "all rights reserved",
                "javascript", "subscribe to our newsletter", "click here", "read more", "share this", "sign up", "log in", "lorem ipsum")
 RULES = {"noise_share": 0.08, "separator_share": 0.15, "open_end_words": 0, "max_loss": 0.5,
-         "few_words": 3, "short_words": 10, "phrase_share": 0.25, "each_alone": False}
+         "few_words": 3, "short_words": 10, "phrase_share": 0.25}
 LIST_ITEM = re.compile(r"\s|[-*+•‣–—]\s|(?:\d+|\w)[.)]\s")
 
 VERDICTS = pa.schema([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()),
@@ -60,7 +60,7 @@ def line_failures(s: Stats, rules: dict) -> dict[str, np.ndarray]:
 
 
 @cache
-def _ends_of_all_scripts() -> frozenset[str]:
+def ends_of_all_scripts() -> frozenset[str]:
     """Full stops, closing brackets and quotes, colons and ellipses of Unicode."""
     every = "".join(chr(c) for c in range(0x11_0000) if not 0xD800 <= c < 0xE000)
     return frozenset(regex.findall(r"[\p{Sentence_Terminal}\p{Pe}\p{Pf}]", every)) | set(":;…\"'：；")
@@ -80,7 +80,7 @@ def weighed(s: Stats, failures: dict[str, np.ndarray], rules: dict) -> np.ndarra
     """
     lines, n = s.lines, len(s.lines.row)
     bad = failures["noise"] | failures["navigation"] | failures["repeated"]
-    ends, raw = _ends_of_all_scripts(), s.data
+    ends, raw = ends_of_all_scripts(), s.data
 
     def shown(k: int) -> str:
         return raw[lines.start[k]:lines.end[k]].tobytes().decode()
@@ -115,7 +115,7 @@ def judge(texts, rules: dict) -> tuple[dict[str, np.ndarray], Stats, np.ndarray]
     """(columns of VERDICTS, statistics, which lines fail) of a batch of texts."""
     s = Stats(texts)
     failures = line_failures(s, rules)
-    bad = np.logical_or.reduce(list(failures.values())) if rules["each_alone"] else weighed(s, failures, rules)
+    bad = weighed(s, failures, rules)
     lost = s.by_row(s.lines.row[bad], s.line_words[bad]).astype(np.int64) if bad.any() else np.zeros(s.n, np.int64)
     base = (s.n_words < MIN_WORDS) | (100 * s.n_repeat_words > MAX_REPEAT_PERCENT * s.n_words)
     kept = ~base & (lost <= rules["max_loss"] * s.n_words)
@@ -127,8 +127,7 @@ def quality_verdicts(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     """The key and the columns of VERDICTS for every row.
 
     ``base_failed``: fewer than 20 words, or over 30 % of the words in repeated runs of 8 words. ``kept`` is false for those
-    and for texts that lose more than ``max_loss`` of their words with their bad lines. With ``each_alone`` in the rules any
-    finding of ``line_failures`` makes a line bad, whatever its surroundings. Null and empty texts have no words
+    and for texts that lose more than ``max_loss`` of their words with their bad lines. Null and empty texts have no words
     and fail. Repeated rows are judged alike; an empty table gives an empty result; other columns are not read.
     """
     prepare(docs.sparkSession)

@@ -49,8 +49,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the check SQL lets any single finding fail a line
-    return quality_rules.quality_verdicts(documents(spark, sf_dir), rules={"each_alone": True})
+    return quality_rules.quality_verdicts(documents(spark, sf_dir))
 
 
 URL_RULES = [url_filters.Rule("block", "net"), url_filters.Rule("allow", "example.net", "/en/"),
@@ -103,7 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Classifier scores, tokenizer ids, the packing and alignment of tokens and 64-bit hash fingerprints have no SQL form."""
-    rules = oracles.quality_rules(quality_rules.RULES, quality_rules.BOILERPLATE, r"[#*$%&|<>!~^=_{}\[\]\\@]", r"[|<>]", SENTENCE_ENDS)
+    rules = oracles.quality_rules(quality_rules.RULES, quality_rules.BOILERPLATE, r"[#*$%&|<>!~^=_{}\[\]\\@]", r"[|<>]", SENTENCE_ENDS,
+                                  quality_rules.ends_of_all_scripts())
     return {"op2_near_dedup": oracles.NEAR_DEDUP, "op3_exact_dedup": oracles.EXACT_DEDUP, "op5_sharding": oracles.SHARDING,
             "op6_quality_rules": rules, "op7_url_filters": oracles.url_filters(URL_RULES), "op9_chat_format": oracles.chat_format(PROBE),
             "op10_warc": oracles.WARC, "op13_vector_codes": oracles.vector_codes(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS, vector_codes.SCALE)}

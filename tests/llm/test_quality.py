@@ -3,12 +3,14 @@
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 from cases import DOCUMENTS, ODD
 
 from codeloom.llm import quality_model as model
 from codeloom.llm import quality_rules as rules
+from codeloom.llm import queries
 
 SF = "/root/testdata/sf0.01"
 GOOD = "This line has quite a few words in it and it ends well."
@@ -128,3 +130,42 @@ def test_the_sample_is_bounded(spark, small, monkeypatch):
     monkeypatch.setattr(model, "fit", lambda x, y, **_: seen.append(x.shape))
     model.train(small, labels, max_rows=3)
     assert seen == [(3, len(model.FEATURES))]
+
+
+def furniture_texts(documents: list[str]) -> list[str]:
+    """Texts whose lines meet every rule: wrapped, verse, lists, menus, phrases side by side and inside words, ends of other scripts."""
+    prose = " ".join(f"Word{i} goes on with others and ends here." for i in range(12))
+    verse = "\n".join(f"The night is {a}\nand so is the sea\nCold" for a in ("dark", "deep", "long"))
+    listed = "\n".join(f"{mark} item {i}" for i, mark in enumerate(("-", "*", "•", "1.", "b)", "٣.", "–")))
+    menu = "Home | About | Contact\n" * 2 + "Log in sign up\nRead more\nlog in log in click here\nBlog in catalog in design up\nAccept cookies"
+    ends = "\n".join(("नमस्ते दुनिया।", "مرحبا؟", "\n \nAlone", "Title", "  ", "alone", "日本", "ǅ abc", "Ⅳ", "end ]", "x \x85"))
+    page = "We use cookies and JavaScript on this very long page of many words so that it all works as it has to\nall rights reserved by us\nfor ever and ever."
+    texts = [prose, verse, listed, menu, ends, page, page.replace("\n", " "), "LOREM IPSUM dolor\n" * 3 + prose, "\n".join((menu, prose, ends)),
+             f"{prose}\nCookies\n{prose}\nsign up, log in. (privacy policy)\n\nCOOKIES"]
+    return texts + [textwrap.fill(t, 72) for t in texts] + [textwrap.fill(t, 40) for t in documents]
+
+
+def test_rules_agree_with_sql(spark, small, odd):
+    """Operator and check SQL on the same rows: documents as they are and wrapped, odd texts and texts for each rule.
+
+    The windows of the SQL carry all words of a text, so the text of 1.8 MB is left to the tests of the statistics.
+    """
+    plain = [r.text for r in small.collect()]
+    texts = [*plain, *[r.text for r in odd.collect() if len(r.text or "") < 100_000], *furniture_texts(plain)]
+    given = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    got = {tuple(r[n] for n in ("doc_id", *rules.VERDICTS.names))
+           for r in rules.quality_verdicts(spark.createDataFrame(given.to_pandas(), "doc_id long, text string")).collect()}
+    con = duckdb.connect()
+    con.register("documents", given)
+    found = con.execute(f"SELECT doc_id, {', '.join(rules.VERDICTS.names)} FROM ({queries.oracle_sql()['op6_quality_rules']})").fetchall()
+    assert got == set(found) and len(found) == len(texts)
+    lost = {r[6] for r in found if r[0] >= len(texts) - len(plain) - 20}
+    assert len(lost) > 5, "the texts must meet the rules"
+
+
+def test_wrapped_clean_documents_stay(spark, small):
+    """Of documents of good quality at least 95 % stay after wrapping at 72 columns."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    good = small.join(labels, "doc_id").filter("quality = 1").select("doc_id", "text").collect()
+    wrapped = spark.createDataFrame([(r.doc_id, "\n".join(textwrap.fill(p, 72) for p in r.text.split("\n"))) for r in good], "doc_id long, text string")
+    assert rules.quality_verdicts(wrapped).filter("kept").count() >= 0.95 * len(good)
