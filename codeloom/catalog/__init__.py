@@ -4,7 +4,7 @@ from codeloom.catalog import registry
 
 
 def _load() -> None:
-    from codeloom.catalog import code, files, graphs, texts, vectors  # noqa: F401
+    from codeloom.catalog import code, dependencies, files, graphs, texts, vectors  # noqa: F401
 
 
 def queries():

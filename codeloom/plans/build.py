@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codeloom import rules
 from codeloom.functions import vectors as vx
 from codeloom.operators import (
-    chunking, communities, definitions, docs as documentation, edges, embedding, files as fo, graph, similarity)
+    chunking, communities, definitions, dependencies, docs as documentation, edges, embedding, files as fo, graph, similarity)
 from codeloom.session import cut_lineage
 from codeloom.sources.pack import KnowledgePack
 from codeloom.streaming import refresh
@@ -73,7 +73,7 @@ def assemble_pack(tables: dict[str, DataFrame], threshold: float = SIMILARITY_TH
               "symbol_chunks": placed.select("path", "name", "start", "chunk_ord", "chunk_id"),
               "file_hashes": fo.content_hashes(files), "nodes": nodes}
     tables.update(documentation_tables(files, symbols, chunks, placed, graph_edges))
-    graph_edges = graph_edges.unionByName(meaning)
+    graph_edges = graph_edges.unionByName(meaning).unionByName(cut_lineage(dependencies.dependency_edges(files, symbols)))
     if with_communities:
         # equal chunks (license headers, say) are one node of the similarity graph and hang on the first of them by one edge each
         classes = cut_lineage(similarity.distinct_vectors(keyed, "vec_id", "embedding"))

@@ -53,7 +53,7 @@ class PackTools:
     def get_impact(self, name: str, max_depth: int = 5, edge_types=(rules.SYMBOL_TO_SYMBOL,)) -> DataFrame:
         return graph.reachable(self.pack.edges, self._ids(name), max_depth, edge_types)
 
-    def get_dependencies(self, name: str, max_depth: int = 5, edge_types=("calls", "imports", "uses")) -> DataFrame:
+    def get_dependencies(self, name: str, max_depth: int = 5, edge_types=(rules.CALLS, rules.IMPORTS, rules.USES)) -> DataFrame:
         return graph.reachable(self.pack.edges, self._ids(name), max_depth, edge_types)
 
     def find_path(self, source: str, target: str, max_depth: int = 10) -> DataFrame:
