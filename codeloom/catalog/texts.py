@@ -11,7 +11,6 @@ from codeloom.catalog.vectors import sql_embedding
 from codeloom.functions import text as tx
 from codeloom.functions import vectors as vx
 from codeloom.operators import blocks, communities, embedding, mentions, search
-from codeloom.session import cut_lineage
 
 _WORD = "[^\\p{L}\\p{M}\\p{N}_]+"
 _IDENT = "regexp_replace({c}, '([a-z])([A-Z])', '\\1 \\2', 'g')"
@@ -394,32 +393,59 @@ h AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, ch
 
 def _ask_inputs(t):
     q = embedding.hashing_embedding(t.benchmark, "text", ["item_id"], hash_name="md5").withColumnRenamed("item_id", "question_id")
-    # vectors are a table of their own: every step below reads it instead of embedding again
-    d = cut_lineage(embedding.hashing_embedding(t.documents, "text", ["doc_id"], hash_name="md5"))
-    chunks = d.join(t.documents.select("doc_id", "source", "text"), "doc_id").select(
-        F.col("doc_id").alias("chunk_key"), F.col("source").alias("file"), "text", "embedding")
-    return q, chunks
+    d = embedding.hashing_embedding(t.documents, "text", ["doc_id"], hash_name="md5")
+    return q, d.withColumnRenamed("doc_id", "chunk_key")
+
+
+def _ask_chunks(t):
+    return t.documents.select(F.col("doc_id").alias("chunk_key"), F.col("source").alias("file"), "text")
+
+
+def _ask_symbols(t):
+    return t.documents.select(F.concat(F.lit("sym_"), "lang", F.lit("_"), "source").alias("name"), F.col("source").alias("file")).distinct()
 
 
 @query("semantic_hits", f"WITH {_ASK} SELECT question, chunk, rank FROM h WHERE rank <= 20")
 def semantic_hits(t):
     """Q2, K2: best texts of every question by vector."""
-    q, chunks = _ask_inputs(t)
-    return search.chunk_hits(q, chunks, 20).select("question", "chunk", "rank")
+    q, vectors = _ask_inputs(t)
+    return search.chunk_hits(q, vectors, 20).select("question", "chunk", "rank")
 
 
-@query("ask_rank", f"""WITH {_ASK}, sy AS (SELECT DISTINCT 'sym_' || lang || '_' || source AS symbol, source AS file FROM documents),
+_ASK_RANK = f"""{_ASK}, sy AS (SELECT DISTINCT 'sym_' || lang || '_' || source AS symbol, source AS file FROM documents),
 f AS (SELECT question, source AS file, sum(score) AS score FROM h JOIN documents ON doc_id = chunk WHERE rank <= 20 GROUP BY question, source),
 r AS (SELECT question, symbol, file, round(sum(score), 9) AS score FROM f JOIN sy USING (file) GROUP BY question, symbol, file),
-k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, symbol, file) AS rank FROM r) SELECT question, symbol, file, round(score, 5) AS score, rank FROM k WHERE rank <= 10""")
+k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY score DESC, symbol, file) AS rank FROM r)"""
+
+
+@query("ask_rank", f"WITH {_ASK_RANK} SELECT question, symbol, file, round(score, 5) AS score, rank FROM k WHERE rank <= 10")
 def ask_rank(t):
     """Symbols of the files hit by each question, scores summed."""
-    q, chunks = _ask_inputs(t)
-    symbols = t.documents.select(F.concat(F.lit("sym_"), "lang", F.lit("_"), "source").alias("name"), F.col("source").alias("file")).distinct()
-    ranked = search.rank_symbols(search.chunk_hits(q, chunks, 20), chunks, symbols, 10)
+    q, vectors = _ask_inputs(t)
+    ranked = search.rank_symbols(search.chunk_hits(q, vectors, 20), _ask_chunks(t), _ask_symbols(t), 10)
     return ranked.withColumn("score", F.round("score", 5))
 
 
+def _answers(t):
+    q, vectors = _ask_inputs(t)
+    table = _ask_symbols(t).select("name", "file", F.lit("struct").alias("kind"), F.concat(F.lit("in "), "file").alias("summary"))
+    return search.answer_questions(q, vectors.join(_ask_chunks(t), "chunk_key"), table, 10)
+
+
+@query("ask_files", f"WITH {_ASK_RANK} SELECT DISTINCT question, file FROM k WHERE rank <= 10")
+def ask_files(t):
+    """Q5: files of the answer to each question."""
+    return _answers(t)["files"]
+
+
+@query("ask_examples", f"""WITH {_ASK_RANK}, b AS (SELECT question, source AS file, arg_min(text, rank) AS text FROM h JOIN documents ON doc_id = chunk WHERE rank <= 20 GROUP BY question, source)
+SELECT question, rank, symbol, sha256(text) AS digest, 'in ' || file AS explanation FROM k JOIN b USING (question, file) WHERE rank <= 3""")
+def ask_examples(t):
+    """Q5: code examples of the answer, the best text of each file by its digest."""
+    shown = _answers(t)["examples"]
+    return shown.select("question", "rank", "symbol", F.sha2("code", 256).alias("digest"), "explanation")
+
+
 _TASK_SQL = f"""{_S}, tk AS (SELECT 'improve_search' AS task, file || ':' || chunk AS reference FROM s WHERE kind = 'function' AND (contains(name, 'search') OR contains(name, 'query') OR contains(name, 'find'))
 UNION ALL SELECT 'add_cli_command', file || ':' || chunk FROM s WHERE kind IN ('enum', 'struct') AND (contains(lower(name), 'command') OR contains(lower(name), 'cli') OR contains(lower(name), 'args'))
 UNION ALL SELECT 'modify_rpc_handler', file || ':' || chunk FROM s WHERE kind = 'function' AND (contains(name, 'handle_') OR contains(name, 'process_') OR contains(lower(name), 'server'))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom import rules
 from codeloom.functions import text as tx
 from codeloom.functions.paths import any_of
-from codeloom.operators import graph, similarity
+from codeloom.operators import graph, retrieval
 from codeloom.session import cut_lineage
 
 
@@ -93,8 +93,8 @@ def list_symbols(table: DataFrame, pattern: str | None = None, limit: int = 100)
 # --- questions ----------------------------------------------------------------
 def chunk_hits(questions: DataFrame, chunks: DataFrame, n: int, question_id: str = "question_id",
                chunk_key: str = "chunk_key") -> DataFrame:
-    """n best chunks of every question by vector: (question, chunk, score, rank)."""
-    hits = similarity.top_k(questions, chunks, n, query_id=question_id, base_id=chunk_key)
+    """n best chunks of every question by vector: (question, chunk, score, rank); one scan of the chunks' vectors."""
+    hits = retrieval.best_rows(questions, chunks, n, question_id, chunk_key)
     return hits.select(F.col("src").alias("question"), F.col("dst").alias("chunk"), "score", "rank")
 
 
