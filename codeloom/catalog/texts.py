@@ -429,7 +429,7 @@ def ask_rank(t):
 def _answers(t):
     q, vectors = _ask_inputs(t)
     table = _ask_symbols(t).select("name", "file", F.lit("struct").alias("kind"), F.concat(F.lit("in "), "file").alias("summary"))
-    return search.answer_questions(q, vectors.join(_ask_chunks(t), "chunk_key"), table, 10)
+    return search.answer_questions(q, _ask_chunks(t), table, 10, vectors=vectors)
 
 
 @query("ask_files", f"WITH {_ASK_RANK} SELECT DISTINCT question, file FROM k WHERE rank <= 10")

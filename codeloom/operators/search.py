@@ -112,18 +112,18 @@ def rank_symbols(hits: DataFrame, chunk_files: DataFrame, symbols: DataFrame, n:
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
 
 
-def answer_questions(questions: DataFrame, chunks: DataFrame, table: DataFrame, limit: int = 10,
-                     examples: int = 3) -> dict[str, DataFrame]:
+def answer_questions(questions: DataFrame, chunks: DataFrame, table: DataFrame, limit: int = 10, examples: int = 3,
+                     vectors: DataFrame | None = None) -> dict[str, DataFrame]:
     """Retrieval for a table of questions (question_id, embedding).
 
-    chunks: chunk_key, file, text, embedding. Returns the ranked symbols, the
-    distinct files and up to three code examples per question.
+    chunks: chunk_key, file, text, embedding; the embedding may lie in a table ``vectors`` (chunk_key, embedding) instead,
+    which is then read by the scan alone. Returns the ranked symbols, the distinct files and up to three code examples per question.
     """
     # a name stands for one symbol of each file that has it
     table = table.groupBy("name", "file").agg(F.min_by(F.struct("kind", "summary"), F.struct("kind", "summary")).alias("r")).select(
         "name", "file", "r.*")
     # three outputs read the hits
-    hits = cut_lineage(chunk_hits(questions, chunks, limit * 2))
+    hits = cut_lineage(chunk_hits(questions, chunks if vectors is None else vectors, limit * 2))
     ranked = rank_symbols(hits, chunks, table, limit)
     info = table.select(F.col("name").alias("symbol"), "kind", "file", "summary")
     symbols = cut_lineage(ranked.join(info, ["symbol", "file"]))
