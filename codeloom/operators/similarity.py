@@ -145,7 +145,7 @@ def _visits(df: DataFrame, cells: Cells, self_join: bool, theta: float | None) -
                 names=["id", "vec", "home", "cells"])
 
     vec_type = df.schema["vec"].dataType.simpleString()
-    return df.mapInArrow(visit, f"id {cells.id_type}, vec {vec_type}, home int, cells array<int>")
+    return df.mapInArrow(visit, f"id {df.schema['id'].dataType.simpleString()}, vec {vec_type}, home int, cells array<int>")
 
 
 def _lookup(values: list[int], index) -> F.Column:

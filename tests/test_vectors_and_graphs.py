@@ -175,3 +175,14 @@ def test_class_graph_equals_the_graph_of_all_rows(spark):
     assert found == {r.node: r.community for r in graph.louvain(every).collect()} and len(set(found.values())) == 3
     q = graph.modularity(every, spread).first()[0]
     assert abs(q - graph.class_modularity(links, by_class).first()[0]) < 1e-9 and q > 0.5
+
+def test_queries_of_another_id_type_visit_cells(spark):
+    """Ids of queries are text, those of the base numbers, and there are several cells."""
+    rng = np.random.default_rng(5)
+    unit = lambda n: (x := rng.normal(size=(n, 8))) / np.linalg.norm(x, axis=1)[:, None]
+    q, b = unit(20), unit(300)
+    queries = spark.createDataFrame([(f"s{i}", v.tolist()) for i, v in enumerate(q)], "symbol string, embedding array<double>")
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)], "vec_id long, embedding array<double>")
+    found = similarity.top_k(queries, base, 3, query_id="symbol", cell_rows=50).collect()
+    want = {(f"s{i}", int(j)) for i, row in enumerate(np.round(q @ b.T, 9)) for j in np.argsort(-row, kind="stable")[:3]}
+    assert {(r["src"], r["dst"]) for r in found} == want
