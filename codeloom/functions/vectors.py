@@ -31,6 +31,12 @@ def l2_normalise(v: Column) -> Column:
     return F.when(length > 1e-12, F.transform(as_double(v), lambda x: x / length)).otherwise(as_double(v))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` rounded as SQL engines do it: what rounds to zero from below keeps its sign."""
+    value = F.round(x, digits)
+    return F.when((value == 0) & (x < 0), F.lit(-0.0)).otherwise(value)
+
+
 def cosine(a: Column, b: Column) -> Column:
     lengths = norm(a) * norm(b)
     return F.when(lengths > 0, dot(a, b) / lengths).otherwise(F.lit(0.0))

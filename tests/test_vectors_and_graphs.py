@@ -186,3 +186,13 @@ def test_queries_of_another_id_type_visit_cells(spark):
     found = similarity.top_k(queries, base, 3, query_id="symbol", cell_rows=50).collect()
     want = {(f"s{i}", int(j)) for i, row in enumerate(np.round(q @ b.T, 9)) for j in np.argsort(-row, kind="stable")[:3]}
     assert {(r["src"], r["dst"]) for r in found} == want
+
+
+def test_normalise_keeps_the_sign_of_what_rounds_to_zero(spark, tmp_path):
+    """SQL rounds a tiny negative component to -0.0."""
+    from codeloom import catalog
+
+    rows = [(0, [1.0, -1e-8]), (1, [1.0, 1e-8]), (2, [0.0, 3.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    units = {r["vec_id"]: str(r["unit"]) for r in catalog.queries()["normalise"](spark, str(tmp_path)).collect()}
+    assert units == {0: "[1.0, -0.0]", 1: "[1.0, 0.0]", 2: "[0.0, 1.0]"}
