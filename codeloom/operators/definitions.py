@@ -1,18 +1,21 @@
-"""Definitions of Rust sources as a job over the line table.
+"""Definitions of Rust sources.
 
-Rules are regular expressions per kind; spans come from the running brace depth
-and a window per (file, depth). Every window is inside one file, whose lines
-came out of one row. No pair of definitions is ever formed: parents and ends
-are found by ordered windows, so a file with many definitions stays linear.
+Rules are regular expressions per kind; spans come from the running brace depth.
+One scan of a file's lines inside its row finds headers, parents and ends, so
+lines are never shuffled or sorted; names, parameters and the other parts are
+columns over the definitions found.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as tx
-from codeloom.functions.code_mask import masked
+from codeloom.functions.code_mask import mask_source, masked
 
 VIS = r"(?:pub(?:\([^)]*\))?\s+)?"
 
@@ -41,6 +44,132 @@ def _match(line: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(line, "^" + pattern, 1), F.lit(""))
 
 
+# --- one scan of a file's lines -------------------------------------------------
+_RULES = [(kind, re.compile(pattern, re.A)) for kind, pattern in DEFINITION_RULES]
+_ENDS_HEADER = re.compile(r"\{|;\s*$", re.A)
+_CLOSES = re.compile(r"\}|;\s*$", re.A)
+_IMPL_HEAD = re.compile(r"^(?:unsafe\s+)?impl\s*(?:<[^{]*?>)?\s+", re.A)
+_IMPL_TAIL = re.compile(r"\s*(?:where\b.*|\{.*)$", re.A)
+_IMPL_TRAIT = re.compile(r"^(.*)\s+for\s+", re.A)
+_UPTO_FOR = re.compile(r"^.*\bfor\s+", re.A)
+_NEWLINE = re.compile("\r?\n")
+
+_LINE = pa.schema([
+    ("path", pa.string()), ("line_no", pa.int32()), ("line", pa.string()), ("code", pa.string()), ("shown", pa.string()),
+    ("offset", pa.int64()), ("depth", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("impl_target", pa.string()),
+    ("trait_impl", pa.string()), ("doc_lines", pa.list_(pa.string())), ("attributes", pa.list_(pa.string())), ("header", pa.string()),
+    ("parent", pa.struct([("level", pa.int64()), ("name", pa.string()), ("kind", pa.string())])),
+    ("stop", pa.struct([("row", pa.int32()), ("byte", pa.int64())]))])
+_LINE_TYPE = ("path string, line_no int, line string, code string, shown string, offset bigint, depth bigint, kind string, name string, "
+              "impl_target string, trait_impl string, doc_lines array<string>, attributes array<string>, header string, "
+              "parent struct<level: bigint, name: string, kind: string>, stop struct<row: int, byte: bigint>")
+BATCH_LINES = 20_000
+
+
+def _split(text: str) -> list[str]:
+    if text == "":
+        return []
+    return _NEWLINE.split(text[:-2] if text.endswith("\r\n") else text[:-1] if text.endswith("\n") else text)
+
+
+def _start(shown: str) -> tuple[str | None, str | None]:
+    """Kind and name of the definition a line opens, if any, by the plain rules."""
+    for kind, rule in _RULES:
+        if hit := rule.match(shown):
+            return kind, hit[1].strip(tx.WHITE) or None
+    return None, None
+
+
+def _impl_names(shown: str) -> tuple[str, str | None]:
+    bare = _IMPL_TAIL.sub("", _IMPL_HEAD.sub("", shown))
+    trait = _IMPL_TRAIT.match(bare)
+    return _UPTO_FOR.sub("", bare).strip(tx.WHITE), (trait[1].strip(tx.WHITE) or None) if trait else None
+
+
+def _live_lines(content: str):
+    """Lines that can define something, in order, with the doc and attribute lines directly above (blank lines skipped).
+
+    ``code`` is the line without comments and what literals hold, ``shown`` the same trimmed: only they are matched and
+    counted. ``depth`` and ``after`` are the open braces before and behind the line.
+    """
+    offset = after = 0
+    docs, attributes = [], []
+    for number, (line, code) in enumerate(zip(_split(content), _split(mask_source(content)))):
+        shown, depth, begin = code.strip(tx.WHITE), after, offset
+        opened = code.count("{")
+        after += opened - code.count("}")
+        offset += len(line.encode()) + 1
+        if shown.startswith(("///", "//!")):
+            docs.append(line.strip(tx.WHITE))
+        elif shown.startswith("#["):
+            attributes.append(line.strip(tx.WHITE))
+        elif line.strip(tx.WHITE):
+            yield {"line_no": number, "line": line, "code": code, "shown": shown, "offset": begin, "depth": depth, "after": after,
+                   "opened": opened, "doc_lines": docs, "attributes": attributes}
+            docs, attributes = [], []
+
+
+def _scan(content: str) -> list[dict]:
+    """Lines that open a definition or stand directly in a struct or enum, with header, parent and end.
+
+    The header goes from the first line to the first ``{`` or ``;``; it is the first line alone if there is none. The parent
+    is the container opened last at the deepest level around the line; the end is the first later line that returns to the
+    depth and closes something.
+    """
+    rows = list(_live_lines(content))
+    last, parts, around = None, [], {}
+    for row in rows:
+        shown, depth = row["shown"], row["depth"]
+        row["kind"], row["name"] = kind, name = _start(shown)
+        row["impl_target"], row["trait_impl"] = _impl_names(shown) if kind == "impl" else (None, None)
+        row["header"] = row["parent"] = None
+        if kind is not None:
+            last, parts = row, []
+            row["header"] = shown
+        if last is not None:
+            parts.append(shown)
+            if _ENDS_HEADER.search(row["code"]):
+                last["header"], last = " ".join(parts), None
+        for level in range(depth - 1, -1, -1):
+            if (found := around.get(level)) and found["kind"] in CONTAINERS:
+                row["parent"] = found
+                break
+        if kind in CONTAINERS or row["opened"] > 0:
+            name = row["impl_target"] if row["impl_target"] is not None else name
+            around[depth] = {"level": depth, "name": name, "kind": kind if kind in CONTAINERS else "other"}
+    ends, kept = {}, []
+    for row in reversed(rows):
+        if _CLOSES.search(row["code"]):
+            code = row["code"].rstrip(" \t\n\x0b\f\r")
+            ends[row["after"]] = {"row": row["line_no"], "byte": row["offset"] + len(row["line"][:len(code)].encode())}
+        row["stop"] = ends.get(max(row["depth"], 0))
+        parent = row["parent"]
+        if row["kind"] is not None or (parent is not None and parent["level"] == row["depth"] - 1 and parent["kind"] in ("struct", "enum")):
+            kept.append(row)
+    return kept[::-1]
+
+
+def _lines(files: DataFrame) -> DataFrame:
+    """``_scan`` of every file (path, content): one pass over its lines inside the row, without a shuffle."""
+    def table(found):
+        return pa.RecordBatch.from_pylist(found, schema=_LINE)
+
+    def run(batches):
+        found = []
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for row in _scan(content) if content is not None else ():
+                    found.append(row | {"path": path})
+                    if len(found) >= BATCH_LINES:
+                        yield table(found)
+                        found = []
+        if found:
+            yield table(found)
+
+    return files.mapInArrow(run, _LINE_TYPE)
+
+
+# --- the same by windows over the line table: tests compare the scan with it --------
 def _depth_table(files: DataFrame) -> DataFrame:
     """Line table with byte offsets, brace depth before and after, and line class.
 
@@ -177,20 +306,11 @@ def _parameters(header: Column) -> Column:
 def definitions(files: DataFrame) -> DataFrame:
     """Definition table of all ``.rs`` files: kind, name, span, docs, attributes, parent."""
     sources = files.filter(F.col("path").endswith(".rs")).select("path", "content")
-    rows = _starts(_depth_table(sources))
+    rows = _lines(sources)
     is_impl = F.col("kind") == "impl"
-    bare_impl = F.regexp_replace(F.col("shown"), r"^(?:unsafe\s+)?impl\s*(?:<[^{]*?>)?\s+", "")
-    bare_impl = F.regexp_replace(bare_impl, r"\s*(?:where\b.*|\{.*)$", "")
-    target = tx.trim(F.regexp_replace(bare_impl, r"^.*\bfor\s+", ""))
-    trait = F.nullif(tx.trim(F.regexp_extract(bare_impl, r"^(.*)\s+for\s+", 1)), F.lit(""))
-    rows = (rows.withColumn("impl_target", F.when(is_impl, target))
-            .withColumn("trait_impl", F.when(is_impl, trait)))
-
-    rows = _add_nesting(_add_header(_add_lead(rows)))
     member_of = lambda kind: (F.col("parent.kind") == kind) & (F.col("parent.level") == F.col("depth") - 1)
-    live = F.col("line_class") == "stop"
-    is_field = F.col("kind").isNull() & live & member_of("struct") & F.col("shown").rlike("^" + FIELD_RULE)
-    is_variant = F.col("kind").isNull() & live & member_of("enum") & F.col("shown").rlike("^" + VARIANT_RULE)
+    is_field = F.col("kind").isNull() & member_of("struct") & F.col("shown").rlike("^" + FIELD_RULE)
+    is_variant = F.col("kind").isNull() & member_of("enum") & F.col("shown").rlike("^" + VARIANT_RULE)
     kind = (F.when(is_field, "field").when(is_variant, "variant")
             .when((F.col("kind") == "type_alias") & member_of("trait"), "associated_type").otherwise(F.col("kind")))
     name = (F.when(is_field, _match(F.col("shown"), FIELD_RULE))
@@ -271,7 +391,8 @@ def definition_chunks(files: DataFrame, symbols: DataFrame) -> DataFrame:
                         F.concat(label, F.lit(":"), "start", F.lit("-"), "end").alias("chunk_id"))
     # spans of one file
     listed = spans.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end", "chunk_id"))).alias("spans"))
-    texts = files.filter(F.col("path").endswith(".rs")).select("path", "content").join(listed, "path", "left")
+    # the planner sees the size of compressed tables, not of texts or lists made from them: never broadcast these
+    texts = files.filter(F.col("path").endswith(".rs")).select("path", "content").join(listed.hint("merge"), "path", "left")
     full = F.array(F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"),
                             F.lit("full").alias("chunk_id")))
     out = texts.select("path", "content", F.posexplode(F.coalesce("spans", full)).alias("ord", "s"))

@@ -214,3 +214,43 @@ def test_a_large_file_without_braces_stays_small(spark):
     rows = d._add_header(d._add_lead(d._starts(d._depth_table(spark.createDataFrame([("big.rs", text)], "path string, content string")))))
     sizes = rows.selectExpr("sum(length(coalesce(header, ''))) h", "sum(size(doc_lines)) n", "count(*) c").first()
     assert sizes.h < 100 and sizes.n == 4000 and sizes.c == 150_001
+
+
+_ODD = ["", "\n", "fn a() {}\r\n}\r\n}\nfn b();", "impl<T: A> X<T> for Y<T>\nwhere T: B\n{\n  fn f(&self)\n    -> u8 {\n 1 }\n}\n",
+        "struct S {\n  /// d\n\n  #[a]\n  pub x: i32, // {\n  y: \"}\",\n}\nenum E { A,\n  B(u8),\n  C = 1,\n}\n}}\nconst Z: u8 = 1;\n",
+        "mod m {\n  trait T {\n    type N;\n    fn g(\n      &self);\n  }\n}\nfn open(\n/* { */ 'a'\nx = 1", "unsafe impl Send for é {}\n  pub(crate) const fn ü() {}\nmacro_rules! m {\n () => {};\n}\nuse a::{b,\n c};"]
+
+
+def test_scan_equals_windows_over_lines(spark):
+    from codeloom.operators import definitions as d
+
+    files = spark.createDataFrame([(f"f{i}.rs", t) for i, t in enumerate([*_ODD, "\n".join(_ODD)])], "path string, content string")
+    rows = d._starts(d._depth_table(files))
+    names = [d._impl_names(r.shown) if r.kind == "impl" else (None, None) for r in rows.select("shown", "kind").distinct().collect()]
+    assert any(n[1] for n in names)
+    is_impl = F.col("kind") == "impl"
+    bare = F.regexp_replace(F.regexp_replace("shown", r"^(?:unsafe\s+)?impl\s*(?:<[^{]*?>)?\s+", ""), r"\s*(?:where\b.*|\{.*)$", "")
+    rows = rows.withColumn("impl_target", F.when(is_impl, tx.trim(F.regexp_replace(bare, r"^.*\bfor\s+", ""))))
+    rows = d._add_nesting(d._add_header(d._add_lead(rows)))
+    inside = (F.col("parent.level") == F.col("depth") - 1) & F.col("parent.kind").isin("struct", "enum")
+    rows = rows.filter(F.col("kind").isNotNull() | inside)
+    shown = ["path", "line_no", "line", "code", "shown", "offset", "depth", "kind", "name", "impl_target", "doc_lines", "attributes", "header", "parent", "stop"]
+    assert sorted(map(str, d._lines(files).select(*shown).collect())) == sorted(map(str, rows.select(*shown).collect()))
+
+
+def test_texts_are_never_broadcast(spark):
+    """The planner knows the size of compressed tables, not of texts and lists made from them."""
+    from codeloom.operators import definitions as d, search
+
+    files = spark.createDataFrame([("a.rs", "fn a() {}")], "path string, content string")
+    syms = d.definitions(files)
+    plans = [d.definition_chunks(files, syms), search.symbol_sources(search.symbol_table(syms), files)]
+    assert all("BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() for df in plans)
+
+
+def test_symbols_are_derived_once(spark):
+    from codeloom.operators import definitions as d, docs, edges
+
+    syms = d.definitions(spark.createDataFrame([("a.rs", "fn a() {}")], "path string, content string"))
+    for df in (edges.symbol_edges(syms), docs.struct_members(syms)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") <= 1
