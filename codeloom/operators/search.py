@@ -236,7 +236,8 @@ def symbol_sources(table: DataFrame, files: DataFrame) -> DataFrame:
     numeric = F.col("chunk").rlike("^[0-9]+-[0-9]+$")
     at = lambda i: F.when(numeric, span[i]).cast("bigint")
     text = F.when(numeric, tx.source_span(F.col("content"), at(0), at(1))).otherwise(F.col("content"))
-    return (table.join(files.select(F.col("path").alias("file"), "content"), "file")
+    # the planner sees the size of compressed tables, not of texts made from them: never broadcast these
+    return (table.join(files.select(F.col("path").alias("file"), "content").hint("merge"), "file")
             .select(F.col("name").alias("symbol"), "file", F.col("chunk").alias("chunk_range"), text.alias("content")))
 
 
