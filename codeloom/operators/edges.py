@@ -63,12 +63,14 @@ def symbol_edges(symbols: DataFrame) -> DataFrame:
     """Child to parent, parent to field and variant, impl to its trait."""
     path = F.col("path")
     own, parent = symbol_id(path, F.col("name")), symbol_id(path, F.col("parent"))
-    has_parent = symbols.filter(F.col("parent").isNotNull())
-    members = has_parent.filter(F.col("kind").isin("field", "variant"))
-    impls = symbols.filter((F.col("kind") == "impl") & F.col("trait_impl").isNotNull())
-    return (_edge(has_parent, own, parent, rules.SYMBOL_TO_SYMBOL)
-            .unionByName(_edge(members, parent, own, rules.SYMBOL_TO_SYMBOL))
-            .unionByName(_edge(impls, own, symbol_id(path, F.col("trait_impl")), rules.SYMBOL_TO_SYMBOL)))
+    has_parent, is_impl = F.col("parent").isNotNull(), (F.col("kind") == "impl") & F.col("trait_impl").isNotNull()
+    edge = lambda src, dst: F.struct(src.alias("src"), dst.alias("dst"))
+    # in one pass, so that symbols are derived once
+    found = F.array(F.when(has_parent, edge(own, parent)),
+                    F.when(has_parent & F.col("kind").isin("field", "variant"), edge(parent, own)),
+                    F.when(is_impl, edge(own, symbol_id(path, F.col("trait_impl")))))
+    rows = symbols.select(F.explode(F.filter(found, lambda e: e.isNotNull())).alias("e"))
+    return _edge(rows, F.col("e.src"), F.col("e.dst"), rules.SYMBOL_TO_SYMBOL)
 
 
 def file_edges(files: DataFrame) -> DataFrame:
