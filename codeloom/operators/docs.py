@@ -13,6 +13,7 @@ from codeloom import rules
 from codeloom.functions import paths
 from codeloom.functions import text as tx
 from codeloom.operators import graph, lines
+from codeloom.session import cut_lineage
 
 ROOT = "<root>"
 _LONG = "bigint"
@@ -140,8 +141,10 @@ def struct_members(symbols: DataFrame) -> DataFrame:
     """Fields, methods and trait impls of every struct: (path, struct, role, member).
 
     Impl names contain the struct's name as a word: the words of each impl are
-    exploded and joined by equality within the file.
+    exploded and joined by equality within the file. Symbols are written once, so
+    that the three branches do not derive them again.
     """
+    symbols = cut_lineage(symbols.select("path", "kind", "name", "parent", "trait_impl"))
     structs = symbols.filter(F.col("kind") == "struct").select("path", F.col("name").alias("struct")).distinct()
     by_parent = symbols.filter(F.col("kind").isin("field", "function") & F.col("parent").isNotNull()).select(
         "path", F.col("parent").alias("struct"),
