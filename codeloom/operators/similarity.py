@@ -6,7 +6,9 @@ Spark partitions the work; numpy multiplies two bounded blocks inside a task.
   The triangle inequality on angles says which other cells can hold a partner
   within the threshold; a vector visits only those. No pair is lost and no
   limit on partners is set.
-* A cell is cut into blocks of bounded size by a hash of the id, however many
+* Cells are drawn together to groups of about one block, and a vector that visits
+  several cells of a group goes there once: small cells cost no copies.
+* A group is cut into blocks of bounded size by a hash of the id, however many
   rows it holds, so a hot cell becomes more tiles and never a bigger one.
 * Exact copies are joined once (``distinct_vectors``): a group of copies never
   meets itself pair by pair.
@@ -31,6 +33,8 @@ from codeloom.session import cut_lineage
 MAX_PIVOTS = 1024
 CELL_ROWS = 50_000
 MIN_BLOCK, MAX_BLOCK = 256, 4096
+MAX_TOP_BLOCK = 32_768  # a tile of top_k gives k rows a query, one of similar_pairs up to all pairs
+STRIPE = 1 << 22  # scores a kernel holds at once
 SLACK = 1e-6  # added to angle bounds against rounding
 SCORE_DIGITS = 9  # scores are rounded before ranking, so equal vectors tie
 
@@ -50,10 +54,15 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Cells:
-    """Pivots with the radius and row count of their cells; at most MAX_PIVOTS rows."""
+    """Pivots with the radius and row count of their cells; at most MAX_PIVOTS rows.
+
+    ``group`` numbers neighbouring cells of together about one block alike, ``count`` has the rows of a group.
+    """
 
     pivots: np.ndarray
     radius: np.ndarray
+    occupied: np.ndarray
+    group: np.ndarray
     count: np.ndarray
     block: int
     id_type: str
@@ -95,31 +104,36 @@ def _home(df: DataFrame, pivots: np.ndarray, id_type: str) -> DataFrame:
     return df.select("vec").mapInArrow(assign, "home int, angle double")
 
 
-def build_cells(base: DataFrame, prune: bool = True, cell_rows: int = CELL_ROWS) -> Cells:
+def build_cells(base: DataFrame, prune: bool = True, cell_rows: int = CELL_ROWS, max_block: int = MAX_BLOCK) -> Cells:
     """Choose pivots and measure cells of ``base`` (id, vec).
 
     The driver receives at most MAX_PIVOTS vectors and as many summary rows.
     """
     id_type = base.schema["id"].dataType.simpleString()
     n = base.count()
-    block = int(min(MAX_BLOCK, max(MIN_BLOCK, math.ceil(n / 4))))
+    block = int(min(max_block, max(MIN_BLOCK, math.ceil(n / 4))))
     wanted = min(MAX_PIVOTS, math.ceil(n / cell_rows)) if prune else 1
     if wanted <= 1:
-        return Cells(np.zeros((1, 1)), np.array([math.pi]), np.array([n]), block, id_type)
+        return Cells(np.zeros((1, 1)), np.array([math.pi]), np.array([n > 0]), np.zeros(1, np.int64), np.array([n]), block, id_type)
     picked = base.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()
     pivots = np.array([row["vec"] for row in picked], dtype=np.float64)
     radius, count = np.zeros(wanted), np.zeros(wanted, dtype=np.int64)
     for row in _home(base, pivots, id_type).groupBy("home").agg(F.max("angle").alias("r"), F.count("*").alias("n")).collect():
         radius[row["home"]], count[row["home"]] = row["r"], row["n"]
-    return Cells(pivots, radius, count, block, id_type)
+    order = np.argsort(_angles(pivots, pivots[:1])[:, 0], kind="stable")
+    pivots, radius, count = pivots[order], radius[order], count[order]
+    group = np.maximum(np.cumsum(count) - 1, 0) // block
+    group = np.unique(group, return_inverse=True)[1]
+    return Cells(pivots, radius, count > 0, group, np.bincount(group, weights=count).astype(np.int64), block, id_type)
 
 
 def _visits(df: DataFrame, cells: Cells, self_join: bool, theta: float | None) -> DataFrame:
-    """(id, vec, home, cells to visit) for rows (id, vec[, theta])."""
+    """(id, vec, home, cells to visit) for rows (id, vec[, theta]); both name groups of cells."""
     if cells.single:
         return df.select("id", "vec", F.lit(0).alias("home"),
                          (F.array().cast("array<int>") if self_join else F.array(F.lit(0))).alias("cells"))
-    pivots, radius, occupied = cells.pivots, cells.radius, cells.count > 0
+    pivots, radius, occupied, group = cells.pivots, cells.radius, cells.occupied, cells.group
+    firsts = np.searchsorted(group, np.arange(group[-1] + 1))
     per_row = theta is None
 
     def visit(batches):
@@ -136,6 +150,9 @@ def _visits(df: DataFrame, cells: Cells, self_join: bool, theta: float | None) -
                 # both vectors sit in their nearest cell, hence the second bound
                 reach &= angles <= own + 2 * limit + SLACK
                 reach &= np.arange(len(pivots))[None, :] > home[:, None]
+            reach, home = np.logical_or.reduceat(reach, firsts, axis=1), group[home]
+            if self_join:
+                reach &= np.arange(len(firsts))[None, :] > home[:, None]
             rows, cols = np.nonzero(reach)
             offsets = np.zeros(len(home) + 1, dtype=np.int32)
             np.cumsum(np.bincount(rows, minlength=len(home)), out=offsets[1:])
@@ -180,6 +197,13 @@ def _score(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return a @ b.T
 
 
+def _stripes(x: np.ndarray, y: np.ndarray, metric: str):
+    """(first row, scores) of as many rows of ``x`` at a time as a bounded table holds."""
+    step = max(1, STRIPE // len(y))
+    for begin in range(0, len(x), step):
+        yield begin, _score(x[begin:begin + step], y, metric)
+
+
 def similar_pairs(df: DataFrame, threshold: float, vec_id: str = "vec_id", vector: str = "embedding",
                   metric: str = "dot", cell_rows: int = CELL_ROWS) -> DataFrame:
     """All pairs ``src < dst`` with score >= threshold; (src, dst, score).
@@ -226,9 +250,14 @@ def similar_pairs(df: DataFrame, threshold: float, vec_id: str = "vec_id", vecto
     def kernel(key, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return empty
-        table = np.round(_score(_matrix(a.column("vec")), _matrix(b.column("rvec")), metric), SCORE_DIGITS)
-        i, j = np.nonzero(table >= threshold)
-        scores = table[i, j]
+        x, y, found = _matrix(a.column("vec")), _matrix(b.column("rvec")), []
+        for begin, rough in _stripes(x, y, metric):
+            # only what can reach the threshold is rounded
+            i, j = np.nonzero(rough >= threshold - 10.0 ** -SCORE_DIGITS)
+            scores = np.round(rough[i, j], SCORE_DIGITS)
+            keep = scores >= threshold
+            found.append((i[keep] + begin, j[keep], scores[keep]))
+        i, j, scores = (np.concatenate(part) for part in zip(*found))
         p, q = a.column("id").take(pa.array(i)), b.column("rid").take(pa.array(j))
         smaller = pc.less(p, q)
         out = pa.table({"src": pc.if_else(smaller, p, q), "dst": pc.if_else(smaller, q, p), "score": pa.array(scores)})
@@ -279,19 +308,31 @@ def _top_tiles(queries: DataFrame, base: DataFrame, cells: Cells, k: int, floor:
         if not a.num_rows or not b.num_rows:
             return empty
         b = b.take(pc.sort_indices(b, sort_keys=[("rid", "ascending")]))
-        table = np.round(_score(_matrix(a.column("vec")), _matrix(b.column("rvec")), metric), SCORE_DIGITS)
-        keep = np.ones(table.shape, dtype=bool) if floor is None else table >= floor
-        if mode != "cross":
-            p = a.column("id").to_numpy()
-            q = b.column("rid").to_numpy()
-            keep &= (q[None, :] > p[:, None]) if mode == "upper" else (q[None, :] != p[:, None])
-        table = np.where(keep, table, -np.inf)
-        # columns are in id order and the sort is stable: ties go to the smaller id
-        order = np.argsort(-table, axis=1, kind="stable")[:, :k]
-        best = np.take_along_axis(table, order, axis=1)
-        rows, cols = np.nonzero(best > -np.inf)
-        return pa.table({"src": a.column("id").take(pa.array(rows)), "dst": b.column("rid").take(pa.array(order[rows, cols])),
-                         "score": pa.array(best[rows, cols])})
+        x, y, found = _matrix(a.column("vec")), _matrix(b.column("rvec")), []
+        p, q = a.column("id").to_numpy(), b.column("rid").to_numpy()
+        odd = not (np.isfinite(x).all() and np.isfinite(y).all())
+        for begin, table in _stripes(x, y, metric):
+            if odd:
+                table[np.isnan(table)] = -np.inf
+            if mode == "upper":
+                table[q[None, :] <= p[begin:begin + len(table), None]] = -np.inf
+            elif mode == "full":
+                table[q[None, :] == p[begin:begin + len(table), None]] = -np.inf
+            # candidates are all that may still tie with the k-th best once rounded
+            least = np.partition(table, -k, axis=1)[:, -k] if k < table.shape[1] else np.full(len(table), -np.inf)
+            if floor is not None:
+                least = np.maximum(least, floor)
+            i, j = np.nonzero((table >= least[:, None] - 10.0 ** -SCORE_DIGITS) & (table > -np.inf))
+            scores = np.round(table[i, j], SCORE_DIGITS)
+            if floor is not None:
+                i, j, scores = i[scores >= floor], j[scores >= floor], scores[scores >= floor]
+            # columns are in id order: ties go to the smaller id
+            order = np.lexsort((j, -scores, i))
+            i, j, scores = i[order], j[order], scores[order]
+            best = np.arange(len(i)) - np.searchsorted(i, i) < k
+            found.append((i[best] + begin, j[best], scores[best]))
+        i, j, scores = (np.concatenate(part) for part in zip(*found))
+        return pa.table({"src": a.column("id").take(pa.array(i)), "dst": b.column("rid").take(pa.array(j)), "score": pa.array(scores)})
 
     return _tile_join(left, right, kernel, f"src {src_type}, dst {cells.id_type}, score double")
 
@@ -311,7 +352,7 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, query_id: str = "vec_id",
     """
     left = _plain(queries, query_id, query_vector or vector)
     right = _plain(base, base_id, vector)
-    cells = build_cells(right, prune=metric == "dot", cell_rows=cell_rows)
+    cells = build_cells(right, prune=metric == "dot", cell_rows=cell_rows, max_block=MAX_TOP_BLOCK)
     if cells.single:
         return _rank(_top_tiles(left, right, cells, k, min_score, mode, math.pi, metric), k)
     if min_score is not None:

@@ -196,3 +196,15 @@ def test_normalise_keeps_the_sign_of_what_rounds_to_zero(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     units = {r["vec_id"]: str(r["unit"]) for r in catalog.queries()["normalise"](spark, str(tmp_path)).collect()}
     assert units == {0: "[1.0, -0.0]", 1: "[1.0, 0.0]", 2: "[0.0, 1.0]"}
+
+
+def test_small_cells_are_visited_by_groups(spark):
+    """1,600 vectors in 32 cells of 50: a row goes to groups of about a block and not to every cell."""
+    x = _clustered(n=1600)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, vec array<float>")
+    cells = similarity.build_cells(df, cell_rows=50)
+    assert len(cells.pivots) == 32 and len(cells.count) <= 1600 // cells.block + 1 and cells.count.sum() == 1600
+    sims = np.round(x.astype(np.float64) @ x.astype(np.float64).T, similarity.SCORE_DIGITS)
+    np.fill_diagonal(sims, -np.inf)
+    got = {(r.src, r["rank"]): r.dst for r in similarity.top_k(df, df, 4, query_id="id", base_id="id", vector="vec", mode="full", cell_rows=50).collect()}
+    assert got == {(i, n + 1): int(j) for i, row in enumerate(sims) for n, j in enumerate(np.argsort(-row, kind="stable")[:4])}
