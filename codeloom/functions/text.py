@@ -64,6 +64,16 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WORD_BREAK), lambda t: t != "")
 
 
+def word_pairs(text: Column) -> Column:
+    """Neighbouring words as they stand in the text, with what is between them."""
+    between = F.split(text, r"[\p{L}\p{M}\p{N}_]+", -1)
+    found = words(text)
+    n = F.greatest(F.size(found) - 1, F.lit(0))
+    # the first and last piece of ``between`` lie before and behind all words
+    ends = F.zip_with(F.slice(between, F.lit(2), n), F.slice(found, F.lit(2), n), lambda gap, word: F.concat(gap, word))
+    return F.zip_with(F.slice(found, F.lit(1), n), ends, lambda word, end: F.concat(word, end))
+
+
 def bigrams(tokens: Column) -> Column:
     n = F.size(tokens)
     heads = F.slice(tokens, F.lit(1), F.greatest(n - 1, F.lit(0)))

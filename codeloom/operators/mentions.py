@@ -18,22 +18,30 @@ EXAMPLES_PER_SYMBOL = 5
 
 def mention_pairs(chunks: DataFrame, names: DataFrame, keys=("path", "chunk_ord"), text: str = "text",
                   name: str = "name") -> DataFrame:
-    """Whole-word mentions: distinct (name, *keys)."""
+    """Whole-word mentions: distinct (name, *keys).
+
+    A name of several words is found by its first two words with what stands between them; the text is searched only if
+    the name has more than that.
+    """
     keys = list(keys)
     wanted = names.select(F.col(name).alias("name")).filter(F.col("name") != "").distinct()
     single = wanted.filter(~F.col("name").rlike(tx.WORD_BREAK))
     tokens = chunks.select(*keys, F.explode(F.array_distinct(tx.words(F.col(text)))).alias("name"))
     direct = tokens.join(single, "name")
-    # names of several words: find chunks by their longest word, then look at the text
-    parts = tx.words(F.col("name"))
-    anchor = F.array_max(F.transform(parts, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    several = wanted.filter(F.col("name").rlike(tx.WORD_BREAK)).select(
-        F.col("name").alias("full_name"), anchor.alias("name")).filter(F.col("name").isNotNull())
-    maybe = tokens.join(several, "name").select(*keys, F.col("full_name").alias("name"))
+    several = wanted.filter(F.col("name").rlike(tx.WORD_BREAK))
+    pair = tx.word_pairs(F.col("name"))
+    pairs = chunks.select(*keys, F.explode(F.array_distinct(tx.word_pairs(F.col(text)))).alias("anchor"))
+    found = pairs.join(several.select("name", F.get(pair, F.lit(0)).alias("anchor")), "anchor").select(*keys, "name", "anchor")
+    exact = found.filter(F.col("name") == F.col("anchor"))
+    # a word with marks around it is anchored by the word
+    alone = several.filter(F.size(tx.words(F.col("name"))) == 1).select(F.col("name").alias("full_name"), tx.words(F.col("name"))[0].alias("name"))
+    maybe = found.filter(F.col("name") != F.col("anchor")).select(*keys, "name").unionByName(
+        tokens.join(alone, "name").select(*keys, F.col("full_name").alias("name")))
     edge = r"[\p{L}\p{M}\p{N}_]"
     pattern = F.concat(F.lit(f"(?<!{edge})\\Q"), F.col("name"), F.lit(f"\\E(?!{edge})"))
     checked = maybe.join(chunks.select(*keys, F.col(text).alias("__text")), keys).filter(
         F.regexp_like(F.col("__text"), pattern))
+    checked = checked.select("name", *keys).unionByName(exact.select("name", *keys))
     return direct.select("name", *keys).unionByName(checked.select("name", *keys))
 
 
