@@ -89,18 +89,17 @@ def refactor_impact(edges: DataFrame, symbols: DataFrame, changes: int = 1) -> D
     """For all symbols at once: distinct symbols and files within one hop, and a confidence.
 
     Both distinct counts are taken as distinct rows first, so a hub is counted
-    by many tasks.
+    by many tasks. A symbol always affects itself and its own file, which takes
+    no rows of pairs.
     """
-    ends = edges.select("src", "dst").distinct()
-    pairs = (ends.select(F.explode(F.array(
+    pairs = edges.select(F.explode(F.array(
         F.struct(F.col("src").alias("symbol"), F.col("dst").alias("other")),
-        F.struct(F.col("dst").alias("symbol"), F.col("src").alias("other")),
-        F.struct(F.col("src").alias("symbol"), F.col("src").alias("other")),
-        F.struct(F.col("dst").alias("symbol"), F.col("dst").alias("other")))).alias("p")).select("p.*").distinct())
-    located = pairs.join(symbols.select(F.col("name").alias("other"), "file"), "other", "left")
-    n_symbols = pairs.groupBy("symbol").agg(F.count("*").alias("symbols_affected"))
-    n_files = (located.filter(F.col("file").isNotNull()).select("symbol", "file").distinct()
-               .groupBy("symbol").agg(F.count("*").alias("f")))
+        F.struct(F.col("dst").alias("symbol"), F.col("src").alias("other")))).alias("p")).select("p.*").distinct()
+    n_symbols = pairs.groupBy("symbol").agg((F.count_if(F.col("symbol") != F.col("other")) + 1).alias("symbols_affected"))
+    placed = symbols.filter(F.col("file").isNotNull())
+    located = (pairs.join(placed.select(F.col("name").alias("other"), "file"), "other").select("symbol", "file")
+               .unionByName(placed.select(F.col("name").alias("symbol"), "file")))
+    n_files = located.distinct().groupBy("symbol").agg(F.count("*").alias("f"))
     out = n_symbols.join(n_files, "symbol", "left").select(
         "symbol", "symbols_affected", F.coalesce("f", F.lit(0)).alias("files_affected"))
     return out.withColumn("confidence", refactor_confidence(
