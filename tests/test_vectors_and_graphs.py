@@ -208,3 +208,25 @@ def test_small_cells_are_visited_by_groups(spark):
     np.fill_diagonal(sims, -np.inf)
     got = {(r.src, r["rank"]): r.dst for r in similarity.top_k(df, df, 4, query_id="id", base_id="id", vector="vec", mode="full", cell_rows=50).collect()}
     assert got == {(i, n + 1): int(j) for i, row in enumerate(sims) for n, j in enumerate(np.argsort(-row, kind="stable")[:4])}
+
+
+@pytest.mark.parametrize("cell_rows", [50_000, 40])
+def test_modularity_is_summed_in_tiles(spark, vectors, cell_rows):
+    """Equal to the modularity of the pairs as rows; no tile gives more rows than its blocks have."""
+    x, df = vectors
+    sums = similarity.neighbour_sums(df, 0.8, cell_rows=cell_rows)
+    sims = np.round(x @ x.T, similarity.SCORE_DIGITS)
+    np.fill_diagonal(sims, 0.0)
+    strength = np.where(sims >= 0.8, sims, 0.0).sum(axis=1)
+    got = {r.id: r.total for r in sums.collect()}
+    assert np.allclose([got.get(i, 0.0) for i in range(len(x))], strength)
+    labelled = df.withColumn("label", F.when(F.col("vec_id") % 5 > 0, F.concat(F.lit("l"), F.col("vec_id") % 5)))
+    member = labelled.select(F.col("vec_id").alias("node"), F.col("label").alias("community"))
+    every = similarity.similar_pairs(df, 0.8).withColumnRenamed("score", "weight")
+    for adjacent in (False, True):
+        want = graph.modularity(every, member, adjacent).first()[0]
+        assert abs(graph.vector_modularity(labelled, 0.8, adjacent_only=adjacent).first()[0] - want) < 1e-9
+    reps = similarity.distinct_vectors(df, "vec_id", "embedding").withColumn("label", F.col("id") % 3)
+    links = graph.class_links(similarity.similar_pairs(reps, 0.8, vec_id="id"), reps, 0.8)
+    want = graph.class_modularity(links, reps.select(F.col("id").alias("node"), F.col("label").alias("community"))).first()[0]
+    assert abs(graph.vector_modularity(reps, 0.8, "id", copies="copies").first()[0] - want) < 1e-9
