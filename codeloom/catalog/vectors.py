@@ -277,8 +277,7 @@ k AS (SELECT src AS node, sum(score) AS k FROM w GROUP BY src), m AS (SELECT sum
 SELECT round(sum(score - ka.k * kb.k / m2) / any_value(m2), 6) AS modularity FROM w JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst JOIN k ka ON ka.node = src JOIN k kb ON kb.node = dst, m WHERE a.label = b.label""")
 def modularity_adjacent(t):
     """The form that sums the null model over adjacent pairs alone."""
-    member = t.embeddings.select(F.col("vec_id").alias("node"), F.col("label").alias("community"))
-    q = graph.modularity(pairs(t).withColumnRenamed("score", "weight"), member, adjacent_only=True)
+    q = graph.vector_modularity(t.embeddings, THRESHOLD, adjacent_only=True)
     return q.withColumn("modularity", F.round("modularity", 6))
 
 
