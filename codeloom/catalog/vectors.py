@@ -264,12 +264,10 @@ def modularity_copies(t):
     """Modularity of the labels over vectors with up to two copies each, by the graph of distinct vectors."""
     extra = [t.embeddings.filter(F.col("vec_id") % 3 < c).withColumn("vec_id", F.col("vec_id") + 1_000_000 * c) for c in (1, 2)]
     rows = t.embeddings.unionByName(extra[0]).unionByName(extra[1])
-    classes = cut_lineage(similarity.distinct_vectors(rows, "vec_id", "embedding"))
-    links = graph.class_links(similarity.similar_pairs(classes, THRESHOLD, vec_id="id"), classes, THRESHOLD)
+    classes = similarity.distinct_vectors(rows, "vec_id", "embedding")
     # equal vectors have equal labels: the smallest copy speaks for its class
-    labels = t.embeddings.select(F.col("vec_id").alias("node"), F.col("label").alias("community"))
-    member = classes.select(F.col("id").alias("node")).join(labels, "node")
-    return graph.class_modularity(links, member).withColumn("modularity", F.round("modularity", 6))
+    classes = cut_lineage(classes.join(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "id"))
+    return graph.vector_modularity(classes, THRESHOLD, "id", copies="copies").withColumn("modularity", F.round("modularity", 6))
 
 
 @query("modularity_adjacent", f"""WITH {SQL_PAIRS}, w AS (SELECT src, dst, score FROM pairs UNION ALL SELECT dst, src, score FROM pairs),
