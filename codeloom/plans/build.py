@@ -114,8 +114,7 @@ def symbol_vectors(keyed: DataFrame, placed: DataFrame) -> DataFrame:
 def clustered_nodes(nodes: DataFrame, keyed: DataFrame, placed: DataFrame) -> DataFrame:
     """Nodes with their density cluster: of chunks, and of symbols the most frequent one of their chunks with its share."""
     reps = cut_lineage(similarity.distinct_vectors(keyed, "vec_id", "embedding"))
-    close = similarity.similar_pairs(reps, 1 - CLUSTER_EPS, vec_id="id")
-    clusters = graph.density_clusters(close, reps, CLUSTER_EPS, CLUSTER_POINTS)
+    clusters = graph.vector_clusters(reps, CLUSTER_EPS, CLUSTER_POINTS)
     members = similarity.copy_members(keyed, reps, "vec_id", "embedding")
     of_chunks = cut_lineage(members.join(clusters, "id").filter(F.col("cluster").isNotNull()).select(F.col("member").alias("id"), "cluster"))
     inside = placed.select(edges.symbol_id(F.col("path"), F.col("name")).alias("symbol"),

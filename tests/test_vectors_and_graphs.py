@@ -230,3 +230,18 @@ def test_modularity_is_summed_in_tiles(spark, vectors, cell_rows):
     links = graph.class_links(similarity.similar_pairs(reps, 0.8, vec_id="id"), reps, 0.8)
     want = graph.class_modularity(links, reps.select(F.col("id").alias("node"), F.col("label").alias("community"))).first()[0]
     assert abs(graph.vector_modularity(reps, 0.8, "id", copies="copies").first()[0] - want) < 1e-9
+
+
+@pytest.mark.parametrize("cell_rows", [50_000, 40])
+def test_clusters_of_vectors_equal_clusters_of_pairs(spark, vectors, cell_rows):
+    """A tile gives a forest: fewer links than rows, the same components and border points."""
+    x, df = vectors
+    forest = similarity.similar_forest(df, 0.8, cell_rows=cell_rows)
+    every = similarity.similar_pairs(df, 0.8)
+    assert {tuple(r) for r in graph.connected_components(forest).collect()} == {tuple(r) for r in graph.connected_components(every).collect()}
+    assert forest.count() < every.count() / 2
+    reps = similarity.distinct_vectors(df, "vec_id", "embedding")
+    for eps in (0.04, 0.15):
+        pairs = similarity.similar_pairs(reps, 1 - eps, vec_id="id")
+        want = {r.id: r.cluster for r in graph.density_clusters(pairs, reps, eps, 4).collect()}
+        assert {r.id: r.cluster for r in graph.vector_clusters(reps, eps, 4).collect()} == want
