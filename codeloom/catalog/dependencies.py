@@ -73,13 +73,13 @@ _USES = " UNION ".join([
     f"SELECT {_symbol('part', 'p_partkey', 'make_')}, {_symbol('part', 'p_partkey', 'Part')}, 'uses' FROM part"])
 
 
-def _edges(t):
+def _edges(t, *kinds):
     files = cut_lineage(crate_files(t))
-    return deps.dependency_edges(files, cut_lineage(defs.definitions(files)))
+    return deps.dependency_edges(files, cut_lineage(defs.definitions(files)), kinds)
 
 
 def _of_kind(t, kind: str):
-    return _edges(t).filter(F.col("edge_type") == kind).select("src", "dst", "edge_type")
+    return _edges(t, kind).select("src", "dst", "edge_type")
 
 
 @query("import_edges", _IMPORTS)
@@ -106,6 +106,6 @@ walk(source, node, depth) AS (SELECT src, dst, 1 FROM d WHERE src LIKE '%:quote_
 SELECT source, node, min(depth) AS depth FROM walk GROUP BY source, node""")
 def dependency_closure_code(t):
     """What every quoting and ordering function depends on."""
-    edges = _edges(t)
+    edges = _edges(t, "calls", "imports", "uses")
     sources = edges.filter(F.col("src").rlike(":(quote|order)_")).select(F.col("src").alias("source")).distinct()
     return graph.reachable(edges, sources, 5, ["calls", "imports", "uses"])

@@ -7,6 +7,8 @@ has once. A name that many files define is never paired with all of them, so row
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from codeloom.operators.edges import file_id, symbol_id
 from codeloom.session import cut_lineage
 
 ROWS_PER_BIN = 64
+HOT = 10_000  # rows that ask for one key
 TYPE_KINDS = ("struct", "enum", "trait", "type_alias")
 USE = r"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);"
 CALL = r"(?:\bfn\s+|\b(?:\w+::)+|\.)?\b[A-Za-z_]\w*(?:::<[^()]*>)?\("
@@ -62,6 +65,20 @@ def use_leaves(use: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda acc: acc["leaves"])
 
 
+def _find(rows: DataFrame, known: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Inner join of ``rows`` with ``known`` by ``on`` (column of rows: column of known) for keys that very many rows ask for.
+
+    A key of more than ``HOT`` rows is looked up by broadcast, at most one for each ``HOT`` rows; so neither what all rows ask for nor
+    what nothing is known of (``i32``, say) gathers in one task.
+    """
+    asked = rows.groupBy(*[F.col(a).alias(f"hot_{b}") for a, b in on.items()]).agg(F.count("*").alias("n"))
+    hot = cut_lineage(asked.filter(F.col("n") > HOT).drop("n"))
+    known_hot = known.join(F.broadcast(hot), [known[b] == hot[f"hot_{b}"] for b in on.values()], "left_semi")
+    rest = rows.join(F.broadcast(hot), [rows[a] == hot[f"hot_{b}"] for a, b in on.items()], "left_anti")
+    match = lambda left, right: left.join(right, [F.col(a) == F.col(b) for a, b in on.items()])
+    return match(rows, F.broadcast(known_hot)).unionByName(match(rest, known))
+
+
 def import_targets(facts: DataFrame, modules: DataFrame) -> DataFrame:
     """Imports that lead to a file of the corpus: (path, visible, target, item, is_glob).
 
@@ -96,10 +113,12 @@ def import_targets(facts: DataFrame, modules: DataFrame) -> DataFrame:
     rows = rows.select("path", "alias", "name", "is_glob", F.explode(starts).alias("s")).filter("s.root IS NOT NULL AND s.least <= size(s.full)")
     rows = rows.select("path", "alias", "name", "is_glob", "s.*")
     rows = rows.withColumn("n", F.explode(F.sequence("least", F.size("full"))))
-    rows = rows.withColumn("module", F.array_join(F.slice("full", F.lit(1), F.col("n")), "::"))
-    known = modules.groupBy("root", "module").agg(F.min("path").alias("target"))
-    found = rows.join(known, ["root", "module"]).groupBy("path", "alias", "name", "is_glob").agg(
-        F.max(F.struct("rank", "n", "target", F.get("full", F.col("n")).alias("item"))).alias("best"))
+    # rows without the list they were cut from
+    rows = cut_lineage(rows.select("path", "alias", "name", "is_glob", "rank", "n", "root", F.get("full", F.col("n")).alias("item"),
+                                   F.array_join(F.slice("full", F.lit(1), F.col("n")), "::").alias("module")))
+    known = modules.groupBy(F.col("root").alias("known_root"), F.col("module").alias("known_module")).agg(F.min("path").alias("target"))
+    found = _find(rows, known, {"root": "known_root", "module": "known_module"}).groupBy("path", "alias", "name", "is_glob").agg(
+        F.max(F.struct("rank", "n", "target", "item")).alias("best"))
     return found.select("path", F.coalesce("alias", F.substring_index("name", "::", -1)).alias("visible"), "best.target", "best.item", "is_glob")
 
 
@@ -140,7 +159,8 @@ def resolve(wanted: DataFrame, known: DataFrame, targets: DataFrame) -> DataFram
     then names (with their type or module, if one is written) that are defined once in the corpus.
     """
     keys = ["path", "owner", "qualifier", "name"]
-    defined = known.select(F.col("path").alias("dst_path"), F.col("name").alias("dst"), _bare("parent").alias("parent")).distinct()
+    wanted = cut_lineage(wanted)
+    defined = cut_lineage(known.select(F.col("path").alias("dst_path"), F.col("name").alias("dst"), _bare("parent").alias("parent")).distinct())
     fits = F.col("qualifier").isNull() | (F.col("qualifier") == F.col("parent"))
     take = lambda df, rank: df.select(*keys, F.struct(F.lit(rank).alias("rank"), "dst_path", "dst").alias("hit"))
 
@@ -148,22 +168,22 @@ def resolve(wanted: DataFrame, known: DataFrame, targets: DataFrame) -> DataFram
     single, globs = targets.filter("NOT is_glob"), targets.filter("is_glob")
     named = wanted.withColumn("visible", F.coalesce("qualifier", "name")).join(single.select("path", "visible", "target", "item"), ["path", "visible"])
     named = named.withColumn("look_for", F.when(F.col("qualifier").isNull(), F.col("item")).otherwise(F.col("name")))
-    named = named.join(defined, (named["target"] == defined["dst_path"]) & (named["look_for"] == defined["dst"])).filter(
+    named = _find(cut_lineage(named), defined, {"target": "dst_path", "look_for": "dst"}).filter(
         F.when(F.col("qualifier").isNull() | F.col("item").isNull(), F.col("parent").isNull()).otherwise(F.col("parent") == F.col("item")))
     starred = wanted.join(globs.select("path", "target"), "path")
-    starred = starred.join(defined, (starred["target"] == defined["dst_path"]) & (starred["name"] == defined["dst"])).filter(
+    starred = _find(cut_lineage(starred), defined, {"target": "dst_path", "name": "dst"}).filter(
         F.col("qualifier").eqNullSafe(F.col("parent")))
     by_name = defined.groupBy("dst").agg(F.count("*").alias("n"), F.min("dst_path").alias("dst_path")).filter("n = 1")
     scope = F.coalesce("parent", F.substring_index(_module(F.col("dst_path")), "::", -1)).alias("scope")
     by_type = defined.groupBy(scope, "dst").agg(F.count("*").alias("n"), F.min("dst_path").alias("dst_path")).filter("n = 1")
-    once = wanted.filter("qualifier IS NULL").join(by_name, F.col("name") == F.col("dst"))
-    typed = wanted.filter("qualifier IS NOT NULL").join(by_type, (F.col("name") == F.col("dst")) & (F.col("qualifier") == F.col("scope")))
+    once = _find(wanted.filter("qualifier IS NULL"), by_name, {"name": "dst"})
+    typed = _find(wanted.filter("qualifier IS NOT NULL"), by_type, {"name": "dst", "qualifier": "scope"})
     hits = take(own, 3).unionByName(take(named, 2)).unionByName(take(starred, 1)).unionByName(take(once, 0)).unionByName(take(typed, 0))
     return hits.groupBy(*keys).agg(F.max("hit").alias("hit")).select("path", "owner", "hit.dst_path", "hit.dst").distinct()
 
 
-def dependency_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges ``imports`` between files, ``calls`` between functions and ``uses`` from symbols to types; no loops.
+def dependency_edges(files: DataFrame, symbols: DataFrame, kinds=(rules.IMPORTS, rules.CALLS, rules.USES)) -> DataFrame:
+    """Edges ``imports`` between files, ``calls`` between functions and ``uses`` from symbols to types, of the given kinds; no loops.
 
     Files without content, without ``use`` items or functions have no edges; an empty table gives an empty result.
     """
@@ -173,7 +193,10 @@ def dependency_edges(files: DataFrame, symbols: DataFrame) -> DataFrame:
     types = symbols.filter(F.col("kind").isin(*TYPE_KINDS)).select("path", "name", F.lit(None).cast("string").alias("parent"))
     as_edges = lambda df, kind: df.select(symbol_id(F.col("path"), F.col("owner")).alias("src"), symbol_id(F.col("dst_path"), F.col("dst")).alias("dst"),
                                           F.lit(kind).alias("edge_type"))
-    imports = targets.select(file_id(F.col("path")).alias("src"), file_id(F.col("target")).alias("dst"), F.lit(rules.IMPORTS).alias("edge_type")).distinct()
-    found = (imports.unionByName(as_edges(resolve(callers(facts, symbols), functions, targets), rules.CALLS))
-             .unionByName(as_edges(resolve(type_mentions(symbols), types, targets), rules.USES)))
+    of_kind = {
+        rules.IMPORTS: lambda: targets.select(file_id(F.col("path")).alias("src"), file_id(F.col("target")).alias("dst"),
+                                              F.lit(rules.IMPORTS).alias("edge_type")).distinct(),
+        rules.CALLS: lambda: as_edges(resolve(callers(facts, symbols), functions, targets), rules.CALLS),
+        rules.USES: lambda: as_edges(resolve(type_mentions(symbols), types, targets), rules.USES)}
+    found = functools.reduce(DataFrame.unionByName, [of_kind[kind]() for kind in kinds])
     return found.filter("src != dst").withColumn("score", F.lit(None).cast("double"))

@@ -59,3 +59,25 @@ def test_a_common_name_pairs_with_nothing(spark):
 def test_no_files(spark):
     none = tree.as_files(spark.createDataFrame([], "path string, content string"))
     assert deps.dependency_edges(none, defs.definitions(none)).count() == 0
+
+
+def test_rows_that_ask_for_one_key_are_spread(spark):
+    """50,000 files ask for one name and one that nothing defines: the first is found for all, none gathers in one task."""
+    from codeloom.operators import dependencies
+
+    names = F.explode(F.array(F.lit("i32"), F.lit("Rate")))
+    asking = spark.range(50_000).select(F.concat(F.lit("f"), "id").alias("path"), names.alias("name"))
+    known = spark.createDataFrame([("Rate", "rate.rs"), ("Fee", "fee.rs")], "dst string, dst_path string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = dependencies._find(asking, known, {"name": "dst"})
+        rows = found.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+        assert found.columns == ["path", "name", "dst", "dst_path"] and found.filter("dst_path = 'rate.rs'").count() == 50_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r["count"] for r in rows) == 50_000 and max(r["count"] for r in rows) < 25_000
