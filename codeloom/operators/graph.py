@@ -8,6 +8,8 @@ checkpoints. The driver sees only counts.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from codeloom.operators.similarity import SCORE_DIGITS, neighbour_sums, similar_
 from codeloom.session import cut_lineage
 
 MAX_COMPONENT_ROUNDS = 100
+FREE_ROWS = 100_000  # frontier rows up to which shortest paths follow every link
 
 
 def of_types(edges: DataFrame, edge_types) -> DataFrame:
@@ -77,32 +80,104 @@ def reachable(edges: DataFrame, sources: DataFrame, max_depth: int = 5, edge_typ
     return seen
 
 
+def _extent(table: DataFrame, column: str) -> tuple:
+    """(rows, smallest, largest) of a written table's column."""
+    return tuple(table.agg(F.count("*"), F.min(column), F.max(column)).first())
+
+
+def _inside(table: DataFrame, column: str, extent: tuple) -> DataFrame:
+    """Rows whose id lies in the extent: ids of other kinds stay in their files and are not shuffled."""
+    return table.filter(F.col(column).between(F.lit(extent[1]), F.lit(extent[2])))
+
+
+def _unseen(nodes: DataFrame, extent: tuple, levels) -> DataFrame:
+    """Rows (source, node, ...) with nodes in the extent that are in no level."""
+    for level in levels:
+        nodes = nodes.join(_inside(level, "node", extent).select("source", "node"), ["source", "node"], "left_anti")
+    return nodes
+
+
+def _links_back(links: DataFrame, reached: DataFrame, targets: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """Search against the links from targets (source, node) until nodes that their source has reached, ``rounds`` at most.
+
+    Gives (source, node, best), the nodes next to reached ones with the rank of
+    the best of these, and the links (source, src, dst) passed before.
+    """
+    reached = reached.select("source", F.col("node").alias("src"), F.col("rank").alias("best"))
+    frontiers, passed, extent = [targets], [], _extent(targets, "node")
+    while extent[0] and len(passed) < rounds:
+        frontier, into = frontiers[-1], _inside(links, "dst", extent)
+        step = (frontier.join(into, frontier["node"] == into["dst"]).select("source", "src", "dst")
+                .join(_inside(reached, "src", _extent(into, "src")), ["source", "src"], "left"))
+        # all reached parents of a node are one row
+        passed.append(cut_lineage(step.groupBy("source", "dst", F.when(F.col("best").isNull(), F.col("src")).alias("src"))
+                                  .agg(F.min("best").alias("best"))))
+        beyond = passed[-1].filter(F.col("src").isNotNull()).select("source", F.col("src").alias("node"))
+        frontiers.append(cut_lineage(_unseen(beyond.distinct(), _extent(beyond, "node"), frontiers)))
+        extent = _extent(frontiers[-1], "node")
+    rows = functools.reduce(DataFrame.unionByName, passed)
+    return (rows.filter(F.col("src").isNull()).select("source", F.col("dst").alias("node"), "best"),
+            rows.filter(F.col("src").isNotNull()).select("source", "src", "dst"))
+
+
+def _paths(levels: list[DataFrame], found: list[DataFrame]) -> DataFrame:
+    """(source, target, path) read back from the last level to the first by the ranks of the parents."""
+    paths = None
+    for level, hits in zip(reversed(levels), reversed(found)):
+        here = hits.select("source", "target", "best", F.array("target").alias("path"))
+        if paths is not None:
+            parents = level.select(F.col("rank").alias("best"), "node", F.col("best").alias("above"))
+            here = here.unionByName(paths.join(parents, "best").select(
+                "source", "target", F.col("above").alias("best"), F.concat(F.array("node"), "path").alias("path")))
+        paths = here
+    return paths.drop("best")
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 10, edge_types=None) -> DataFrame:
     """Shortest directed path of each pair (source, target): (source, target, path, length).
 
     At most ``max_depth`` edges; no path gives NULL and length 0; among equally
     short paths the lexicographically smallest wins.
+
+    A node carries its path's rank among those of the same length and that of its
+    best parent, never the path. When a frontier has more rows than ``FREE_ROWS``
+    and than there are pairs without a path, the links that lead to their targets
+    are looked up from there, and later rounds follow no others.
     """
-    links = cut_lineage(of_types(edges, edge_types).select("src", "dst").distinct())
-    start = pairs.select("source").distinct().select(
-        "source", F.col("source").alias("node"), F.array("source").alias("path"))
-    frontier = start
-    seen = cut_lineage(start)
-    wanted = pairs.select("source", "target").distinct()
-    for _ in range(max_depth):
-        step = (frontier.join(links, frontier["node"] == links["src"])
-                .select("source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-                .groupBy("source", "node").agg(F.min("path").alias("path"))
-                .join(seen.select("source", "node"), ["source", "node"], "left_anti"))
-        frontier = cut_lineage(step)
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        missing = wanted.join(seen.select("source", F.col("node").alias("target")), ["source", "target"], "left_anti")
-        if missing.isEmpty():
+    links = cut_lineage(of_types(edges, edge_types).select("src", "dst").dropna())
+    wanted = cut_lineage(pairs.select("source", "target").dropna().distinct())
+    aim = _extent(wanted, "target")
+    missing, by_source, last = aim[0], False, 0
+    step = wanted.select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("best")).distinct()
+    levels, found = [], []
+    for depth in range(max_depth + 1):
+        # ranks of parents, then node ids, order paths of one length as their ids in turn do
+        level = cut_lineage(step.orderBy("best", "node").withColumn("rank", F.monotonically_increasing_id()))
+        extent = _extent(level, "node")
+        hits = cut_lineage(_inside(wanted, "target", extent).withColumnRenamed("target", "node")
+                           .join(_inside(level, "node", aim), ["source", "node"])
+                           .select("source", F.col("node").alias("target"), "best"))
+        levels.append(level)
+        found.append(hits)
+        hit = hits.count()
+        missing, last = missing - hit, depth if hit else last
+        if not extent[0] or not missing or depth == max_depth:
             break
-    found = seen.select("source", F.col("node").alias("target"), "path")
-    return (pairs.select("source", "target").join(found, ["source", "target"], "left")
+        if not by_source and extent[0] > max(FREE_ROWS, missing):
+            targets = wanted
+            for hits in found:
+                targets = targets.join(hits, ["source", "target"], "left_anti")
+            targets = cut_lineage(targets.withColumnRenamed("target", "node"))
+            step, links = _links_back(links, level, targets, max_depth - depth)
+            by_source = True
+            continue
+        out = _inside(links, "src", extent)
+        same = level["node"] == out["src"]
+        step = (level.join(out, same & (level["source"] == out["source"]) if by_source else same)
+                .groupBy(level["source"], F.col("dst").alias("node")).agg(F.min("rank").alias("best")))
+        step = _unseen(step, _extent(out, "dst"), levels)
+    paths = _paths(levels[:last + 1], found[:last + 1])
+    return (pairs.select("source", "target").join(paths, ["source", "target"], "left")
             .withColumn("length", F.coalesce(F.size("path") - 1, F.lit(0))))
 
 

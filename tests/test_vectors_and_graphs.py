@@ -1,8 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import blocks, communities, embedding, graph, similarity
+from codeloom.session import cut_lineage
 
 
 def _clustered(n=400, dim=16, seed=3):
@@ -103,6 +106,52 @@ def test_reach_and_paths(spark):
     assert got == {("a", "c"): (["a", "b", "c"], 2), ("a", "a"): (["a"], 0), ("c", "x"): (None, 0)}
 
 
+def _plain_path(edges, source, target, max_depth):
+    level, seen = {source: [source]}, set()
+    for _ in range(max_depth + 1):
+        if target in level:
+            return level[target], len(level[target]) - 1
+        seen |= set(level)
+        steps = [path + [dst] for node, path in level.items() for src, dst in edges if src == node and dst not in seen]
+        level = {path[-1]: path for path in sorted(steps, reverse=True)}
+    return None, 0
+
+
+@pytest.mark.parametrize("free_rows", [0, 10**6])
+def test_paths_equal_a_plain_search(spark, monkeypatch, free_rows):
+    monkeypatch.setattr(graph, "FREE_ROWS", free_rows)
+    draw = random.Random(5)
+    nodes = [f"{kind}{i}" for kind in "ab" for i in range(20)]
+    rows = [(draw.choice(nodes), draw.choice(nodes)) for _ in range(80)] + [(None, "a1"), ("a1", None)]
+    wanted = [(draw.choice(nodes[::9]), draw.choice(nodes + ["z"])) for _ in range(10)] + [(None, "a1"), ("a1", None)]
+    e = spark.createDataFrame(rows + rows[:5], "src string, dst string")
+    got = graph.shortest_paths(e, spark.createDataFrame(wanted, "source string, target string"), 6).collect()
+    links = [row for row in rows if None not in row]
+    want = [(s, t, *(_plain_path(links, s, t, 6) if s and t else (None, 0))) for s, t in wanted]
+    assert sorted(map(str, want)) == sorted(str((r.source, r.target, r.path, r.length)) for r in got)
+    assert max(length for *_, length in want) > 3 and any(path is None for _, _, path, _ in want)
+
+
+def test_paths_write_no_more_rows_than_links(spark, monkeypatch):
+    written = []
+
+    def recorded(df):
+        table = cut_lineage(df)
+        written.append((table.count(), [kind for _, kind in table.dtypes]))
+        return table
+
+    monkeypatch.setattr(graph, "FREE_ROWS", 10, raising=False)
+    monkeypatch.setattr(graph, "cut_lineage", recorded)
+    rows = ([(f"s{i}", "hub") for i in range(5)] + [("hub", f"m{i}") for i in range(50)]
+            + [(f"m{i % 50}", f"leaf{i}") for i in range(500)])
+    pairs = spark.createDataFrame([(f"s{i % 5}", f"leaf{i * 20}") for i in range(25)], "source string, target string")
+    got = graph.shortest_paths(spark.createDataFrame(rows, "src string, dst string"), pairs).collect()
+    assert {tuple(r.path) for r in got} == {(f"s{i % 5}", "hub", f"m{i * 20 % 50}", f"leaf{i * 20}") for i in range(25)}
+    # every source reaches every leaf, but no table holds sources times leaves, and none holds paths
+    assert max(count for count, _ in written) <= len(rows)
+    assert not any(kind.startswith("array") for _, kinds in written for kind in kinds)
+
+
 def test_cohesion_of_one_member_is_one(spark):
     df = spark.createDataFrame([("x", [1.0, 0.0]), ("y", [1.0, 0.0]), ("y", [0.0, 1.0])], "g string, embedding array<float>")
     assert {r.g: r.cohesion for r in embedding.cohesion(df, ["g"]).collect()} == {"x": 1.0, "y": 0.0}
