@@ -7,7 +7,8 @@ there are linked. How often a pair of ids is linked in the corpus is counted out
    ``RADIX`` parts, each sorted by (B id, A id, row) and written as a run of small zstd frames.
 2. A task holds the packed runs of a share of a part and merges them through a heap, a frame of each run unpacked at a time.
    Records come in side-major order, so that the count of a pair is complete when the next pair comes. Shares of a part
-   are sized by its bytes, so a B id with a third of all links is counted by many tasks; their counts are added up.
+   are sized by its bytes, runs and frames (runs pack to a fifth of a byte a link, but each has a frame open), so a B id with a
+   third of all links is counted by many tasks; their counts are added up.
 3. The same merge runs again beside the counts of the part, where all pairs of a B id lie together and give its maximum.
    Each record then pays its row back: links, links with the maximum, counts. These sums go back to rows by an aggregate.
 """
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import byte_view, flat, prepare, ranges
@@ -35,6 +36,7 @@ CHUNK_BYTES = 1 << 20  # of text that is encoded at once
 RUN_LINKS = 1 << 20  # of a buffer
 FRAME_RECORDS = 1 << 13
 PART_BYTES = 64 << 20  # packed runs of one task
+MERGED_RUNS, MERGED_FRAMES = 128, 1 << 10  # of one task; an unpacked frame has 24 bytes a record
 HELD_SUMS = 1 << 20
 ROW_BITS = 40  # of a row's number in its partition
 
@@ -316,8 +318,18 @@ def _frames(table: pa.Table) -> list[list[bytes]]:
     return table.column("frames").to_pylist()
 
 
+def share_of(runs: DataFrame, part_bytes: int = PART_BYTES, merged_runs: int = MERGED_RUNS, merged_frames: int = MERGED_FRAMES) -> tuple[Column, Column]:
+    """(number of shares of a row's part, share of a run) by what one task may hold; the driver gets a row for each part."""
+    found = runs.groupBy("part").agg(F.sum("size").alias("bytes"), F.count("*").alias("runs"), F.sum(F.size("frames")).alias("frames"))
+    shares = F.lit(1)
+    for r in found.collect():
+        n = max(1, -(-r["bytes"] // part_bytes), -(-r["runs"] // merged_runs), -(-r["frames"] // merged_frames))
+        shares = F.when(F.col("part") == r["part"], F.lit(n)).otherwise(shares)
+    return shares, F.pmod(F.xxhash64("run"), shares)
+
+
 def align_documents(docs: DataFrame, path_a: str, path_b: str, *, key: str = "doc_id", text: str = "text", radix: int = RADIX,
-                    run_links: int = RUN_LINKS, part_bytes: int = PART_BYTES) -> DataFrame:
+                    run_links: int = RUN_LINKS, part_bytes: int = PART_BYTES, merged_runs: int = MERGED_RUNS) -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for every row.
 
     Null and empty texts, and texts whose tokens do not join to the space and the text again, have zeros and an empty digest,
@@ -328,16 +340,12 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, *, key: str = "do
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     made = cut_lineage(encode_rows(rows, path_a, path_b, radix, run_links))
     runs = made.filter("part is not null")
-    # tasks for each part, by the bytes of its runs; a row for each part
-    shares = {r["part"]: max(1, -(-r["bytes"] // part_bytes)) for r in runs.groupBy("part").agg(F.sum("size").alias("bytes")).collect()}
-    share = F.lit(1)
-    for k, n in shares.items():
-        share = F.when(F.col("part") == k, F.lit(n)).otherwise(share)
-    runs = runs.select("part", F.pmod(F.xxhash64("run"), share).alias("share"), "frames")
+    shares, share = share_of(runs, part_bytes, merged_runs)
+    runs = runs.select("part", share.alias("share"), "frames")
     of_pair = pa.schema([("pair", pa.int64()), ("n", pa.int64())])
     counted = runs.groupBy("part", "share").applyInArrow(lambda packed: _table(count_runs(_frames(packed)), of_pair), "pair long, n long")
     counts = cut_lineage(counted.groupBy("pair").agg(F.sum("n").alias("n")).withColumn("part", (F.shiftright("pair", 32) % radix).cast("int")))
-    copies = counts.select("pair", "n", "part", F.explode(F.sequence(F.lit(0).cast("long"), share.cast("long") - 1)).alias("share"))
+    copies = counts.select("pair", "n", "part", F.explode(F.sequence(F.lit(0).cast("long"), shares.cast("long") - 1)).alias("share"))
 
     of_row = pa.schema([("row", pa.int64()), ("n_best", pa.int64()), ("count_sum", pa.int64())])
 

@@ -76,6 +76,21 @@ def test_whole_small_table_and_none(spark, small, none, paths):
     assert alignment.align_documents(none, *paths).collect() == []
 
 
+def test_many_small_runs_are_many_shares(spark, small, paths):
+    """A run of few bytes still has an unpacked frame: a task merges a bounded number of runs, whatever their bytes."""
+    runs = spark.range(3000).selectExpr("cast(id % 2 as int) as part", "id as run", "10L as size", "array(cast('x' as binary)) as frames")
+    shares, share = alignment.share_of(runs)
+    placed = runs.select("part", "run", share.alias("share"), shares.alias("n")).groupBy("part", "share").agg({"run": "count", "n": "max"}).collect()
+    assert max(r["count(run)"] for r in placed) < 2 * alignment.MERGED_RUNS
+    assert sum(r["count(run)"] for r in placed) == 3000 and all(r["share"] < r["max(n)"] for r in placed)
+    # runs of many frames are bounded by these
+    long = runs.limit(64).selectExpr("0 as part", "run", "size", "array_repeat(cast('x' as binary), 128) as frames")
+    assert long.select(alignment.share_of(long)[0].alias("n")).first()["n"] == 8
+    rows = [(r.doc_id, r.text) for r in small.limit(60).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(alignment.align_documents(docs, *paths, run_links=2000, merged_runs=2)) == brute(paths, rows)
+
+
 def test_long_text_is_whole(spark, odd, paths):
     long = odd.filter("length(text) > 100000")
     got, = alignment.align_documents(long, *paths).collect()
