@@ -10,8 +10,8 @@ Spark partitions the work; numpy multiplies two bounded blocks inside a task.
   several cells of a group goes there once: small cells cost no copies.
 * A group is cut into blocks of bounded size by a hash of the id, however many
   rows it holds, so a hot cell becomes more tiles and never a bigger one.
-* Exact copies are joined once (``distinct_vectors``): a group of copies never
-  meets itself pair by pair.
+* Exact copies are joined once (``distinct_vectors``, ``_classes``): a group of
+  copies never meets itself vector by vector, only its ids are paired.
 * Top-k without a threshold first bounds the k-th score inside the home cell,
   then visits only cells that can beat the bound.
 """
@@ -19,6 +19,7 @@ Spark partitions the work; numpy multiplies two bounded blocks inside a task.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,9 @@ from codeloom.session import cut_lineage
 MAX_PIVOTS = 1024
 CELL_ROWS = 50_000
 MIN_BLOCK, MAX_BLOCK = 256, 4096
-MAX_TOP_BLOCK = 32_768  # a tile of top_k gives k rows a query, one of similar_pairs up to all pairs
+MAX_TOP_BLOCK = 32_768  # of tiles that give sums or k rows a query, or their pairs a batch at a time
+MAX_MEMBERS = 1024  # ids of equal vectors in a row
+BATCH_PAIRS = 1 << 20  # that leave a tile at once
 STRIPE = 1 << 22  # scores a kernel holds at once
 SLACK = 1e-6  # added to angle bounds against rounding
 SCORE_DIGITS = 9  # scores are rounded before ranking, so equal vectors tie
@@ -184,6 +187,20 @@ def _tile_join(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFr
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, schema)
 
 
+def _tile_stream(left: DataFrame, right: DataFrame, kernel, schema: str) -> DataFrame:
+    """As ``_tile_join``, for kernels that give batches one after the other: what a tile finds is never held as a whole."""
+    rows = left.withColumn("is_right", F.lit(False)).unionByName(right.withColumn("is_right", F.lit(True)))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        on_right = table.column("is_right")
+        yield from kernel(key, table.filter(pc.invert(on_right)), table.filter(on_right))
+
+    # annotations as strings do not name the form that takes and gives batches
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return rows.groupBy("cell", "lsub", "rsub").applyInArrow(run, schema)
+
+
 def _empty_pairs(src_type: str, dst_type: str) -> pa.Table:
     types = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
     return pa.table({"src": pa.array([], types[src_type]), "dst": pa.array([], types[dst_type]),
@@ -217,7 +234,7 @@ def _close(x: np.ndarray, y: np.ndarray, threshold: float, metric: str = "dot",
         yield i[keep] + begin, j[keep], scores[keep]
 
 
-def _self_tiles(base: DataFrame, cells: Cells, theta: float, kernel, schema: str) -> DataFrame:
+def _self_tiles(base: DataFrame, cells: Cells, theta: float, kernel, schema: str, join=_tile_join) -> DataFrame:
     """``kernel`` over tiles that hold every pair of rows of ``base`` (id, vec, ...) within the angle ``theta``.
 
     A pair is in one tile; the tiles of a block with itself (equal numbers in the key) hold it both ways, and each row with itself.
@@ -251,39 +268,70 @@ def _self_tiles(base: DataFrame, cells: Cells, theta: float, kernel, schema: str
                      F.when(F.col("v") > 0, F.sequence(F.col("n"), F.col("n") + F.col("v") - 1))
                      .otherwise(F.array().cast("array<int>")))
     right = right.select(*kept, "cell", F.explode(lefts).alias("lsub"), "rsub")
-    return _tile_join(left, right, kernel, schema)
+    return join(left, right, kernel, schema)
 
 
 def _angle(threshold: float) -> float:
     return math.acos(max(-1.0, min(1.0, threshold)))
 
 
+def _classes(base: DataFrame, max_members: int) -> DataFrame:
+    """(id, vec, members) of rows (id, vec): rows of equal vectors drawn together, several rows for more than ``max_members``."""
+    hot = base.groupBy("vec").agg(F.count("*").alias("n")).filter(F.col("n") > max_members)
+    salt = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(2 * F.col("n") / max_members)))
+    rows = base.join(hot, "vec", "left").groupBy("vec", salt.alias("salt")).agg(F.collect_list("id").alias("members"))
+    return rows.select(F.array_min("members").alias("id"), "vec", "members")
+
+
+def member_pairs(left: pa.ListArray, right: pa.ListArray, i: np.ndarray, j: np.ndarray, scores: np.ndarray, limit: int):
+    """(src, dst, score) of all members of the classes ``left[i]`` and ``right[j]``, src < dst, some ``limit`` pairs at a time."""
+    values, starts, lengths = [], [], []
+    for lists in (left, right):
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        values.append(lists.values)
+        starts.append(offsets[:-1])
+        lengths.append(np.diff(offsets))
+    wide = lengths[1][j]
+    total = np.cumsum(lengths[0][i] * wide)
+    low = 0
+    while low < len(i):
+        done = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, done + limit, "right")))
+        at = np.repeat(np.arange(low, high), np.diff(total[low:high], prepend=done))
+        nth = np.arange(len(at)) - (np.concatenate([[done], total[low:high - 1]]) - done)[at - low]
+        p = values[0].take(pa.array(starts[0][i[at]] + nth // wide[at]))
+        q = values[1].take(pa.array(starts[1][j[at]] + nth % wide[at]))
+        smaller = pc.less(p, q)
+        yield pc.if_else(smaller, p, q), pc.if_else(smaller, q, p), pa.array(scores[at]), smaller
+        low = high
+
+
 def similar_pairs(df: DataFrame, threshold: float, vec_id: str = "vec_id", vector: str = "embedding",
-                  metric: str = "dot", cell_rows: int = CELL_ROWS) -> DataFrame:
+                  metric: str = "dot", cell_rows: int = CELL_ROWS, max_members: int = MAX_MEMBERS, batch_pairs: int = BATCH_PAIRS) -> DataFrame:
     """All pairs ``src < dst`` with score >= threshold; (src, dst, score).
 
     ``dot`` expects unit vectors and prunes cells; ``euclidean`` scores by the
-    negated distance and joins blocks without pruning.
+    negated distance and joins blocks without pruning. Equal vectors go to the
+    tiles as one row with their ids, and pairs leave a tile in batches, so tiles
+    are as large as those of ``top_k``.
     """
-    base = _plain(df, vec_id, vector)
-    cells = build_cells(base, prune=metric == "dot", cell_rows=cell_rows)
-    empty = _empty_pairs(cells.id_type, cells.id_type)
+    base = cut_lineage(_classes(_plain(df, vec_id, vector), max_members))
+    cells = build_cells(base, prune=metric == "dot", cell_rows=cell_rows, max_block=MAX_TOP_BLOCK)
 
-    def kernel(key, a: pa.Table, b: pa.Table) -> pa.Table:
+    def kernel(key, a: pa.Table, b: pa.Table):
         if not a.num_rows or not b.num_rows:
-            return empty
-        found = list(_close(_matrix(a.column("vec")), _matrix(b.column("rvec")), threshold, metric))
-        i, j, scores = (np.concatenate(part) for part in zip(*found))
-        p, q = a.column("id").take(pa.array(i)), b.column("rid").take(pa.array(j))
-        smaller = pc.less(p, q)
-        out = pa.table({"src": pc.if_else(smaller, p, q), "dst": pc.if_else(smaller, q, p), "score": pa.array(scores)})
-        if key[1].as_py() == key[2].as_py():
-            # a native block against itself holds each pair twice and the diagonal
-            out = out.filter(smaller)
-        return out
+            return
+        # a native block against itself holds each pair twice and the diagonal
+        own = key[1].as_py() == key[2].as_py()
+        left, right = (pa.concat_arrays([pa.ListArray.from_arrays(pc.subtract(c.offsets, c.offsets[0]), c.flatten()) for c in t.column("members").chunks])
+                       for t in (a, b))
+        for i, j, scores in _close(_matrix(a.column("vec")), _matrix(b.column("vec")), threshold, metric):
+            for src, dst, score, smaller in member_pairs(left, right, i, j, scores, batch_pairs):
+                out = pa.RecordBatch.from_arrays([src, dst, score], names=["src", "dst", "score"])
+                yield out.filter(smaller) if own else out
 
     return _self_tiles(base, cells, _angle(threshold) if metric == "dot" else math.pi, kernel,
-                       f"src {cells.id_type}, dst {cells.id_type}, score double")
+                       f"src {cells.id_type}, dst {cells.id_type}, score double", _tile_stream)
 
 
 def _codes(a: pa.ChunkedArray, b: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -294,3 +294,30 @@ def test_clusters_of_vectors_equal_clusters_of_pairs(spark, vectors, cell_rows):
         pairs = similarity.similar_pairs(reps, 1 - eps, vec_id="id")
         want = {r.id: r.cluster for r in graph.density_clusters(pairs, reps, eps, 4).collect()}
         assert {r.id: r.cluster for r in graph.vector_clusters(reps, eps, 4).collect()} == want
+
+
+@pytest.mark.parametrize("cell_rows", [50_000, 40])
+def test_copies_go_to_tiles_once(spark, vectors, monkeypatch, cell_rows):
+    """Equal vectors are one row for the tiles, more than max_members several; pairs leave in small batches and none is lost."""
+    x, df = vectors
+    dealt = []
+    old = similarity._self_tiles
+    monkeypatch.setattr(similarity, "_self_tiles", lambda base, *rest: dealt.append(base.count()) or old(base, *rest))
+    i, j = np.nonzero(np.triu(np.round(x @ x.T, similarity.SCORE_DIGITS) >= 0.8, 1))
+    distinct, copies = len(np.unique(x, axis=0)), len(x) // 3
+    for limits in ({}, {"max_members": 10, "batch_pairs": 7}):
+        got = [(r.src, r.dst) for r in similarity.similar_pairs(df, 0.8, cell_rows=cell_rows, **limits).collect()]
+        assert len(got) == len(set(got)) and set(got) == set(zip(i.tolist(), j.tolist()))
+    assert dealt[0] == distinct and distinct < dealt[1] <= distinct + 2 * copies / 10
+
+
+def test_pairs_of_classes_come_in_bounded_batches():
+    import pyarrow as pa
+
+    left, right = pa.array([[1, 9], [4]]), pa.array([[2, 3, 7], [5], [8, 6]])
+    i, j = np.array([0, 0, 1, 1]), np.array([0, 2, 1, 0])
+    got = list(similarity.member_pairs(left, right, i, j, np.array([.1, .2, .3, .4]), 4))
+    assert [len(src) for src, *_ in got] == [6, 4, 4]
+    rows = [(s, d, v) for src, dst, score, _ in got for s, d, v in zip(src.to_pylist(), dst.to_pylist(), score.to_pylist())]
+    want = [(min(a, b), max(a, b), v) for x, y, v in zip(i, j, (.1, .2, .3, .4)) for a in left[int(x)].as_py() for b in right[int(y)].as_py()]
+    assert rows == want
