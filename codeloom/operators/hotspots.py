@@ -88,19 +88,28 @@ def refactor_confidence(files: Column, symbols: Column, changes: Column) -> Colu
 def refactor_impact(edges: DataFrame, symbols: DataFrame, changes: int = 1) -> DataFrame:
     """For all symbols at once: distinct symbols and files within one hop, and a confidence.
 
-    Both distinct counts are taken as distinct rows first, so a hub is counted
-    by many tasks. A symbol always affects itself and its own file, which takes
-    no rows of pairs.
+    Both distinct counts are taken as distinct rows first, so a hub is counted by
+    many tasks. An edge is one row for either direction, only ends that may have
+    a file are looked up, and both counts are added up together. A symbol always
+    affects itself and its own file, which takes no rows of pairs.
     """
-    pairs = edges.select(F.explode(F.array(
-        F.struct(F.col("src").alias("symbol"), F.col("dst").alias("other")),
-        F.struct(F.col("dst").alias("symbol"), F.col("src").alias("other")))).alias("p")).select("p.*").distinct()
-    n_symbols = pairs.groupBy("symbol").agg((F.count_if(F.col("symbol") != F.col("other")) + 1).alias("symbols_affected"))
+    turned = F.col("src") > F.col("dst")
+    pairs = edges.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("u"),
+                         F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("v")).distinct()
     placed = symbols.filter(F.col("file").isNotNull())
-    located = (pairs.join(placed.select(F.col("name").alias("other"), "file"), "other").select("symbol", "file")
+    low, high = placed.agg(F.min("name"), F.max("name")).first()
+    differs = (F.col("u") != F.col("v")).alias("differs")
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("u").alias("symbol"), differs), F.struct(F.col("v").alias("symbol"), differs))).alias("p"))
+    n_symbols = ends.groupBy("p.symbol").agg(F.count_if("p.differs").alias("others")).select("symbol", "others", F.lit(None).cast("bigint").alias("files"))
+    # names of other kinds than those of the symbols are not shuffled; the filter stays above the list, so that both counts read one shuffle of pairs
+    inside = lambda end: F.col(end).between(F.lit(low), F.lit(high))
+    sides = F.array(F.when(inside("v"), F.struct(F.col("u").alias("symbol"), F.col("v").alias("other"))),
+                    F.when(inside("u"), F.struct(F.col("v").alias("symbol"), F.col("u").alias("other"))))
+    asked = pairs.select(F.explode(sides).alias("p")).filter("p IS NOT NULL").select("p.*")
+    located = (asked.join(placed.select(F.col("name").alias("other"), "file"), "other").select("symbol", "file")
                .unionByName(placed.select(F.col("name").alias("symbol"), "file")))
-    n_files = located.distinct().groupBy("symbol").agg(F.count("*").alias("f"))
-    out = n_symbols.join(n_files, "symbol", "left").select(
-        "symbol", "symbols_affected", F.coalesce("f", F.lit(0)).alias("files_affected"))
+    n_files = located.distinct().groupBy("symbol").agg(F.count("*").alias("files")).select("symbol", F.lit(None).cast("bigint").alias("others"), "files")
+    counts = n_symbols.unionByName(n_files).groupBy("symbol").agg(F.sum("others").alias("others"), F.sum("files").alias("files"))
+    out = counts.filter("others IS NOT NULL").select("symbol", (F.col("others") + 1).alias("symbols_affected"), F.coalesce("files", F.lit(0)).alias("files_affected"))
     return out.withColumn("confidence", refactor_confidence(
         F.col("files_affected"), F.col("symbols_affected"), F.lit(changes)))
